@@ -50,12 +50,12 @@ def error_grid(df: DataFrame, value: str, predicted: str, error: str, bins: int
     r = _range(df, value, predicted)
     width = (r["hi"] - r["lo"]) / bins
     return (
-        df.select(
-            right_closed(F.col(value), r["lo"], width).alias("real_bin"),
-            right_closed(F.col(predicted), r["lo"], width).alias("pred_bin"),
+        df.where((F.col(value) > r["lo"]) & (F.col(predicted) > r["lo"]))
+        .select(
+            F.least(right_closed(F.col(value), r["lo"], width), F.lit(bins - 1)).alias("real_bin"),
+            F.least(right_closed(F.col(predicted), r["lo"], width), F.lit(bins - 1)).alias("pred_bin"),
             F.col(error).alias("_e"),
         )
-        .where(F.col("real_bin").isNotNull() & F.col("pred_bin").isNotNull())
         .groupBy("real_bin", "pred_bin")
         .agg(F.avg("_e").alias("mean_error"), F.count("*").alias("n"))
     )

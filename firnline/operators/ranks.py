@@ -33,7 +33,9 @@ def value_ranks(df: DataFrame, value: str, by: str | None = None, ranges: int =
     )
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = merged.agg(F.array_distinct(F.percentile_approx("v", steps, F.lit(10000)))).scalar()
-    cut = merged.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col("v"))))
+    cut = merged.withColumn("_cuts", cuts).select(
+        *keys, "v", "n", F.size(F.filter("_cuts", lambda c: c < F.col("v"))).alias("_range")
+    )
     sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("m"))
     sizes = sizes.agg(F.collect_list(F.struct(*keys, "_range", "m"))).scalar()
 
@@ -42,12 +44,13 @@ def value_ranks(df: DataFrame, value: str, by: str | None = None, ranges: int =
         return before & s[by].eqNullSafe(F.col(by)) if by else before
 
     offset = F.aggregate(
-        sizes,
+        "_sizes",
         F.lit(0).cast("long"),
         lambda acc, s: acc + F.when(earlier(s), s["m"]).otherwise(0),
     )
     inside = W.partitionBy(*keys, "_range").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    return cut.withColumn("hi", F.sum("n").over(inside) + offset).select(
+    counted = cut.withColumn("_upto", F.sum("n").over(inside)).withColumn("_sizes", sizes)
+    return counted.withColumn("hi", F.col("_upto") + offset).select(
         *keys, "v", "n", (F.col("hi") - F.col("n") + 1).alias("lo"), "hi"
     )
 

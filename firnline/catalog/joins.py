@@ -195,32 +195,37 @@ def daylight_sql(lat: str, doy: str, variant: str = "reference") -> str:
     )
 
 
-EXTENDED_SQL = p.sql(
-    f"SELECT {p.d('px.date')}, px.x, px.y, px.col, px.\"row\", CAST(px.mw_value AS INTEGER) AS mw_value, "
-    + ", ".join(
-        p.r(e, a)
-        for e, a in (
-            ("px.opt_value", "opt_value"),
-            ("r.mean_3", "mean_3"),
-            ("r.mean_9", "mean_9"),
-            ("h.mw_value_yesterday", "mw_value_yesterday"),
-            ("h.mw_value_7_day_average", "mw_value_7_day_average"),
-            ("t.elevation_data", "elevation_data"),
-            ("t.slope_data", "slope_data"),
-            ("t.aspect_data", "aspect_data"),
-            ("m.distance_to_margin", "distance_to_margin"),
-        )
-    )
-    + f", CAST(r.sum_5 AS BIGINT) AS sum_5, {p.r(daylight_sql('lat', 'dayofyear(px.date)'), 'hours_of_daylight')} "
+EXTENDED_FROM = (
     f"FROM (SELECT *, {latitude_sql()} AS lat FROM px WHERE mw_value <> -1) px "
     "LEFT JOIN around r ON r.date = px.date AND r.col = px.col AND r.\"row\" = px.\"row\" "
     "LEFT JOIN hist h ON h.date = px.date AND h.col = px.col AND h.\"row\" = px.\"row\" "
     "LEFT JOIN terrain t ON t.col = px.col AND t.\"row\" = px.\"row\" "
-    "LEFT JOIN margin m ON m.col = px.col AND m.\"row\" = px.\"row\"",
-    AROUND,
-    history_cte("px"),
-    TERRAIN,
-    MARGIN,
+    "LEFT JOIN margin m ON m.col = px.col AND m.\"row\" = px.\"row\""
+)
+EXTENDED_VALUES = {
+    "opt_value": "px.opt_value",
+    "mean_3": "r.mean_3",
+    "mean_9": "r.mean_9",
+    "sum_5": "CAST(r.sum_5 AS BIGINT)",
+    "mw_value_yesterday": "CAST(h.mw_value_yesterday AS DOUBLE)",
+    "mw_value_7_day_average": "h.mw_value_7_day_average",
+    "hours_of_daylight": daylight_sql("lat", "dayofyear(px.date)"),
+    "elevation_data": "t.elevation_data",
+    "slope_data": "t.slope_data",
+    "aspect_data": "t.aspect_data",
+    "distance_to_margin": "m.distance_to_margin",
+}
+EXTENDED_CTE = (
+    f"{AROUND},\n{history_cte('px')},\n{TERRAIN},\n{MARGIN},\n"
+    "ext AS (SELECT px.date, px.x, px.y, px.col, px.\"row\", CAST(px.mw_value AS INTEGER) AS mw_value, "
+    + ", ".join(f"{e} AS {a}" for a, e in EXTENDED_VALUES.items())
+    + f" {EXTENDED_FROM})"
+)
+EXTENDED_SQL = p.sql(
+    f"SELECT {p.d()}, x, y, col, \"row\", mw_value, "
+    + ", ".join(c if c == "sum_5" else p.r(c, c) for c in EXTENDED_VALUES)
+    + " FROM ext",
+    EXTENDED_CTE,
 )
 
 

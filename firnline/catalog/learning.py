@@ -1 +1,567 @@
-"""placeholder"""
+"""L: folds, models, cross-validation, benchmarks; A24, A25, O2, O3 on their results."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from firnline.catalog import prelude as p
+from firnline.catalog.aggregates import ENSEMBLE, predictions
+from firnline.catalog.filters import AREA, SPREAD_CELLS, spread_cells
+from firnline.catalog.registry import plain, query
+from firnline.catalog.joins import extended, melt_masks
+from firnline.functions import labels as fl
+from firnline.functions.scalars import FEATURE_BOUNDS, melt_label
+from firnline.ml import cv, estimators, folds, importance, linear, metrics
+from firnline.ml.ensemble import ensemble_statistics
+from firnline.operators.aggregates import majority
+from firnline.plans.residuals import residual_report
+from firnline.plans.training_table import training_table
+from firnline.session import shared_folder
+from firnline.sources import driver_grid as g
+
+FEATURES = [
+    "x",
+    "y",
+    "mw_value",
+    "mean_3",
+    "mean_9",
+    "sum_5",
+    "mw_value_yesterday",
+    "mw_value_7_day_average",
+    "hours_of_daylight",
+    "elevation_data",
+    "slope_data",
+    "aspect_data",
+    "distance_to_margin",
+]
+_materialised: dict[tuple[str, str], str] = {}
+
+
+def training(spark, sf):
+    """The training table, written once per application and read back by every model.
+
+    The aspect of flat cells is undefined; such rows count as facing neither way.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _materialised:
+        path = shared_folder(spark)
+        rows = training_table(extended(spark, sf), *melt_masks(spark, sf), keep_ids=True)
+        half = 0.5  # scaled value of a cosine of 0
+        rows.fillna({"aspect_data": half}).write.parquet(path)
+        _materialised[key] = path
+    return spark.read.parquet(_materialised[key])
+
+
+# L1 to L5: folds and nested cross-validation
+
+
+@query("l01_kmeans_areas")
+def kmeans_areas(spark, sf):
+    rows = training(spark, sf)
+    outer, inner, final = folds.nested_areas(rows)
+    placed = folds.with_areas(rows, outer, inner, final)
+    return plain(
+        placed.groupBy("outer_area", "final_area").agg(
+            F.countDistinct("x", "y").alias("n_cells"), F.count("*").alias("n_rows")
+        )
+    )
+
+
+CENTRES = [(-630000.0, -667000.0), (-620500.0, -665500.0), (-628500.0, -678000.0), (-617500.0, -677500.0), (-624000.0, -672500.0)]
+
+
+@query(
+    "l01_assign_to_centres",
+    p.sql(
+        "SELECT col, \"row\", CAST(arg_min(c.i, {'d': (x - c.cx)*(x - c.cx) + (y - c.cy)*(y - c.cy), 'i': c.i}) AS INTEGER) AS area FROM cells, "
+        f"(VALUES {', '.join(f'({i}, {x}::DOUBLE, {y}::DOUBLE)' for i, (x, y) in enumerate(CENTRES))}) c(i, cx, cy) GROUP BY col, \"row\""
+    ),
+)
+def assign_to_centres(spark, sf):
+    return g.cells(spark, sf).select("col", "row", folds.area(CENTRES).alias("area"))
+
+
+# Five fixed areas of the stretched grid serve as folds where SQL has to know them.
+AREAS = (
+    f"areas AS (SELECT col, \"row\", {AREA} AS area FROM wide),\n"
+    "obs_area AS (SELECT px.*, a.area, ln(1 + opt_value) AS log_value FROM px JOIN areas a ON a.col = px.col AND a.\"row\" = px.\"row\" WHERE opt_value IS NOT NULL)"
+)
+
+
+def observed_with_area(spark, sf):
+    areas = spread_cells(spark, sf).select("col", "row", fl.spatial_area(F.col("x"), F.col("y")).alias("area"))
+    rows = g.pixels(spark, sf).where("opt_value IS NOT NULL")
+    return rows.join(areas, ["col", "row"]).withColumn("log_value", F.log1p("opt_value"))
+
+
+@query(
+    "l02_leave_one_area_out",
+    p.sql(
+        "SELECT k.area AS fold, (o.area = k.area) AS in_test, count(*) AS n, round(avg(opt_value), 6) + 0.0 AS mean_opt "
+        "FROM (SELECT unnest([1, 2, 3, 4, 5]) AS area) k, obs_area o GROUP BY ALL",
+        SPREAD_CELLS,
+        AREAS,
+    ),
+)
+def leave_one_area_out(spark, sf):
+    rows = observed_with_area(spark, sf)
+    parts = []
+    for k in range(1, 6):
+        train, test = folds.leave_one_out(rows, "area", k)
+        for part, flag in ((train, False), (test, True)):
+            parts.append(
+                part.agg(
+                    F.lit(k).alias("fold"),
+                    F.lit(flag).alias("in_test"),
+                    F.count("*").alias("n"),
+                    F.avg("opt_value").alias("mean_opt"),
+                )
+            )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return plain(out)
+
+
+@query("l03_l04_tuning_scores")
+def tuning_scores(spark, sf):
+    """Every grid point of the elastic net with its score on every inner area."""
+    result = cv.spatial_cv_linear(training(spark, sf), FEATURES, "ElasticNetRegression")
+    points = cv.parameter_grid(estimators.GRIDS["ElasticNetRegression"])
+    named = spark.createDataFrame(
+        [(i, q["alpha"], q["l1_ratio"]) for i, q in enumerate(points)],
+        "grid_index int, alpha double, l1_ratio double",
+    )
+    return result.tuning.join(named, "grid_index")
+
+
+@query("o03_best_hyper_parameters")
+def best_hyper_parameters(spark, sf):
+    result = cv.spatial_cv_linear(training(spark, sf), FEATURES, "RidgeRegression")
+    return plain(cv.best_index(result.tuning))
+
+
+def _linear_scores(spark, sf, name, features, **kw):
+    return plain(cv.spatial_cv_linear(training(spark, sf), features, name, **kw).scores)
+
+
+@query("l05_nested_cv_ridge")
+def nested_cv_ridge(spark, sf):
+    return _linear_scores(spark, sf, "RidgeRegression", FEATURES)
+
+
+@query("l05_nested_cv_ridge_log_labels")
+def nested_cv_ridge_log_labels(spark, sf):
+    return _linear_scores(spark, sf, "RidgeRegression", FEATURES, label_space="log")
+
+
+@query("l05_nested_cv_tree_tuned")
+def nested_cv_tree_tuned(spark, sf):
+    tree = estimators.decision_tree()
+    grid = {"maxDepth": [7], "minInstancesPerNode": [2, 6]}
+    return plain(cv.spatial_cv(training(spark, sf), FEATURES, tree, "DecisionTree", grid, final=False).scores)
+
+
+# L6 to L8: benchmarks
+
+
+@query(
+    "l06_mean_benchmark",
+    p.sql(
+        "SELECT fold, \"set\", count(*) AS n, round(any_value(p), 6) + 0.0 AS prediction, round(avg((y - p)*(y - p)), 6) + 0.0 AS mse, "
+        "round(sqrt(avg((y - p)*(y - p))), 6) + 0.0 AS rmse, round(1 - avg((y - p)*(y - p))/var_pop(y), 6) + 0.0 AS r2 FROM ("
+        "SELECT k.area AS fold, CASE WHEN o.area = k.area THEN 'Test' ELSE 'Train' END AS \"set\", o.opt_value AS y, k.p "
+        "FROM (SELECT a.area, exp(avg(o.log_value)) - 1 AS p FROM (SELECT DISTINCT area FROM obs_area) a JOIN obs_area o ON o.area <> a.area GROUP BY a.area) k, obs_area o) "
+        "GROUP BY fold, \"set\"",
+        SPREAD_CELLS,
+        AREAS,
+    ),
+)
+def mean_benchmark(spark, sf):
+    rows = observed_with_area(spark, sf)
+    return plain(cv.mean_benchmark(rows, "area", "log_value"))
+
+
+@query(
+    "l07_microwave_benchmark",
+    p.sql(
+        f"SELECT {p.r('avg(power(opt_value - mw_value, 2))', 'mse')}, {p.r('sqrt(avg(power(opt_value - mw_value, 2)))', 'rmse')}, "
+        f"{p.r('1 - avg(power(opt_value - mw_value, 2))/var_pop(opt_value)', 'r2')}, count(*) AS n, "
+        f"{p.r('avg(CAST((opt_value/4 >= 0.64) = (mw_value = 1) AS INTEGER))', 'binary_accuracy')}, "
+        f"{p.r('avg(CAST(ob = mb AS INTEGER))', 'class_accuracy')} FROM (SELECT *, "
+        "CASE WHEN opt_value/4 <= 0.2 THEN 0 WHEN opt_value/4 <= 0.4 THEN 1 WHEN opt_value/4 <= 0.64 THEN 2 WHEN opt_value/4 <= 0.8 THEN 3 WHEN opt_value/4 <= 1 THEN 4 ELSE 5 END AS ob, "
+        "CASE WHEN mw_value = 0 THEN 0 ELSE 4 END AS mb FROM px WHERE opt_value IS NOT NULL)"
+    ),
+)
+def microwave_benchmark(spark, sf):
+    rows = g.pixels(spark, sf).where("opt_value IS NOT NULL")
+    small = F.col("opt_value") / 4
+    labelled = rows.select(
+        "opt_value",
+        F.col("mw_value").cast("double").alias("mw_value"),
+        melt_label(small).alias("melt"),
+        fl.right_closed_bin(small, fl.ZERO_INCLUSIVE_EDGES).alias("ob"),
+        fl.right_closed_bin(F.col("mw_value"), fl.ZERO_INCLUSIVE_EDGES).alias("mb"),
+    )
+    scores = metrics.regression_scores(labelled, "opt_value", "mw_value")
+    binary = metrics.accuracy(labelled, "melt", "mw_value").select("accuracy").scalar()
+    classes = metrics.accuracy(labelled, "ob", "mb").select("accuracy").scalar()
+    return plain(scores.select("*", binary.alias("binary_accuracy"), classes.alias("class_accuracy")))
+
+
+@query(
+    "l08_constant_class_benchmarks",
+    p.sql(
+        f"SELECT CAST(majority AS INTEGER) AS majority, {p.r('avg(CAST(bin = majority AS INTEGER))', 'majority_accuracy')}, "
+        f"{p.r('avg(CAST(opt_value/4 < 0.64 AS INTEGER))', 'zero_accuracy')}, {p.r('avg(CAST(bin = 1 AS INTEGER))', 'one_accuracy')} FROM "
+        "(SELECT *, CASE WHEN opt_value/4 <= 0.2 THEN 0 WHEN opt_value/4 <= 0.4 THEN 1 WHEN opt_value/4 <= 0.64 THEN 2 WHEN opt_value/4 <= 0.8 THEN 3 WHEN opt_value/4 <= 1 THEN 4 ELSE 5 END AS bin "
+        "FROM px WHERE opt_value IS NOT NULL) b, (SELECT bin AS majority FROM (SELECT CASE WHEN opt_value/4 <= 0.2 THEN 0 WHEN opt_value/4 <= 0.4 THEN 1 WHEN opt_value/4 <= 0.64 THEN 2 WHEN opt_value/4 <= 0.8 THEN 3 WHEN opt_value/4 <= 1 THEN 4 ELSE 5 END AS bin "
+        "FROM px WHERE opt_value IS NOT NULL) GROUP BY bin ORDER BY count(*) DESC, bin LIMIT 1) GROUP BY majority"
+    ),
+)
+def constant_class_benchmarks(spark, sf):
+    small = F.col("opt_value") / 4
+    rows = g.pixels(spark, sf).where("opt_value IS NOT NULL").select(
+        melt_label(small).alias("melt"), fl.right_closed_bin(small, fl.CLASS_EDGES).alias("bin")
+    )
+    most = majority(rows, "bin")
+    constant = rows.withColumn("majority", most)
+    return plain(
+        constant.groupBy("majority").agg(
+            F.avg((F.col("bin") == F.col("majority")).cast("int")).alias("majority_accuracy"),
+            F.avg((F.col("melt") == 0).cast("int")).alias("zero_accuracy"),
+            F.avg((F.col("bin") == 1).cast("int")).alias("one_accuracy"),
+        )
+    )
+
+
+# L9 to L12: linear models, in full by cross-validation and on one or two features against SQL
+
+
+@query("l09_linear_regression")
+def linear_regression(spark, sf):
+    return _linear_scores(spark, sf, "LinearRegression", FEATURES, tune=False)
+
+
+@query("l09_linear_regression_without_xy")
+def linear_regression_without_xy(spark, sf):
+    return _linear_scores(spark, sf, "LinearRegression", FEATURES[2:], tune=False)
+
+
+def _without_log(spark, sf, name, **kw):
+    rows = training(spark, sf).withColumn("opt_value", F.expm1("opt_value"))
+    return plain(cv.spatial_cv_linear(rows, FEATURES, name, tune=False, log_target=False, **kw).scores)
+
+
+@query("l09_linear_regression_without_log")
+def linear_regression_without_log(spark, sf):
+    return _without_log(spark, sf, "LinearRegression")
+
+
+@query("l10_ridge_without_log")
+def ridge_without_log(spark, sf):
+    return _without_log(spark, sf, "RidgeRegression", grid={"alpha": [20]})
+
+
+@query("l11_lasso")
+def lasso(spark, sf):
+    return _linear_scores(spark, sf, "LassoRegression", FEATURES)
+
+
+@query("l12_elastic_net")
+def elastic_net(spark, sf):
+    return _linear_scores(spark, sf, "ElasticNetRegression", FEATURES)
+
+
+XLO, XHI = FEATURE_BOUNDS["x"]
+TWO = f"""two AS (SELECT mw_value AS a, (x - ({XLO}))/({XHI} - ({XLO})) * 60 AS b, ln(1 + opt_value) AS y FROM px WHERE opt_value IS NOT NULL),
+mom AS (SELECT count(*) AS n, var_pop(a)*count(*) AS saa, var_pop(b)*count(*) AS sbb, covar_pop(a, b)*count(*) AS sab,
+  covar_pop(a, y)*count(*) AS say, covar_pop(b, y)*count(*) AS sby, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM two)"""
+
+
+def pair_sql(penalty: str) -> str:
+    """Two-feature least squares with ``penalty`` added to the diagonal."""
+    den = f"((saa + {penalty})*(sbb + {penalty}) - sab*sab)"
+    return (
+        f"fit AS (SELECT (say*(sbb + {penalty}) - sby*sab)/{den} AS wa, (sby*(saa + {penalty}) - say*sab)/{den} AS wb, n, ma, mb, my FROM mom)"
+    )
+
+
+def two_features(spark, sf):
+    rows = g.pixels(spark, sf).where("opt_value IS NOT NULL")
+    low, high = FEATURE_BOUNDS["x"]
+    return rows.select(
+        "date",
+        "x",
+        "y",
+        F.col("mw_value").cast("double").alias("a"),
+        ((F.col("x") - low) / (high - low) * 60).alias("b"),
+        F.log1p("opt_value").alias("target"),
+    )
+
+
+def pair_fit(spark, sf, fit, **params):
+    products = linear.cross_products(two_features(spark, sf), ["a", "b"], "target")[()]
+    return fit(products, ["a", "b"], **params)
+
+
+def fit_row(spark, fit):
+    return plain(
+        spark.createDataFrame(
+            [(float(fit.coefficients[0]), float(fit.coefficients[1]), float(fit.intercept))],
+            "wa double, wb double, intercept double",
+        )
+    )
+
+
+FIT_OUT = f"SELECT {p.r('wa', 'wa')}, {p.r('wb', 'wb')}, {p.r('my - wa*ma - wb*mb', 'intercept')} FROM fit"
+
+
+@query("l09_ols_two_features", p.sql(FIT_OUT, TWO, pair_sql("0")))
+def ols_two_features(spark, sf):
+    return fit_row(spark, pair_fit(spark, sf, linear.ols))
+
+
+@query("l10_ridge_two_features", p.sql(FIT_OUT, TWO, pair_sql("20")))
+def ridge_two_features(spark, sf):
+    return fit_row(spark, pair_fit(spark, sf, linear.ridge, alpha=20))
+
+
+SOFT = "sign(say)*greatest(abs(say)/n - {l1}, 0)/(saa/n + {l2})"
+
+
+def _one_feature_sql(l1: float, l2: float) -> str:
+    w = SOFT.format(l1=l1, l2=l2)
+    return p.sql(f"SELECT {p.r(w, 'wa')}, {p.r(f'my - {w}*ma', 'intercept')} FROM mom", TWO)
+
+
+def _one_feature(spark, sf, fit, **params):
+    products = linear.cross_products(two_features(spark, sf), ["a"], "target")[()]
+    m = fit(products, ["a"], **params)
+    return plain(
+        spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "wa double, intercept double")
+    )
+
+
+@query("l11_lasso_one_feature", _one_feature_sql(0.01, 0))
+def lasso_one_feature(spark, sf):
+    return _one_feature(spark, sf, linear.lasso, alpha=0.01)
+
+
+@query("l12_elastic_net_one_feature", _one_feature_sql(0.005, 0.005))
+def elastic_net_one_feature(spark, sf):
+    return _one_feature(spark, sf, linear.elastic_net, alpha=0.01, l1_ratio=0.5)
+
+
+# L13 to L17: trees and classifiers
+
+
+def _tree_scores(spark, sf, estimator, name):
+    result = cv.spatial_cv(training(spark, sf), FEATURES, estimator, name, tune=False, final=False)
+    return plain(result.scores)
+
+
+@query("l13_decision_tree")
+def decision_tree(spark, sf):
+    return _tree_scores(spark, sf, estimators.decision_tree(12, 6), "DecisionTree")
+
+
+@query("l14_random_forest")
+def random_forest(spark, sf):
+    return _tree_scores(spark, sf, estimators.random_forest(7, "sqrt", 2, n_trees=20), "RandomForest")
+
+
+@query("l15_gradient_boosting")
+def gradient_boosting(spark, sf):
+    return _tree_scores(spark, sf, estimators.gradient_boosting(3, n_trees=10), "GradientBoosting")
+
+
+def _labelled(spark, sf):
+    """Training rows with labels, and the season as hold-out."""
+    rows = training(spark, sf)
+    value = F.expm1("opt_value") / 4
+    labelled = rows.withColumns(
+        {
+            "melt": melt_label(value).cast("double"),
+            "class": fl.right_closed_bin(F.round(value, 9), fl.CLASS_EDGES).cast("double"),
+            "season": F.year("date"),
+        }
+    )
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(labelled)
+
+
+def _accuracy(spark, sf, estimator, label):
+    rows = _labelled(spark, sf)
+    model = estimator.fit(rows.where("season < 2020"))
+    return plain(metrics.accuracy(model.transform(rows), label, "prediction", ["season"]))
+
+
+@query("l16_tree_classifier_binary")
+def tree_classifier_binary(spark, sf):
+    return _accuracy(spark, sf, estimators.tree_classifier("melt"), "melt")
+
+
+@query("l16_tree_classifier_classes")
+def tree_classifier_classes(spark, sf):
+    return _accuracy(spark, sf, estimators.tree_classifier("class"), "class")
+
+
+@query("l17_logistic_binary")
+def logistic_binary(spark, sf):
+    return _accuracy(spark, sf, estimators.logistic("melt"), "melt")
+
+
+@query("l17_logistic_one_vs_rest")
+def logistic_one_vs_rest(spark, sf):
+    return _accuracy(spark, sf, estimators.logistic("class", one_vs_rest=True, max_iter=20), "class")
+
+
+# L18 to L21: hold-out, batch scoring, attribution, residuals
+
+HOLD_TRAIN = "date BETWEEN DATE '2019-06-01' AND DATE '2019-06-14'"
+
+
+@query(
+    "l18_temporal_hold_out",
+    p.sql(
+        "SELECT part, date, count(*) AS n, round(sqrt(avg(power(opt_value - pr, 2))), 6) + 0.0 AS rmse FROM ("
+        "SELECT CASE WHEN px.date <= DATE '2019-06-21' THEN 'test' ELSE 'predict' END AS part, "
+        "CASE WHEN px.date <= DATE '2019-06-21' THEN 'all' ELSE strftime(px.date, '%Y-%m-%d') END AS date, opt_value, "
+        "exp(my - wa*ma - wb*mb + wa*mw_value + wb*((x - (-636500.0))/(824500.0 - (-636500.0))*60)) - 1 AS pr FROM px, fit "
+        "WHERE opt_value IS NOT NULL AND (px.date BETWEEN DATE '2019-06-15' AND DATE '2019-06-21' OR px.date IN (DATE '2019-06-22', DATE '2019-06-28'))) GROUP BY part, date",
+        TWO.replace("WHERE opt_value IS NOT NULL)", f"WHERE opt_value IS NOT NULL AND {HOLD_TRAIN})", 1),
+        pair_sql("0"),
+    ),
+)
+def temporal_hold_out(spark, sf):
+    rows = two_features(spark, sf)
+    train = rows.where(F.col("date").between("2019-06-01", "2019-06-14"))
+    fit = linear.ols(linear.cross_products(train, ["a", "b"], "target")[()], ["a", "b"])
+    later = rows.where(
+        F.col("date").between("2019-06-15", "2019-06-21") | F.col("date").isin("2019-06-22", "2019-06-28")
+    )
+    scored = later.withColumns(
+        {"actual": F.expm1("target"), "predicted": F.expm1(fit.expression())}
+    )
+    is_test = F.col("date") <= "2019-06-21"
+    groups = scored.select(
+        F.when(is_test, "test").otherwise("predict").alias("part"),
+        F.when(is_test, "all").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date"),
+        "actual",
+        "predicted",
+    )
+    return plain(
+        metrics.regression_scores(groups, "actual", "predicted", ["part", "date"]).select(
+            "part", "date", "n", "rmse"
+        )
+    )
+
+
+@query(
+    "l19_score_all_pixels",
+    p.sql(
+        f"SELECT {p.d()}, x, y, {p.r('exp(my - wa*ma - wb*mb + wa*mw_value + wb*((x - (-636500.0))/(824500.0 - (-636500.0))*60)) - 1', 'prediction')} FROM px, fit WHERE NOT is_water",
+        TWO,
+        pair_sql("0"),
+    ),
+)
+def score_all_pixels(spark, sf):
+    fit = pair_fit(spark, sf, linear.ols)
+    low, high = FEATURE_BOUNDS["x"]
+    ice = g.pixels(spark, sf).where("NOT is_water").withColumns(
+        {"a": F.col("mw_value").cast("double"), "b": (F.col("x") - low) / (high - low) * 60}
+    )
+    return plain(ice.select("date", "x", "y", F.expm1(fit.expression()).alias("prediction")))
+
+
+@query(
+    "l20_linear_attribution",
+    p.sql(
+        f"SELECT {p.d()}, x, px.y, {p.r('wa*(mw_value - ma)', 'phi_a')}, {p.r('wb*((x - (-636500.0))/(824500.0 - (-636500.0))*60 - mb)', 'phi_b')} FROM px, fit WHERE opt_value IS NOT NULL",
+        TWO,
+        pair_sql("0"),
+    ),
+)
+def linear_attribution(spark, sf):
+    rows = two_features(spark, sf)
+    products = linear.cross_products(rows, ["a", "b"], "target")[()]
+    fit = linear.ols(products, ["a", "b"])
+    means = {f: float(products.s[i] / products.n) for i, f in enumerate(["a", "b"])}
+    return plain(linear.attributions(rows, fit, means).select("date", "x", "y", "phi_a", "phi_b"))
+
+
+def _residuals(spark, sf):
+    pred = ensemble_statistics(
+        predictions(spark, sf).drop("opt_value").withColumnRenamed("log_value", "opt_value"),
+        [f"p{i}" for i in range(5)],
+        keep=("date", "col", "row"),
+    )
+    rounded = pred.withColumn("residual_prediction", F.round("residual_prediction", 6))
+    return residual_report(rounded, ["date", "col", "row"])
+
+
+RES = ENSEMBLE + ",\nres AS (SELECT *, round(residual_prediction, 6) AS rr FROM ens)"
+
+
+@query(
+    "l21_residual_histogram",
+    p.sql(
+        f"SELECT 'residual_prediction' AS feature, CAST(least(floor((rr - lo)/(hi - lo)*100), 99) AS INTEGER) AS bin, count(*) AS n "
+        "FROM res, (SELECT min(rr) lo, max(rr) hi FROM res) GROUP BY ALL",
+        RES,
+    ),
+)
+def residual_histogram(spark, sf):
+    return _residuals(spark, sf)["histogram"].select("feature", "bin", "n")
+
+
+@query("l21_residual_qq")
+def residual_qq(spark, sf):
+    return plain(_residuals(spark, sf)["qq"])
+
+
+@query(
+    "l21_residual_sample",
+    p.sql(
+        f"SELECT {p.d()}, col, \"row\", {p.r('opt_value', 'opt_value_backtransformed')}, {p.r('mp', 'mean_prediction')}, {p.r('residual_prediction', 'residual_prediction')} FROM ens "
+        "WHERE CAST(('0x' || substr(md5('1,' || strftime(date, '%Y-%m-%d') || ',' || col || ',' || \"row\"), 1, 8)) AS BIGINT) < 214748364",
+        ENSEMBLE,
+    ),
+)
+def residual_sample(spark, sf):
+    return plain(_residuals(spark, sf)["sample"])
+
+
+# A24, A25, O2: importance over the folds
+
+
+def _ridge(spark, sf):
+    return cv.spatial_cv_linear(training(spark, sf), FEATURES, "RidgeRegression", {"alpha": [20]}, tune=False)
+
+
+@query("a24_feature_importance")
+def feature_importance(spark, sf):
+    rows = training(spark, sf)
+    ols = cv.spatial_cv_linear(rows, FEATURES, "LinearRegression", tune=False)
+    tree = cv.spatial_cv(rows, FEATURES, estimators.decision_tree(), "DecisionTree", tune=False, final=False)
+    table = importance.importance_table(spark, ols).unionByName(importance.importance_table(spark, tree))
+    return plain(importance.importance_summary(table))
+
+
+@query("o02_top_features")
+def top_features(spark, sf):
+    table = importance.importance_table(spark, _ridge(spark, sf))
+    return plain(importance.importance_summary(table, top=5))
+
+
+@query("a25_coefficient_summary")
+def coefficient_summary(spark, sf):
+    result = cv.spatial_cv_linear(training(spark, sf), FEATURES, "LinearRegression", tune=False)
+    return plain(
+        importance.coefficient_summary(
+            importance.importance_table(spark, result),
+            importance.intercept_table(spark, result),
+            ["mw_value", "elevation_data"],
+        )
+    )

@@ -32,9 +32,11 @@ def value_ranks(df: DataFrame, value: str, by: str | None = None, ranges: int =
         .agg(F.count("*").alias("n"))
     )
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = merged.agg(F.array_distinct(F.percentile_approx("v", steps, F.lit(10000)))).scalar()
-    cut = merged.withColumn("_cuts", cuts).select(
-        *keys, "v", "n", F.size(F.filter("_cuts", lambda c: c < F.col("v"))).alias("_range")
+    cuts = merged.agg(F.percentile_approx("v", steps, F.lit(10000))).first()[0]
+    # The cuts are literals, so every use and every retried task sees the same ranges.
+    literal = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or [0.0]))])
+    cut = merged.select(
+        *keys, "v", "n", F.size(F.filter(literal, lambda c: c < F.col("v"))).alias("_range")
     )
     sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("m"))
     sizes = sizes.agg(F.collect_list(F.struct(*keys, "_range", "m"))).scalar()

@@ -7,6 +7,8 @@ the same order, so only the static layer moves. Daylight is arithmetic.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +53,27 @@ def static_layer(cells: DataFrame, step: float = 1000.0) -> DataFrame:
 
 
 def dynamic_features(
-    pixels: DataFrame, scenes: DataFrame | None = None, daylight: str = "reference"
+    pixels: DataFrame,
+    scenes: DataFrame | None = None,
+    daylight: str = "reference",
+    only: Sequence | None = None,
 ) -> DataFrame:
-    """Focal, history and daylight features of the ice pixels."""
+    """Focal, history and daylight features of the ice pixels.
+
+    ``only`` limits the output to some dates; history is then taken first, over all given
+    pixels, and the focal windows run on the wanted dates alone.
+    """
     capped = pixels.select(
         "x", "y", "date", "col", "row", "mw_value", cap(F.col("opt_value")).alias("opt_value")
     )
-    around = without_water(focal(capped, melt_for_windows(F.col("mw_value")), FOCAL_FEATURES))
-    history = earlier_values(around, scenes=pixels if scenes is None else scenes)
-    return history.withColumn(
+    melt = melt_for_windows(F.col("mw_value"))
+    calendar = pixels if scenes is None else scenes
+    if only is None:
+        out = earlier_values(without_water(focal(capped, melt, FOCAL_FEATURES)), scenes=calendar)
+    else:
+        wanted = earlier_values(capped, scenes=calendar).where(F.col("date").isin(list(only)))
+        out = without_water(focal(wanted, melt, FOCAL_FEATURES))
+    return out.withColumn(
         "hours_of_daylight",
         hours_of_daylight(latitude(F.col("x"), F.col("y")), F.dayofyear("date"), daylight),
     )
@@ -70,6 +84,8 @@ def build_features(
     static: DataFrame,
     scenes: DataFrame | None = None,
     daylight: str = "reference",
+    only: Sequence | None = None,
 ) -> DataFrame:
     """The extended pixel table."""
-    return dynamic_features(pixels, scenes, daylight).join(static, ["x", "y"], "left").select(EXTENDED)
+    dynamic = dynamic_features(pixels, scenes, daylight, only)
+    return dynamic.join(static, ["x", "y"], "left").select(EXTENDED)

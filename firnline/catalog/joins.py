@@ -76,6 +76,11 @@ def mask_filter_little(spark, sf):
     return plain(m.apply_masks(opt(spark, sf), None, little))
 
 
+@query("j02_mask_filter_combined", _mask_sql("n.melt = 1 AND l.melt = 1"))
+def mask_filter_combined(spark, sf):
+    return plain(m.apply_masks(opt(spark, sf), m.combined_mask(g.pixels(spark, sf))))
+
+
 NEVER = (
     "never AS (SELECT year(date) AS year, x, y FROM px GROUP BY ALL "
     "HAVING bool_and(mw_value NOT IN (-1, 1)))"

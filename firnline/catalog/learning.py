@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from firnline.catalog import prelude as p
 from firnline.catalog.aggregates import ENSEMBLE, predictions
 from firnline.catalog.filters import AREA, SPREAD_CELLS, spread_cells
+from firnline.catalog.joins import extended
 from firnline.catalog.registry import plain, query
-from firnline.catalog.joins import extended, melt_masks
+from firnline.catalog.scalars import bin_sql
 from firnline.functions import labels as fl
 from firnline.functions.scalars import FEATURE_BOUNDS, melt_label
 from firnline.ml import cv, estimators, folds, importance, linear, metrics
 from firnline.ml.ensemble import ensemble_statistics
 from firnline.operators.aggregates import majority
+from firnline.operators.masks import combined_mask
 from firnline.plans.residuals import residual_report
 from firnline.plans.training_table import training_table
 from firnline.session import shared_folder
@@ -36,6 +38,7 @@ FEATURES = [
     "distance_to_margin",
 ]
 _materialised: dict[tuple[str, str], str] = {}
+_areas: dict[tuple[str, str], folds.Areas] = {}
 
 
 def training(spark, sf):
@@ -46,21 +49,29 @@ def training(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _materialised:
         path = shared_folder(spark)
-        rows = training_table(extended(spark, sf), *melt_masks(spark, sf), keep_ids=True)
+        mask = combined_mask(g.pixels(spark, sf))
+        rows = training_table(extended(spark, sf), mask, keep_ids=True)
         half = 0.5  # scaled value of a cosine of 0
         rows.fillna({"aspect_data": half}).write.parquet(path)
         _materialised[key] = path
     return spark.read.parquet(_materialised[key])
 
 
+def areas(spark, sf):
+    """Folds of the training table, fitted once and shared by all models."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _areas:
+        _areas[key] = folds.nested_areas(training(spark, sf))
+    return _areas[key]
+
+
 # L1 to L5: folds and nested cross-validation
 
 
 @query("l01_kmeans_areas")
 def kmeans_areas(spark, sf):
     rows = training(spark, sf)
-    outer, inner, final = folds.nested_areas(rows)
-    placed = folds.with_areas(rows, outer, inner, final)
+    placed = folds.with_areas(rows, *areas(spark, sf))
     return plain(
         placed.groupBy("outer_area", "final_area").agg(
             F.countDistinct("x", "y").alias("n_cells"), F.count("*").alias("n_rows")
@@ -127,7 +138,7 @@ def leave_one_area_out(spark, sf):
 @query("l03_l04_tuning_scores")
 def tuning_scores(spark, sf):
     """Every grid point of the elastic net with its score on every inner area."""
-    result = cv.spatial_cv_linear(training(spark, sf), FEATURES, "ElasticNetRegression")
+    result = cv.spatial_cv_linear(training(spark, sf), FEATURES, "ElasticNetRegression", areas=areas(spark, sf))
     points = cv.parameter_grid(estimators.GRIDS["ElasticNetRegression"])
     named = spark.createDataFrame(
         [(i, q["alpha"], q["l1_ratio"]) for i, q in enumerate(points)],
@@ -138,12 +149,14 @@ def tuning_scores(spark, sf):
 
 @query("o03_best_hyper_parameters")
 def best_hyper_parameters(spark, sf):
-    result = cv.spatial_cv_linear(training(spark, sf), FEATURES, "RidgeRegression")
+    result = cv.spatial_cv_linear(training(spark, sf), FEATURES, "RidgeRegression", areas=areas(spark, sf))
     return plain(cv.best_index(result.tuning))
 
 
 def _linear_scores(spark, sf, name, features, **kw):
-    return plain(cv.spatial_cv_linear(training(spark, sf), features, name, **kw).scores)
+    return plain(
+        cv.spatial_cv_linear(training(spark, sf), features, name, areas=areas(spark, sf), **kw).scores
+    )
 
 
 @query("l05_nested_cv_ridge")
@@ -160,7 +173,10 @@ def nested_cv_ridge_log_labels(spark, sf):
 def nested_cv_tree_tuned(spark, sf):
     tree = estimators.decision_tree()
     grid = {"maxDepth": [7], "minInstancesPerNode": [2, 6]}
-    return plain(cv.spatial_cv(training(spark, sf), FEATURES, tree, "DecisionTree", grid, final=False).scores)
+    result = cv.spatial_cv(
+        training(spark, sf), FEATURES, tree, "DecisionTree", grid, final=False, areas=areas(spark, sf)
+    )
+    return plain(result.scores)
 
 
 # L6 to L8: benchmarks
@@ -183,15 +199,18 @@ def mean_benchmark(spark, sf):
     return plain(cv.mean_benchmark(rows, "area", "log_value"))
 
 
+CLASSED = f"""classed AS (SELECT opt_value, mw_value, {bin_sql('opt_value/4', fl.CLASS_EDGES)} AS bin,
+  {bin_sql('opt_value/4', fl.ZERO_INCLUSIVE_EDGES)} AS ob, {bin_sql('mw_value', fl.ZERO_INCLUSIVE_EDGES)} AS mb FROM px WHERE opt_value IS NOT NULL)"""
+
+
 @query(
     "l07_microwave_benchmark",
     p.sql(
         f"SELECT {p.r('avg(power(opt_value - mw_value, 2))', 'mse')}, {p.r('sqrt(avg(power(opt_value - mw_value, 2)))', 'rmse')}, "
         f"{p.r('1 - avg(power(opt_value - mw_value, 2))/var_pop(opt_value)', 'r2')}, count(*) AS n, "
         f"{p.r('avg(CAST((opt_value/4 >= 0.64) = (mw_value = 1) AS INTEGER))', 'binary_accuracy')}, "
-        f"{p.r('avg(CAST(ob = mb AS INTEGER))', 'class_accuracy')} FROM (SELECT *, "
-        "CASE WHEN opt_value/4 <= 0.2 THEN 0 WHEN opt_value/4 <= 0.4 THEN 1 WHEN opt_value/4 <= 0.64 THEN 2 WHEN opt_value/4 <= 0.8 THEN 3 WHEN opt_value/4 <= 1 THEN 4 ELSE 5 END AS ob, "
-        "CASE WHEN mw_value = 0 THEN 0 ELSE 4 END AS mb FROM px WHERE opt_value IS NOT NULL)"
+        f"{p.r('avg(CAST(ob = mb AS INTEGER))', 'class_accuracy')} FROM classed",
+        CLASSED,
     ),
 )
 def microwave_benchmark(spark, sf):
@@ -214,10 +233,9 @@ def microwave_benchmark(spark, sf):
     "l08_constant_class_benchmarks",
     p.sql(
         f"SELECT CAST(majority AS INTEGER) AS majority, {p.r('avg(CAST(bin = majority AS INTEGER))', 'majority_accuracy')}, "
-        f"{p.r('avg(CAST(opt_value/4 < 0.64 AS INTEGER))', 'zero_accuracy')}, {p.r('avg(CAST(bin = 1 AS INTEGER))', 'one_accuracy')} FROM "
-        "(SELECT *, CASE WHEN opt_value/4 <= 0.2 THEN 0 WHEN opt_value/4 <= 0.4 THEN 1 WHEN opt_value/4 <= 0.64 THEN 2 WHEN opt_value/4 <= 0.8 THEN 3 WHEN opt_value/4 <= 1 THEN 4 ELSE 5 END AS bin "
-        "FROM px WHERE opt_value IS NOT NULL) b, (SELECT bin AS majority FROM (SELECT CASE WHEN opt_value/4 <= 0.2 THEN 0 WHEN opt_value/4 <= 0.4 THEN 1 WHEN opt_value/4 <= 0.64 THEN 2 WHEN opt_value/4 <= 0.8 THEN 3 WHEN opt_value/4 <= 1 THEN 4 ELSE 5 END AS bin "
-        "FROM px WHERE opt_value IS NOT NULL) GROUP BY bin ORDER BY count(*) DESC, bin LIMIT 1) GROUP BY majority"
+        f"{p.r('avg(CAST(opt_value/4 < 0.64 AS INTEGER))', 'zero_accuracy')}, {p.r('avg(CAST(bin = 1 AS INTEGER))', 'one_accuracy')} "
+        "FROM classed, (SELECT bin AS majority FROM classed GROUP BY bin ORDER BY count(*) DESC, bin LIMIT 1) GROUP BY majority",
+        CLASSED,
     ),
 )
 def constant_class_benchmarks(spark, sf):
@@ -251,7 +269,10 @@ def linear_regression_without_xy(spark, sf):
 
 def _without_log(spark, sf, name, **kw):
     rows = training(spark, sf).withColumn("opt_value", F.expm1("opt_value"))
-    return plain(cv.spatial_cv_linear(rows, FEATURES, name, tune=False, log_target=False, **kw).scores)
+    result = cv.spatial_cv_linear(
+        rows, FEATURES, name, tune=False, log_target=False, areas=areas(spark, sf), **kw
+    )
+    return plain(result.scores)
 
 
 @query("l09_linear_regression_without_log")
@@ -358,7 +379,9 @@ def elastic_net_one_feature(spark, sf):
 
 
 def _tree_scores(spark, sf, estimator, name):
-    result = cv.spatial_cv(training(spark, sf), FEATURES, estimator, name, tune=False, final=False)
+    result = cv.spatial_cv(
+        training(spark, sf), FEATURES, estimator, name, tune=False, final=False, areas=areas(spark, sf)
+    )
     return plain(result.scores)
 
 
@@ -537,14 +560,19 @@ def residual_sample(spark, sf):
 
 
 def _ridge(spark, sf):
-    return cv.spatial_cv_linear(training(spark, sf), FEATURES, "RidgeRegression", {"alpha": [20]}, tune=False)
+    return cv.spatial_cv_linear(
+        training(spark, sf), FEATURES, "RidgeRegression", {"alpha": [20]}, tune=False, areas=areas(spark, sf)
+    )
 
 
 @query("a24_feature_importance")
 def feature_importance(spark, sf):
     rows = training(spark, sf)
-    ols = cv.spatial_cv_linear(rows, FEATURES, "LinearRegression", tune=False)
-    tree = cv.spatial_cv(rows, FEATURES, estimators.decision_tree(), "DecisionTree", tune=False, final=False)
+    shared = areas(spark, sf)
+    ols = cv.spatial_cv_linear(rows, FEATURES, "LinearRegression", tune=False, areas=shared)
+    tree = cv.spatial_cv(
+        rows, FEATURES, estimators.decision_tree(), "DecisionTree", tune=False, final=False, areas=shared
+    )
     table = importance.importance_table(spark, ols).unionByName(importance.importance_table(spark, tree))
     return plain(importance.importance_summary(table))
 
@@ -557,7 +585,9 @@ def top_features(spark, sf):
 
 @query("a25_coefficient_summary")
 def coefficient_summary(spark, sf):
-    result = cv.spatial_cv_linear(training(spark, sf), FEATURES, "LinearRegression", tune=False)
+    result = cv.spatial_cv_linear(
+        training(spark, sf), FEATURES, "LinearRegression", tune=False, areas=areas(spark, sf)
+    )
     return plain(
         importance.coefficient_summary(
             importance.importance_table(spark, result),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from firnline.ml import linear
 from firnline.ml.estimators import GRIDS, assemble
-from firnline.ml.folds import leave_one_out, nested_areas, with_areas
+from firnline.ml.folds import Areas, leave_one_out, nested_areas, with_areas
 from firnline.ml.metrics import fold_scores
 from firnline.operators.filters import check_features
 
@@ -72,17 +72,19 @@ def spatial_cv_linear(
     log_target: bool = True,
     label_space: str = "original",
     seed: int = 0,
+    areas: Areas | None = None,
 ) -> CvResult:
     """Nested spatial cross-validation of a linear model in two passes over the data.
 
     Pass 1 aggregates cross products per combination of areas; tuning and all fits use only
     those. Pass 2 scores all outer models at once. ``label_space='log'`` scores back-transformed
-    predictions against untransformed labels, as the original figures were made.
+    predictions against untransformed labels, as the original figures were made. ``areas`` (from
+    ``nested_areas``) lets several models share their folds.
     """
     features = check_features(features)
     points = parameter_grid(grid or GRIDS[model])
     fit = linear.FITTERS[model]
-    outer, inner, final = nested_areas(df, seed=seed)
+    outer, inner, final = areas or nested_areas(df, seed=seed)
     placed = with_areas(df, outer, inner, final)
     keys = ["outer_area", *[f"inner_area_{i}" for i in range(len(outer))], "final_area"]
     groups = linear.cross_products(placed, features, target, keys)
@@ -137,6 +139,7 @@ def spatial_cv(
     final: bool = True,
     seed: int = 0,
     parallelism: int = 4,
+    areas: Areas | None = None,
 ) -> CvResult:
     """Nested spatial cross-validation of any Spark ML regressor.
 
@@ -144,7 +147,7 @@ def spatial_cv(
     concurrently, so that small fits fill the cluster.
     """
     features = check_features(features)
-    outer, inner, final_areas = nested_areas(df, seed=seed)
+    outer, inner, final_areas = areas or nested_areas(df, seed=seed)
     rows = assemble(with_areas(df, outer, inner, final_areas), features)
     kept = [target, "features", "outer_area", "final_area", *[f"inner_area_{i}" for i in range(len(outer))]]
     rows = rows.select(*kept).persist()

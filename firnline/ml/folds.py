@@ -8,6 +8,7 @@ on every evaluation and needs neither a join nor a stored fold column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Centres = list[tuple[float, float]]
+Areas = tuple[Centres, list[Centres], Centres]
+CELLS_PER_PARTITION = 100_000
 
 
 def cell_weights(df: DataFrame) -> DataFrame:
@@ -30,13 +33,13 @@ def fit_centres(weights: DataFrame, k: int = 5, seed: int = 0) -> Centres:
 def area(centres: Centres, x: str = "x", y: str = "y") -> Column:
     """Index of the nearest centre; ties go to the smaller index."""
     distances = [
-        F.struct(
-            ((F.col(x) - cx) * (F.col(x) - cx) + (F.col(y) - cy) * (F.col(y) - cy)).alias("d"),
-            F.lit(i).alias("i"),
-        )
-        for i, (cx, cy) in enumerate(centres)
+        (F.col(x) - cx) * (F.col(x) - cx) + (F.col(y) - cy) * (F.col(y) - cy) for cx, cy in centres
     ]
-    return F.array_min(F.array(*distances))["i"]
+    nearest = F.least(*distances) if len(distances) > 1 else distances[0]
+    out = F.when(distances[0] == nearest, 0)
+    for i, d in enumerate(distances[1:], start=1):
+        out = out.when(d == nearest, i)
+    return out
 
 
 def leave_one_out(df: DataFrame, fold: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -44,18 +47,26 @@ def leave_one_out(df: DataFrame, fold: str, k: int) -> tuple[DataFrame, DataFram
     return df.where(F.col(fold) != k), df.where(F.col(fold) == k)
 
 
-def nested_areas(df: DataFrame, k: int = 5, seed: int = 0) -> tuple[Centres, list[Centres], Centres]:
+def nested_areas(
+    df: DataFrame, k: int = 5, seed: int = 0, parallelism: int = 6
+) -> Areas:
     """Centres of the outer areas, of the inner areas of each outer training set, and of the
-    areas used to tune the final model."""
-    weights = cell_weights(df).persist()
+    areas used to tune the final model.
+
+    The cell weights are kept in partitions of a useful size, and the fits that do not depend on
+    each other run at the same time.
+    """
+    counted = cell_weights(df).persist()
     try:
+        weights = counted.coalesce(1 + counted.count() // CELLS_PER_PARTITION)
         outer = fit_centres(weights, k, seed)
-        inner = [
-            fit_centres(weights.where(area(outer) != i), k, seed + 1 + i) for i in range(len(outer))
-        ]
-        return outer, inner, fit_centres(weights, k, seed + 1 + len(outer))
+        jobs = [(weights.where(area(outer) != i), seed + 1 + i) for i in range(len(outer))]
+        jobs.append((weights, seed + 1 + len(outer)))
+        with ThreadPoolExecutor(parallelism) as pool:
+            fitted = list(pool.map(lambda job: fit_centres(job[0], k, job[1]), jobs))
+        return outer, fitted[:-1], fitted[-1]
     finally:
-        weights.unpersist()
+        counted.unpersist()
 
 
 def with_areas(

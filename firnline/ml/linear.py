@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,29 +54,42 @@ class LinearFit:
 def cross_products(
     df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = ()
 ) -> dict[tuple, Products]:
-    """Cross products per group of ``by``, from one aggregation with map-side combine.
+    """Cross products per group of ``by`` (integer columns with few combinations), in one pass.
 
-    Products are taken around fixed shifts (the overall means would need another pass) only
-    implicitly: features are expected on comparable scales, as the fixed normalisation gives.
+    Every task multiplies its Arrow batches by group (one matrix product each) and hands on one
+    partial matrix per group; the partial matrices are added up by a grouped aggregate, entry by
+    entry, so the driver receives one matrix per group whatever the number of tasks. Rows with a
+    missing value are left out.
     """
     names = [*features, target]
+    width = len(names) + 1
     present = df
     for c in names:
         present = present.where(F.col(c).isNotNull())
-    pairs = list(combinations_with_replacement(range(len(names)), 2))
-    rows = present.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.sum(F.col(c).cast("double")) for c in names]).alias("s"),
-        F.array(
-            *[F.sum(F.col(names[i]).cast("double") * F.col(names[j]).cast("double")) for i, j in pairs]
-        ).alias("ss"),
-    )
+    key = F.concat_ws(",", *[F.col(b).cast("string") for b in by]) if by else F.lit("")
+    data = present.select(key.alias("g"), *[F.col(c).cast("double").alias(c) for c in names])
+
+    def partial(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            m = np.column_stack([np.ones(len(batch)), batch[names].to_numpy(float)])
+            codes, groups = pd.factorize(batch["g"])
+            for i, group in enumerate(groups):
+                part = m[codes == i] if len(groups) > 1 else m
+                sums[group] = sums.get(group, 0.0) + part.T @ part
+        for group, total_ in sums.items():
+            yield pd.DataFrame({"g": group, "i": np.arange(width * width), "v": total_.ravel()})
+
+    entries = data.mapInPandas(partial, "g string, i int, v double")
+    added = entries.groupBy("g", "i").agg(F.sum("v").alias("v"))
+    matrices: dict[str, np.ndarray] = {}
+    for r in added.collect():  # width^2 numbers per group
+        matrices.setdefault(r["g"], np.zeros(width * width))[r["i"]] = r["v"]
     out = {}
-    for r in rows.collect():  # one small row per area
-        m = np.zeros((len(names), len(names)))
-        for (i, j), v in zip(pairs, r["ss"]):
-            m[i, j] = m[j, i] = v
-        out[tuple(r[b] for b in by)] = Products(float(r["n"]), np.array(r["s"], float), m)
+    for group, flat in matrices.items():
+        m = flat.reshape(width, width)
+        ids = tuple(int(v) for v in group.split(",")) if by else ()
+        out[ids] = Products(float(m[0, 0]), m[0, 1:], m[1:, 1:])
     return out
 
 

@@ -89,6 +89,15 @@ def inverse_set(cells: DataFrame, subset: DataFrame) -> DataFrame:
     return cells.select(*CELL).join(subset, CELL, "left_anti")
 
 
+def combined_mask(pixels: DataFrame, few: Sequence[int] = (2, 3)) -> DataFrame:
+    """Both masks in one aggregation over the ice pixels: melt = 0 for cells that never melt or
+    melt on ``few`` days in total, else 1."""
+    ice = pixels.where("mw_value <> -1")
+    days = F.count_if(F.col("mw_value") == 1)
+    counted = ice.groupBy(*CELL).agg(days.alias("n"))
+    return counted.select(*CELL, F.when(F.col("n").isin(0, *few), 0).otherwise(1).alias("melt"))
+
+
 def apply_masks(
     df: DataFrame,
     no_melt: DataFrame | None = None,

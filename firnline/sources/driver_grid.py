@@ -7,9 +7,10 @@ it, ``events`` plays the weather station. The same definitions exist as SQL in
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.grid import Grid
@@ -76,17 +77,12 @@ def cells(spark: SparkSession, sf_dir: str, grid: Grid | None = None) -> DataFra
     )
 
 
-def scene_dates() -> F.Column:
-    """All scene dates as one array expression."""
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(N_SEASONS - 1)),
-            lambda s: F.transform(
-                F.sequence(F.lit(0), F.lit(SEASON_DAYS - 1)),
-                lambda k: F.date_add(F.make_date(s + FIRST_YEAR, F.lit(6), F.lit(1)), k),
-            ),
-        )
-    )
+def scene_dates() -> Column:
+    """All scene dates as one array literal."""
+    days = [
+        dt.date(FIRST_YEAR + s, 6, 1 + k) for s in range(N_SEASONS) for k in range(SEASON_DAYS)
+    ]
+    return F.array(*[F.lit(day) for day in days])
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ run over everything.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,24 +33,19 @@ STORE_SCHEMA = T.StructType([*SCENE_SCHEMA.fields, T.StructField("batch", T.Long
 HISTORY_DAYS = 7
 
 
-def affected_dates(arrived: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Dates with a scene among the arrived dates and the week after each of them."""
-    after = arrived.select(
-        F.explode(F.sequence(F.col("date"), F.date_add("date", HISTORY_DAYS))).alias("date")
-    ).distinct()
-    return scenes.select("date").distinct().join(after, "date", "left_semi")
+def dates_after(dates: Iterable[dt.date]) -> list[dt.date]:
+    """The dates and the week after each of them."""
+    return sorted({d + dt.timedelta(k) for d in dates for k in range(HISTORY_DAYS + 1)})
 
 
-def needed_dates(targets: DataFrame) -> DataFrame:
-    """The target dates and the week before each of them."""
-    return targets.select(
-        F.explode(F.sequence(F.date_sub("date", HISTORY_DAYS), F.col("date"))).alias("date")
-    ).distinct()
+def dates_before(dates: Iterable[dt.date]) -> list[dt.date]:
+    """The dates and the week before each of them."""
+    return sorted({d - dt.timedelta(k) for d in dates for k in range(HISTORY_DAYS + 1)})
 
 
-def date_list(days: DataFrame) -> list:
-    """Dates as driver values; a table of dates, at most a few thousand rows."""
-    return sorted(r["date"] for r in days.select("date").distinct().collect())
+def scene_dates(scenes: DataFrame) -> list[dt.date]:
+    """Scene dates of a batch or of some partitions: a short list, like a directory listing."""
+    return sorted(r["date"] for r in scenes.select("date").distinct().collect())
 
 
 def latest_pixels(stored: DataFrame) -> DataFrame:
@@ -64,7 +62,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: str, static: DataFrame,
     whose files arrive in several batches keeps all its parts.
     """
     spark = batch.sparkSession
-    arrived = date_list(batch)
+    arrived = scene_dates(batch)
     if not arrived:
         return
     band = F.floor(F.col("row") / 256)
@@ -77,10 +75,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: str, static: DataFrame,
 
     overwrite(batch.withColumn("batch", F.lit(batch_id).cast("long")), store, "date", "batch")
     stored = spark.read.schema(STORE_SCHEMA).parquet(store)
-    known = spark.createDataFrame([(d,) for d in arrived], "date date")
-    targets = date_list(affected_dates(known, stored))
     # literal dates prune the partitions of the store
-    history = date_list(needed_dates(spark.createDataFrame([(d,) for d in targets], "date date")))
+    targets = scene_dates(stored.where(F.col("date").isin(dates_after(arrived))))
+    history = dates_before(targets)
     window = latest_pixels(stored.where(F.col("date").isin(history)))
     overwrite(build_features(window, static, only=targets), output, "date")
 

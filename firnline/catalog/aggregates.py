@@ -392,9 +392,17 @@ def cdf_sql(z: str) -> str:
     return f"(CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END)"
 
 
-ORDERED = f"""ordered AS (SELECT i, n, v, {inverse_sql('q')} AS m FROM (
+def ordered_cte(source: str, value: str) -> str:
+    """Order statistics with their theoretical quantiles."""
+    return f"""ordered AS (SELECT i, n, v, {inverse_sql('q')} AS m FROM (
   SELECT *, CASE WHEN i = n THEN power(0.5, 1.0/n) WHEN i = 1 THEN 1 - power(0.5, 1.0/n) ELSE (i - 0.3175)/(n + 0.365) END AS q FROM (
-  SELECT row_number() OVER (ORDER BY opt_raw) AS i, count(*) OVER () AS n, opt_raw AS v FROM px WHERE opt_raw IS NOT NULL)))"""
+  SELECT row_number() OVER (ORDER BY {value}) AS i, count(*) OVER () AS n, {value} AS v FROM {source} WHERE {value} IS NOT NULL)))"""
+
+
+ORDERED = ordered_cte("px", "opt_raw")
+QQ_FIT = (
+    f"SELECT {p.r('regr_slope(v, m)', 'slope')}, {p.r('regr_intercept(v, m)', 'intercept')}, {p.r('corr(v, m)', 'r')}, count(*) AS n FROM ordered"
+)
 
 
 @query(
@@ -405,13 +413,7 @@ def qq_points(spark, sf):
     return plain(ranks.qq_points(g.pixels(spark, sf), "opt_raw"))
 
 
-@query(
-    "a17_qq_fit",
-    p.sql(
-        f"SELECT {p.r('regr_slope(v, m)', 'slope')}, {p.r('regr_intercept(v, m)', 'intercept')}, {p.r('corr(v, m)', 'r')}, count(*) AS n FROM ordered",
-        ORDERED,
-    ),
-)
+@query("a17_qq_fit", p.sql(QQ_FIT, ORDERED))
 def qq_fit(spark, sf):
     return plain(ranks.qq_fit(g.pixels(spark, sf), "opt_raw"))
 

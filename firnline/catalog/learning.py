@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from firnline.catalog import prelude as p
-from firnline.catalog.aggregates import ENSEMBLE, predictions
+from firnline.catalog.aggregates import ENSEMBLE, QQ_FIT, ordered_cte, predictions
 from firnline.catalog.filters import AREA, SPREAD_CELLS, spread_cells
 from firnline.catalog.joins import extended
 from firnline.catalog.registry import plain, query
@@ -15,6 +15,7 @@ from firnline.functions import labels as fl
 from firnline.functions.scalars import FEATURE_BOUNDS, melt_label
 from firnline.ml import cv, estimators, folds, importance, linear, metrics
 from firnline.ml.ensemble import ensemble_statistics
+from firnline.ml.store import load_model, save_model
 from firnline.operators.aggregates import majority
 from firnline.operators.masks import combined_mask
 from firnline.plans.residuals import residual_report
@@ -132,7 +133,7 @@ def leave_one_area_out(spark, sf):
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
-    return plain(out)
+    return plain(out.where("n > 0"))
 
 
 @query("l03_l04_tuning_scores")
@@ -339,6 +340,22 @@ def fit_row(spark, fit):
 FIT_OUT = f"SELECT {p.r('wa', 'wa')}, {p.r('wb', 'wb')}, {p.r('my - wa*ma - wb*mb', 'intercept')} FROM fit"
 
 
+@query(
+    "s09_model_save_and_load",
+    p.sql(
+        f"SELECT {p.d()}, x, y, {p.r('my - wa*ma - wb*mb + wa*mw_value + wb*((x - (-636500.0))/(824500.0 - (-636500.0))*60)', 'prediction')} FROM px, fit WHERE opt_value IS NOT NULL",
+        TWO,
+        pair_sql("0"),
+    ),
+)
+def model_save_and_load(spark, sf):
+    data = estimators.assemble(two_features(spark, sf), ["a", "b"])
+    root = shared_folder(spark)
+    save_model(estimators.linear("target").fit(data), root, "linear")
+    back = load_model(root, "linear")
+    return plain(back.transform(data).select("date", "x", "y", "prediction"))
+
+
 @query("l09_ols_two_features", p.sql(FIT_OUT, TWO, pair_sql("0")))
 def ols_two_features(spark, sf):
     return fit_row(spark, pair_fit(spark, sf, linear.ols))
@@ -539,7 +556,7 @@ def residual_histogram(spark, sf):
     return _residuals(spark, sf)["histogram"].select("feature", "bin", "n")
 
 
-@query("l21_residual_qq")
+@query("l21_residual_qq", p.sql(QQ_FIT, RES, ordered_cte("res", "rr")))
 def residual_qq(spark, sf):
     return plain(_residuals(spark, sf)["qq"])
 

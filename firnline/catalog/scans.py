@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from firnline.catalog import prelude as p
 from firnline.catalog.registry import plain, query
-from firnline.ml.store import load_model, save_model
-from firnline.ml.estimators import assemble
 from firnline.session import shared_folder
 from firnline.sources import driver_grid as g
 from firnline.sources import rasters, tables
@@ -151,16 +148,6 @@ def station_window_and_level(spark, sf):
     return plain(kept.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
 
 
-@query("s09_model_save_and_load")
-def model_save_and_load(spark, sf):
-    rows = g.pixels(spark, sf).where("opt_value IS NOT NULL").select("x", "y", "mw_value", "opt_value")
-    data = assemble(rows, ["x", "y", "mw_value"])
-    root = shared_folder(spark)
-    save_model(LinearRegression(labelCol="opt_value", solver="normal").fit(data), root, "linear")
-    back = load_model(root, "linear")
-    return plain(back.transform(data).select("x", "y", "opt_value", "prediction"))
-
-
 @query(
     "s10_pivot_by_date",
     p.sql(

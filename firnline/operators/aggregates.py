@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firnline.operators.bounded import lookup
 from firnline.operators.ranks import exact_quantiles
 
 
@@ -111,22 +112,22 @@ def box_plot(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles and whiskers: the most extreme values within 1.5 interquartile ranges.
 
     ``by`` is categorical with few values. Quartiles come from the distributed ranking; the
-    whiskers are a plain aggregate over the rows joined with one small row per category.
+    whiskers are a plain aggregate over the rows with the limits of their category.
     """
     boxes = exact_quantiles(df, value, (0.25, 0.5, 0.75), by)
     q1, q3 = F.col("q")[0], F.col("q")[2]
     fence = 1.5 * (q3 - q1)
     v = F.col(value)
-    limits = boxes.select(by, "n", "q", (q1 - fence).alias("_lo"), (q3 + fence).alias("_hi"))
+    entry = F.struct("n", "q", (q1 - fence).alias("lo"), (q3 + fence).alias("hi"))
     return (
-        df.where(v.isNotNull())
-        .join(limits, by)
+        df.where(v.isNotNull() & F.col(by).isNotNull())
+        .withColumn("_box", F.element_at(lookup(boxes, by, entry), F.col(by)))
         .groupBy(by)
         .agg(
-            F.first("n").alias("n_values"),
-            F.first("q").alias("q"),
-            F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_low"),
-            F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_high"),
+            F.first("_box.n").alias("n_values"),
+            F.first("_box.q").alias("q"),
+            F.min(F.when(v >= F.col("_box.lo"), v)).alias("whisker_low"),
+            F.max(F.when(v <= F.col("_box.hi"), v)).alias("whisker_high"),
         )
         .select(
             by,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firnline.operators.bounded import at_most
+
 
 def _range(df: DataFrame, *values: str) -> Column:
     lows = [F.min(v) for v in values]
@@ -85,7 +87,7 @@ def density(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     counts = binned.groupBy("bin_x", "bin_y").agg(F.count("*").alias("_n"))
     area = (rx["hi"] - rx["lo"]) / bins * ((ry["hi"] - ry["lo"]) / bins)
     total = df.agg(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))).scalar()
-    return binned.join(counts, ["bin_x", "bin_y"]).select(
+    return binned.join(at_most(counts, bins * bins), ["bin_x", "bin_y"]).select(
         *df.columns, "bin_x", "bin_y", (F.col("_n") / (total * area)).alias("density")
     )
 
@@ -123,9 +125,9 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = 100) -> DataFr
 
 
 def with_density(hist: DataFrame) -> DataFrame:
-    """Histogram normalised to area one per feature."""
+    """Histogram normalised to area one per feature (one total per listed column)."""
     totals = hist.groupBy("feature").agg(F.sum("n").alias("_t"))
-    return hist.join(totals, "feature").select(
+    return hist.join(F.broadcast(totals), "feature").select(
         *hist.columns, (F.col("n") / (F.col("_t") * F.col("width"))).alias("density")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnline.functions.scalars import BOUNDARY_Y, NORTH_ROWS, scaled_y
+from firnline.operators.bounded import dates_of
 
 FORBIDDEN_FEATURES = ("row", "col", "date", "opt_value")
 
@@ -94,7 +95,7 @@ def days_per_month(df: DataFrame, k: int, seed: int = 1) -> DataFrame:
     days = df.select("date").distinct().select("date", month.alias("month"), pick.alias("pick"))
     chosen = days.groupBy("month").agg(F.sort_array(F.collect_list(F.struct("pick", "date"))).alias("d"))
     dates = chosen.select(F.explode(F.slice("d", 1, k)["date"]).alias("date"))
-    return df.join(dates, "date", "left_semi")
+    return df.join(dates_of(dates), "date", "left_semi")
 
 
 def static_and_dynamic(

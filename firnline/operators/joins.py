@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firnline.operators.bounded import dates_of
+
 
 def microwave_with_optical(microwave: DataFrame, optical: DataFrame) -> DataFrame:
     """All days at once: microwave pixels with the optical value of the same day and cell."""
@@ -27,7 +29,7 @@ def attach_station(pixels: DataFrame, *series: DataFrame) -> DataFrame:
 def drop_by_layer(pixels: DataFrame, layer: DataFrame, condition: Column) -> DataFrame:
     """Remove pixels whose (date, cell) meets a condition in another layer; days on which that
     layer has no scene are left out altogether."""
-    with_scene = pixels.join(layer.select("date").distinct(), "date", "left_semi")
+    with_scene = pixels.join(dates_of(layer), "date", "left_semi")
     return with_scene.join(layer.where(condition), ["date", "x", "y"], "left_anti")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from firnline.operators.bounded import per_date
+
 CELL = ["x", "y"]
 
 
@@ -25,7 +27,8 @@ def never_melting(pixels: DataFrame, per: Sequence[str] = ()) -> DataFrame:
         F.count_if(~F.coalesce("mw_value", F.lit(0)).isin(-1, 1)).alias("n_quiet")
     )
     if per:
-        return quiet.join(days, list(per)).where("n_quiet = n_days").select(*per, *CELL)
+        # scenes per group: never more rows than there are scene dates
+        return quiet.join(per_date(days), list(per)).where("n_quiet = n_days").select(*per, *CELL)
     return quiet.where(F.col("n_quiet") == days.select("n_days").scalar()).select(*CELL)
 
 
@@ -47,7 +50,7 @@ def never_melting_cumulative(pixels: DataFrame) -> DataFrame:
     so_far = W.partitionBy(*CELL).orderBy("year").rowsBetween(W.unboundedPreceding, 0)
     return (
         yearly.withColumn("hits", F.count("*").over(so_far))
-        .join(ranks, "year")
+        .join(per_date(ranks), "year")
         .where("hits = k")
         .select("year", *CELL)
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from firnline.functions import normal
+from firnline.operators.bounded import lookup
 
 CHUNK = 1 << 16
 
@@ -70,7 +71,8 @@ def exact_quantiles(
     sizes = df.where(F.col(value).isNotNull())
     if by:
         sizes = sizes.groupBy(by).agg(F.count("*").alias("_total"))
-        placed = ranked.join(sizes, by)
+        total = F.element_at(lookup(sizes, by, F.col("_total")), F.col(by))
+        placed = ranked.where(F.col(by).isNotNull()).withColumn("_total", total)
     else:
         placed = ranked.withColumn("_total", sizes.agg(F.count("*")).scalar())
     wanted = []

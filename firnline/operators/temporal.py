@@ -7,20 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from firnline.grid import Grid
+from firnline.operators.bounded import per_date
 
 
 def grid_ranks(df: DataFrame, grid: Grid | None = None) -> DataFrame:
     """0-based ``col`` by ascending x and ``row`` by descending y.
 
     With a grid contract this is arithmetic. Otherwise each axis (a few thousand distinct
-    coordinates) is sorted once and joined back; the engine broadcasts a table of that size.
+    coordinates) is sorted once and joined back by broadcast.
     """
     if grid is not None:
         return df.withColumns({"col": grid.col(F.col("x")), "row": grid.row(F.col("y"))})
 
     def axis(name: str, rank: str, ascending: bool) -> DataFrame:
         ordered = df.agg(F.sort_array(F.collect_set(name), asc=ascending).alias("v"))
-        return ordered.select(F.posexplode("v").alias(rank, name))
+        # one entry per raster line or column; it comes out of a single row, so it is small
+        return F.broadcast(ordered.select(F.posexplode("v").alias(rank, name)))
 
     return df.join(axis("x", "col", True), "x").join(axis("y", "row", False), "y")
 
@@ -54,7 +56,7 @@ def earlier_values(
     today = F.col(value).cast("double")
     columns = pixels.columns
     return (
-        pixels.join(calendar, "date", "left")
+        pixels.join(per_date(calendar), "date", "left")
         .select(
             "*",
             F.max(today).over(history.rangeBetween(-1, -1)).alias("_before"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions.dates import until_season_end
 from firnline.operators.aggregates import bad_dates, missing_share
+from firnline.operators.bounded import dates_of
 
 MISSING_LIMIT = 0.86  # fixed value: share of missing optical pixels above which a day is bad
 
@@ -21,4 +22,4 @@ def dates_to_remove(
 
 
 def without_bad_dates(pixels: DataFrame, dates: DataFrame) -> DataFrame:
-    return pixels.join(dates, "date", "left_anti")
+    return pixels.join(dates_of(dates), "date", "left_anti")

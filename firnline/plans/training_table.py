@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from firnline.functions.scalars import normalise
+from firnline.operators.bounded import dates_of
 from firnline.operators.masks import apply_masks
 
 
@@ -18,7 +19,7 @@ def training_table(
 ) -> DataFrame:
     rows = apply_masks(extended, no_melt, little_melt)
     if bad_days is not None:
-        rows = rows.join(bad_days, "date", "left_anti")
+        rows = rows.join(dates_of(bad_days), "date", "left_anti")
     if not keep_ids:
         rows = rows.drop("row", "col", "date")
     return normalise(rows) if scaled else rows

@@ -1,61 +1,107 @@
 """Statistics that need the whole sample in order, without one ordered global window.
 
 Equal values are merged into (value, count). The merged rows are cut into ranges at approximate
-quantiles; a window ranks inside a range, and the exact size of all earlier ranges, a short array,
-is added. The result does not depend on where the cuts fall.
+quantiles; a window ranks inside a range, and the exact size of all earlier ranges is added. The result does not depend on where the cuts fall.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firnline.functions import normal
 from firnline.operators.bounded import lookup
+from firnline.session import checkpointed
 
-CHUNK = 1 << 16
+CHUNK = 1 << 16  # rows one value is expanded to at once
+RANGE_ROWS = 1_000_000
+MAX_RANGES = 4096
 
 
-def value_ranks(df: DataFrame, value: str, by: str | None = None, ranges: int = 64) -> DataFrame:
-    """One row per distinct value: ``v``, ``n`` and its 1-based ranks ``lo..hi``.
+@dataclass(frozen=True)
+class Moments:
+    n: int
+    mean: float
+    std: float  # sample deviation
+    low: float
+    high: float
 
-    ``by`` names a categorical column with few values; ranks then count within each category.
+
+def merged_values(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """``v, n`` (and the category): every distinct value once, with its count. Rows without a
+    value or a category are left out.
+
+    Written to the checkpoint directory: the steps below read it several times, and what comes
+    before it may be a long pipeline.
     """
     keys = [by] if by else []
-    merged = (
-        df.where(F.col(value).isNotNull())
+    return checkpointed(
+        df.dropna(subset=[value, *keys])
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg(F.count("*").alias("n"))
     )
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = merged.agg(F.percentile_approx("v", steps, F.lit(10000))).first()[0]
-    # The cuts are literals, so every use and every retried task sees the same ranges.
-    literal = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or [0.0]))])
-    cut = merged.select(
-        *keys, "v", "n", F.size(F.filter(literal, lambda c: c < F.col("v"))).alias("_range")
-    )
-    sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("m"))
-    sizes = sizes.agg(F.collect_list(F.struct(*keys, "_range", "m"))).scalar()
 
-    def earlier(s: Column) -> Column:
-        before = s["_range"] < F.col("_range")
-        return before & s[by].eqNullSafe(F.col(by)) if by else before
 
-    offset = F.aggregate(
-        "_sizes",
-        F.lit(0).cast("long"),
-        lambda acc, s: acc + F.when(earlier(s), s["m"]).otherwise(0),
+def moments(merged: DataFrame) -> Moments:
+    """Size, mean, deviation and range from merged values (deviations around the mean)."""
+    one = merged.agg(
+        F.sum("n").alias("n"),
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("v").alias("low"),
+        F.max("v").alias("high"),
+    ).first()
+    d = F.col("v") - F.lit(one["mean"])
+    squares = merged.agg(F.sum(d * d * F.col("n"))).first()[0]
+    return Moments(one["n"], one["mean"], (squares / (one["n"] - 1)) ** 0.5, one["low"], one["high"])
+
+
+def value_ranks(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """One row per distinct value: ``v``, ``n`` and its 1-based ranks ``lo..hi``.
+
+    ``by`` names a categorical column with few values; ranks then count within each category.
+    """
+    return rank_merged(merged_values(df, value, by), by)
+
+
+def rank_merged(merged: DataFrame, by: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Ranks of merged values: cut, rank inside each range, add the size of the earlier ranges.
+
+    The number of ranges follows the number of values (at most MAX_RANGES), so a window never
+    holds more than a share of them. The cuts and the sizes, one number per range, are fixed on
+    the driver: every use and every retried task sees the same ranges.
+    """
+    keys = [by] if by else []
+    ranges = int(min(MAX_RANGES, max(8, merged.count() // range_rows)))
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = merged.agg(F.percentile_approx("v", steps, F.lit(4 * MAX_RANGES))).first()[0] or []
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="v", outputCol="_range").transform(merged)
+    sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("m")).collect()
+    offsets, before = [], {}
+    for r in sorted(sizes, key=lambda r: r["_range"]):
+        group = tuple(r[k] for k in keys)
+        offsets.append((*group, r["_range"], before.get(group, 0)))
+        before[group] = before.get(group, 0) + r["m"]
+    schema = T.StructType(
+        [
+            *[cut.schema[k] for k in keys],
+            T.StructField("_range", T.DoubleType()),
+            T.StructField("_offset", T.LongType()),
+        ]
     )
+    table = F.broadcast(merged.sparkSession.createDataFrame(offsets, schema))
     inside = W.partitionBy(*keys, "_range").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    counted = cut.withColumn("_upto", F.sum("n").over(inside)).withColumn("_sizes", sizes)
-    return counted.withColumn("hi", F.col("_upto") + offset).select(
-        *keys, "v", "n", (F.col("hi") - F.col("n") + 1).alias("lo"), "hi"
-    )
+    counted = cut.withColumn("_upto", F.sum("n").over(inside)).join(table, [*keys, "_range"])
+    hi = F.col("_upto") + F.col("_offset")
+    return counted.select(*keys, "v", "n", (hi - F.col("n") + 1).alias("lo"), hi.alias("hi"))
 
 
 def exact_quantiles(
@@ -67,14 +113,14 @@ def exact_quantiles(
     at the wanted ranks survive the distributed ranking.
     """
     keys = [by] if by else []
-    ranked = value_ranks(df, value, by)
-    sizes = df.where(F.col(value).isNotNull())
+    merged = merged_values(df, value, by)
+    ranked = rank_merged(merged, by)
     if by:
-        sizes = sizes.groupBy(by).agg(F.count("*").alias("_total"))
+        sizes = merged.groupBy(by).agg(F.sum("n").alias("_total"))
         total = F.element_at(lookup(sizes, by, F.col("_total")), F.col(by))
-        placed = ranked.where(F.col(by).isNotNull()).withColumn("_total", total)
+        placed = ranked.withColumn("_total", total)
     else:
-        placed = ranked.withColumn("_total", sizes.agg(F.count("*")).scalar())
+        placed = ranked.withColumn("_total", merged.agg(F.sum("n")).scalar())
     wanted = []
     for k, p in enumerate(fractions):
         at = (F.col("_total") - 1) * F.lit(float(p))
@@ -89,10 +135,9 @@ def exact_quantiles(
     return one.select(*keys, "n", F.array(*q).alias("q"))
 
 
-def ordered_sample(df: DataFrame, value: str) -> DataFrame:
+def ordered_sample(ranked: DataFrame) -> DataFrame:
     """The order statistics ``(i, v)``. A value that repeats many times is expanded in chunks
     that are spread over tasks, so a hot value is no hot task."""
-    ranked = value_ranks(df, value)
     chunks = ranked.select(
         "v", "lo", "hi", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK))).alias("k")
     )
@@ -112,8 +157,9 @@ def filliben_quantile(i: Column, n: Column) -> Column:
 
 def qq_points(df: DataFrame, value: str) -> DataFrame:
     """Normal Q-Q points: rank, theoretical quantile, ordered value."""
-    n = df.agg(F.count(value)).scalar()
-    return ordered_sample(df, value).select(
+    merged = merged_values(df, value)
+    n = F.lit(merged.agg(F.sum("n")).first()[0])
+    return ordered_sample(rank_merged(merged)).select(
         "i", filliben_quantile(F.col("i"), n).alias("theoretical"), F.col("v").alias("ordered")
     )
 
@@ -133,18 +179,15 @@ def anderson_darling(df: DataFrame, value: str) -> DataFrame:
 
     The sums over equal values are closed forms of their rank range, so no value is expanded.
     """
-    stats = df.agg(
-        F.struct(
-            F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s")
-        )
-    ).scalar()
-    n = stats["n"].cast("double")
-    z = (F.col("v") - stats["m"]) / stats["s"]
+    merged = merged_values(df, value)
+    stats = moments(merged)
+    n = F.lit(float(stats.n))
+    z = (F.col("v") - stats.mean) / stats.std
     count, span = F.col("n").cast("double"), (F.col("lo") + F.col("hi")).cast("double")
     up = span * count - count
     down = (2 * n + 1) * count - span * count
     term = up * F.log(normal.cdf(z)) + down * F.log(normal.cdf(-z))
-    total = value_ranks(df, value).agg(F.sum(term).alias("t"), F.sum("n").alias("n"))
+    total = rank_merged(merged).agg(F.sum(term).alias("t"), F.sum("n").alias("n"))
     size = F.col("n").cast("double")
     return total.select("n", (-size - F.col("t") / size).alias("statistic"))
 
@@ -152,20 +195,16 @@ def anderson_darling(df: DataFrame, value: str) -> DataFrame:
 def kernel_density(df: DataFrame, value: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid with Scott's bandwidth.
 
-    Two scalars (bandwidth and range) come from one aggregate; then every task adds up the
+    Bandwidth and range come from the merged values; then every task adds up the
     kernels of its own batches and only its ``points`` partial sums are shuffled.
     """
-    s = df.agg(
-        F.count(value).alias("n"),
-        F.stddev_samp(value).alias("s"),
-        F.min(value).cast("double").alias("lo"),
-        F.max(value).cast("double").alias("hi"),
-    ).first()
-    width = s["s"] * s["n"] ** -0.2
-    low, high = s["lo"] - cut * width, s["hi"] + cut * width
+    merged = merged_values(df, value)
+    s = moments(merged)
+    width = s.std * s.n**-0.2
+    low, high = s.low - cut * width, s.high + cut * width
     step = (high - low) / (points - 1)
     grid = low + step * np.arange(points)
-    norm = 1.0 / (s["n"] * width * np.sqrt(2 * np.pi))
+    norm = 1.0 / (s.n * width * np.sqrt(2 * np.pi))
 
     def partial(batches):
         total = np.zeros(points)
@@ -176,11 +215,6 @@ def kernel_density(df: DataFrame, value: str, points: int = 200, cut: float = 3.
                 total += np.exp(-0.5 * part * part) @ c[lo : lo + 2048]
         yield pd.DataFrame({"i": np.arange(points, dtype="int32"), "part": total})
 
-    merged = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("v"))
-        .agg(F.count("*").alias("n"))
-    )
     sums = merged.mapInPandas(partial, "i int, part double").groupBy("i").agg(F.sum("part").alias("t"))
     return sums.select(
         (F.lit(float(low)) + F.col("i") * float(step)).alias("point"), (F.col("t") * float(norm)).alias("density")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, name: str = "firnline") -> SparkSession:
@@ -26,6 +27,11 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "firnline")
     )
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="firnline-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder every executor can reach.
 
@@ -34,6 +40,16 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="firnline-")
-        spark.sparkContext.setCheckpointDir(base)
+        base = _own_folder()
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(base)
     return os.path.join(base, "firnline", uuid.uuid4().hex)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint directory, so that later steps do not recompute them
+    and a lost executor costs nothing."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        shared_folder(spark)
+    return df.checkpoint()

@@ -225,7 +225,7 @@ def test_ranks_with_a_hot_value(spark):
     assert ranked[0.5] == (1, 1, 1)
     assert ranked[1.0] == (200_000, 2, 200_001)
     assert ranked[299.0] == (1, len(values), len(values))
-    sample = ranks.ordered_sample(df, "v")
+    sample = ranks.ordered_sample(ranks.value_ranks(df, "v"))
     n, first, last, distinct = sample.agg(
         F.count("*"), F.min("i"), F.max("i"), F.count_distinct("i")
     ).first()
@@ -239,3 +239,12 @@ def test_exact_quantiles_per_category(spark):
     fractions = (0.01, 0.25, 0.5, 0.99)
     for r in ranks.exact_quantiles(df, "v", fractions, "c").collect():
         assert r["q"] == pytest.approx(np.quantile(v[c == r["c"]], fractions))
+
+
+def test_ranks_do_not_depend_on_the_number_of_ranges(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(float(v),) for v in rng.integers(0, 400, 3000)], "v double")
+    merged = ranks.merged_values(df, "v")
+    few = ranks.rank_merged(merged)
+    many = ranks.rank_merged(merged.repartition(7), range_rows=10)
+    assert few.exceptAll(many).count() == 0 and few.count() == many.count() == merged.count()

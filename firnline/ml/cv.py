@@ -95,9 +95,9 @@ def spatial_cv_linear(
 
     log: list[tuple[int, int, int, float]] = []
 
-    def tuned(rows: Callable[[dict], bool], fold: str, label: int) -> dict:
+    def tuned(rows: Callable[[dict], bool], fold: str, n_folds: int, label: int) -> dict:
         sums = [0.0] * len(points)
-        for j in range(5):
+        for j in range(n_folds):
             held = pick(lambda k: rows(k) and k[fold] == j)
             rest = pick(lambda k: rows(k) and k[fold] != j)
             if held is None or rest is None:
@@ -111,10 +111,10 @@ def spatial_cv_linear(
     models = []
     for i in range(len(outer)):
         train = lambda k, i=i: k["outer_area"] != i
-        params = tuned(train, f"inner_area_{i}", i) if tune else points[0]
+        params = tuned(train, f"inner_area_{i}", len(inner[i]), i) if tune else points[0]
         models.append(fit(pick(train), features, **params))
     everything = lambda k: True
-    params = tuned(everything, "final_area", -1) if tune else points[0]
+    params = tuned(everything, "final_area", len(final), -1) if tune else points[0]
     final_model = fit(pick(everything), features, **params)
 
     actual, back = _actual_and_back(target, log_target, label_space)
@@ -160,7 +160,7 @@ def spatial_cv(
             estimator=estimator,
             estimatorParamMaps=maps,
             evaluator=RegressionEvaluator(labelCol=target, metricName="mse"),
-            numFolds=5,
+            numFolds=len(outer),
             foldCol=fold,
             parallelism=parallelism,
         )

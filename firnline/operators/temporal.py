@@ -7,22 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from firnline.grid import Grid
-from firnline.operators.bounded import per_date
+from firnline.operators.bounded import at_most, per_date
+from firnline.operators.ranks import merged_values, rank_merged
 
 
 def grid_ranks(df: DataFrame, grid: Grid | None = None) -> DataFrame:
     """0-based ``col`` by ascending x and ``row`` by descending y.
 
-    With a grid contract this is arithmetic. Otherwise each axis (a few thousand distinct
-    coordinates) is sorted once and joined back by broadcast.
+    With a grid contract this is arithmetic. Otherwise the distinct coordinates of each axis are
+    ranked in ranges and joined back; the axis is broadcast if it has been counted as small.
     """
     if grid is not None:
         return df.withColumns({"col": grid.col(F.col("x")), "row": grid.row(F.col("y"))})
 
     def axis(name: str, rank: str, ascending: bool) -> DataFrame:
-        ordered = df.agg(F.sort_array(F.collect_set(name), asc=ascending).alias("v"))
-        # one entry per raster line or column; it comes out of a single row, so it is small
-        return F.broadcast(ordered.select(F.posexplode("v").alias(rank, name)))
+        distinct = merged_values(df, name).select("v", F.lit(1).cast("long").alias("n"))
+        size = distinct.count()
+        position = F.col("lo") - 1 if ascending else F.lit(size) - F.col("lo")
+        ranked = rank_merged(distinct)
+        return at_most(ranked.select(F.col("v").alias(name), position.cast("int").alias(rank)), size)
 
     return df.join(axis("x", "col", True), "x").join(axis("y", "row", False), "y")
 

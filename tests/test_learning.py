@@ -18,7 +18,7 @@ def data(spark):
     n = 1500
     x, y, a, b = rng.random((4, n))
     target = 0.6 + 0.8 * a - 0.3 * b + 0.1 * x + 0.02 * rng.normal(size=n)
-    x, y = x.round(1), y.round(1)  # rows share cells
+    x, y = np.floor(x * 10) / 10, np.floor(y * 10) / 10  # rows share cells
     rows = [tuple(map(float, r)) for r in zip(x, y, a, b, target)]
     return spark.createDataFrame(rows, "x double, y double, a double, b double, opt_value double").repartition(5).cache()
 

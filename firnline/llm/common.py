@@ -49,6 +49,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few numbers that may be broadcast, some 50 MB; see ``small``.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, weight: str = "1", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it holds at most ``rows`` rows (or, with ``weight``, numbers
+    in them), counted now; else as it is, for a shuffled join. ``df`` should be checkpointed."""
+    found = df.agg(F.sum(F.expr(weight)).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if found <= rows else df
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A column name that no column of the table has."""
     taken = {c.lower() for c in df.columns}

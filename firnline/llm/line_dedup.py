@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm.common import checkpointed, own_name, table
+from firnline.llm.common import checkpointed, own_name, small, table
 from firnline.llm.near import folded, mixed, near_components
 
 SHINGLE = 5
@@ -128,6 +128,7 @@ def line_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFr
             )
 
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("id", "pos")).alias("asked"))
+    asked = small(checkpointed(asked), "size(asked)")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
     return rows.join(asked, "doc_id").mapInArrow(sets, "id long, shingles binary")
 
@@ -148,7 +149,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     )
     where = classes.select("id", "first.doc_id", "first.pos")
     roots = near_components(
-        classes.select("id", F.lit(None).cast("long").alias("size"), "keys"),
+        classes.select("id", "keys"),
         lambda ids: line_sets(docs, where.join(ids, "id"), text, key),
         PERCENT,
     )
@@ -170,7 +171,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     Null texts stay null; a text that lost all its lines becomes empty. Rows are never dropped."""
     name, gone_name = own_name(docs, "line_doc"), own_name(docs, "line_gone")
     gone = repeated_lines(docs, text, key).groupBy("doc_id").agg(F.collect_list("pos").alias(gone_name))
-    gone = gone.withColumnRenamed("doc_id", name)
+    gone = small(checkpointed(gone.withColumnRenamed("doc_id", name)), f"size({gone_name})")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, dropped: pd.Series) -> pd.Series:

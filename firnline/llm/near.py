@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import checkpointed, components
+from firnline.llm.common import checkpointed, components, small
 
 CACHE_WORDS = 500_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -114,32 +114,33 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_components(items: DataFrame, sets_for, percent: int) -> DataFrame:
-    """``(id, root)`` for each id of ``items(id, size, keys)`` that is linked to another; a null
-    size is unknown.
+    """``(id, root)`` for each id of ``items(id, keys)`` that is linked to another.
 
     Two sets are compared where they share a key; ``sets_for(ids)`` gives ``(id, shingles)`` of
     the asked ids. A key that a third of all items share is pre-aggregated in the map tasks and
     then joined as a skewed join, one row for each member.
     """
-    keys = items.select("id", "size", F.explode("keys").alias("key"))
+    keys = items.select("id", F.explode("keys").alias("key"))
     low = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    buckets = checkpointed(keys.join(low, "key").select("key", "id", "size", "a", "n"))
-    stars = buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    sets = checkpointed(sets_for(buckets.select("id").distinct()))
+    buckets = checkpointed(keys.join(low, "key").select("key", "id", "a", "n"))
+    stars = checkpointed(buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    met = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
+    sets = checkpointed(sets_for(small(checkpointed(met))))
     links = checkpointed(verify(stars, sets, percent))
     roots = components(links)
     wide = (
         buckets.where("n > 2")
         .join(roots, "id", "left")
-        .select("key", "id", "size", F.coalesce("root", "id").alias("root"))
+        .select("key", "id", F.coalesce("root", "id").alias("root"))
     )
     open_keys = (
         wide.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
     )
-    rest = wide.join(open_keys.select("key"), "key")
+    sizes = sets.select("id", (F.octet_length("shingles") / 8).alias("size"))
+    rest = checkpointed(wide.join(open_keys.select("key"), "key").join(sizes, "id"))
     left = rest.select("key", *(F.col(c).alias(c + "0") for c in ("id", "size", "root")))
-    alike = (F.col("root0") < F.col("root")) & F.coalesce(
-        100 * F.least("size", "size0") >= percent * F.greatest("size", "size0"), F.lit(True)
+    alike = (F.col("root0") < F.col("root")) & (
+        100 * F.least("size", "size0") >= percent * F.greatest("size", "size0")
     )
     across = (
         left.join(rest, "key").where(alike).select(F.least("id0", "id").alias("a"), F.greatest("id0", "id").alias("b")).distinct()

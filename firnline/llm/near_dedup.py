@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm.common import checkpointed, own_name, table
+from firnline.llm.common import checkpointed, own_name, small, table
 from firnline.llm.near import folded, joined, lists, minhashes, near_components, word_shingles
 
 COLLECTION = 10
@@ -87,11 +87,10 @@ def near_groups(
     rows = checkpointed(signed(docs, width, text, key))
     known = rows.where(F.col("id").isNotNull() & (F.col("size") > 0))
     classes = known.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = known.select("id", "digest").join(classes, "digest").select("id", "rep")
-    reps = known.join(classes, [known["id"] == classes["rep"], known["digest"] == classes["digest"]], "left_semi")
-    roots = near_components(
-        reps.select("id", "size", "keys"), lambda ids: shingle_sets(docs, ids, width, text, key), percent
-    )
+    member = checkpointed(known.select("id", "digest").join(classes, "digest").select("id", "rep"))
+    copies = small(checkpointed(member.where("id <> rep").select("id")))
+    reps = known.select("id", "keys").join(copies, "id", "left_anti")
+    roots = near_components(reps, lambda ids: shingle_sets(docs, ids, width, text, key), percent)
     placed = (
         member.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
         .select("id", F.coalesce("root", "rep").alias("root"))
@@ -108,7 +107,8 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     rows without an identifier stay."""
     name = own_name(docs, "copy_id")
     gone = near_groups(docs, width, percent).where(F.col("id") != F.col("component_id"))
-    return docs.join(gone.select(F.col("id").alias(name)), F.col("doc_id") == F.col(name), "left_anti")
+    gone = small(checkpointed(gone.select(F.col("id").alias(name))))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 A shingle is a 64-bit hash; a set is its sorted distinct hashes as little-endian bytes. Buckets are
 ``(key, id)`` rows; they are never expanded into all pairs. First every member of a bucket is compared
-with the bucket's smallest member, and verified links give components. Then, only in buckets
-whose members are still in different components, members of different components are compared, so
-that every pair that meets in a bucket is either verified, refuted or already connected.
+with the bucket's smallest member, and verified links give components. Then, in buckets whose members
+are still in different components, neighbours in a hashed order are compared, turn by turn in another
+order until a turn finds no link. Each turn makes at most one pair for each member of a bucket. Similar
+documents share many buckets, so that a link that the smallest members miss meets many neighbours.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnline.llm.common import checkpointed, components, small
 
 CACHE_WORDS = 500_000
+PART = 4096
+MAX_TURNS = 50
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -128,24 +131,34 @@ def near_components(items: DataFrame, sets_for, percent: int) -> DataFrame:
     sets = checkpointed(sets_for(small(checkpointed(met))))
     links = checkpointed(verify(stars, sets, percent))
     roots = components(links)
-    wide = (
-        buckets.where("n > 2")
-        .join(roots, "id", "left")
-        .select("key", "id", F.coalesce("root", "id").alias("root"))
-    )
-    open_keys = (
-        wide.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    )
     sizes = sets.select("id", (F.octet_length("shingles") / 8).alias("size"))
-    rest = checkpointed(wide.join(open_keys.select("key"), "key").join(sizes, "id"))
-    left = rest.select("key", *(F.col(c).alias(c + "0") for c in ("id", "size", "root")))
-    alike = (F.col("root0") < F.col("root")) & (
-        100 * F.least("size", "size0") >= percent * F.greatest("size", "size0")
+    wide = buckets.where("n > 2").select("key", "id", "n").join(sizes, "id")
+    wide = checkpointed(wide)
+    for turn in range(MAX_TURNS):
+        tried = checkpointed(neighbours(wide, roots, percent, turn).join(stars, ["a", "b"], "left_anti"))
+        more = checkpointed(verify(tried, sets, percent))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = components(links)
+    return roots
+
+
+def neighbours(wide: DataFrame, roots: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` of neighbours in the buckets ``wide(key, id, n, size)`` that still hold several
+    components: each member with the next one in an order that a hash of key, id and ``turn``
+    gives, where components differ and sizes allow ``percent``. Large buckets are cut into parts of
+    about ``PART`` members by the same hash."""
+    placed = wide.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    order = F.xxhash64("key", "id", F.lit(turn))
+    parts = F.ceil(F.col("n") / PART)
+    rest = placed.join(open_keys.select("key"), "key").withColumns({"order": order, "part": F.pmod(order, parts)})
+    by = Window.partitionBy("key", "part").orderBy("order", "id")
+    beside = rest.select(
+        "id", "size", "root", *(F.lead(c).over(by).alias(f"{c}1") for c in ("id", "size", "root"))
     )
-    across = (
-        left.join(rest, "key").where(alike).select(F.least("id0", "id").alias("a"), F.greatest("id0", "id").alias("b")).distinct()
+    alike = (F.col("root") != F.col("root1")) & (
+        100 * F.least("size", "size1") >= percent * F.greatest("size", "size1")
     )
-    more = checkpointed(verify(across.join(stars, ["a", "b"], "left_anti"), sets, percent))
-    if more.isEmpty():
-        return roots
-    return components(links.unionByName(more))
+    return beside.where(alike).select(F.least("id", "id1").alias("a"), F.greatest("id", "id1").alias("b")).distinct()

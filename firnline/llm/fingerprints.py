@@ -161,11 +161,11 @@ def fingerprint_chain(docs: DataFrame, text: str = "text", key: str = "doc_id")
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("t").desc()]
+    order = F.col("doc_id").desc_nulls_last()  # ranges by identifier only: their sample goes to the driver
     rows = (
         docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("t"))
-        .repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
+        .repartitionByRange(parts, order)
+        .sortWithinPartitions(order, F.col("t").desc())
     )
     names = [f.split()[0] for f in FIELDS.split(",")]
 

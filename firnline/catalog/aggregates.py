@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from firnline.catalog import prelude as p
@@ -386,10 +388,18 @@ def inverse_sql(q: str) -> str:
     )
 
 
-def cdf_sql(z: str) -> str:
-    u = f"least(abs({z}), 7.0)"
-    tail = f"(exp(-{u}*{u}/2)*{_poly(u, normal.CDF_TOP)}/{_poly(u, normal.CDF_BOTTOM)})"
-    return f"(CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END)"
+def log_cdf_sql(z: str) -> str:
+    """Its own way: the power series around 0, and from 4 deviations on the tail's fraction."""
+    u, half_log = f"abs({z})", repr(0.5 * math.log(2 * math.pi)) + "::DOUBLE"
+    series = "1.0::DOUBLE"
+    for k in range(60, 0, -1):
+        series = f"(1 + {u}*{u}/{2 * k + 1}.0::DOUBLE*{series})"
+    fraction = u
+    for k in range(60, 0, -1):
+        fraction = f"({u} + {k}.0::DOUBLE/{fraction})"
+    near = f"ln(0.5::DOUBLE - exp(-{u}*{u}/2 - {half_log})*{u}*{series})"
+    tail = f"(CASE WHEN {u} < 4 THEN {near} ELSE -{u}*{u}/2 - ln({fraction}) - {half_log} END)"
+    return f"(CASE WHEN {z} > 0 THEN ln(1 - exp({tail})) ELSE {tail} END)"
 
 
 def ordered_cte(source: str, value: str) -> str:
@@ -420,7 +430,7 @@ def qq_fit(spark, sf):
 
 def _anderson_sql(value: str) -> str:
     return (
-        f"SELECT count(*) AS n, {p.r(f'-count(*) - sum((2*i - 1)*ln({cdf_sql('z')}) + (2*n + 1 - 2*i)*ln({cdf_sql('(-z)')}))/count(*)', 'statistic')} FROM "
+        f"SELECT count(*) AS n, {p.r(f'-count(*) - sum((2*i - 1)*{log_cdf_sql('z')} + (2*n + 1 - 2*i)*{log_cdf_sql('(-z)')})/count(*)', 'statistic')} FROM "
         f"(SELECT row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n, (v - avg(v) OVER ())/stddev_samp(v) OVER () AS z "
         f"FROM (SELECT {value} AS v FROM px WHERE opt_raw IS NOT NULL))"
     )

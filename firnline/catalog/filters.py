@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firnline.catalog import prelude as p
@@ -254,12 +257,13 @@ def sorted_dates(spark, sf):
 @query(
     "u01_union_all_years",
     p.sql(
-        f"SELECT {PX} FROM px WHERE year(date) = 2017 UNION ALL SELECT {PX} FROM px WHERE year(date) = 2019"
+        " UNION ALL ".join(f"SELECT {PX} FROM px WHERE year(date) = {y}" for y in range(2017, 2022))
     ),
 )
 def union_all_years(spark, sf):
     rows = px(spark, sf)
-    return plain(rows.where(F.year("date") == 2017).unionByName(rows.where(F.year("date") == 2019)))
+    years = [rows.where(F.year("date") == y) for y in range(2017, 2022)]
+    return plain(reduce(DataFrame.unionByName, years))
 
 
 @query(

@@ -268,17 +268,16 @@ def station_by_scene_day(spark, sf, level, name):
     "j09_station_on_pixels",
     p.sql(
         f"SELECT {p.d('px.date')}, px.x, px.y, {p.r('s0.v', 'meltflux')}, {p.r('s1.v', 'slwc')} FROM px "
-        "LEFT JOIN sday s0 ON s0.date = px.date AND s0.level = 0 LEFT JOIN sday s1 ON s1.date = px.date AND s1.level = 1 "
-        "WHERE px.col = 5",
+        "LEFT JOIN sday s0 ON s0.date = px.date AND s0.level = 0 LEFT JOIN sday s1 ON s1.date = px.date AND s1.level = 1",
         p.STATION,
         "sday AS (SELECT level, CAST(DATE '2017-06-01' + CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INTEGER) AS DATE) AS date, avg(value) AS v FROM station GROUP BY ALL)",
     ),
 )
 def station_on_pixels(spark, sf):
-    column = g.pixels(spark, sf).where("col = 5").select("date", "x", "y")
+    rows = g.pixels(spark, sf).select("date", "x", "y")
     return plain(
         j.attach_station(
-            column,
+            rows,
             station_by_scene_day(spark, sf, 0, "meltflux"),
             station_by_scene_day(spark, sf, 1, "slwc"),
         )
@@ -310,16 +309,15 @@ COARSE_XY = (
         f"SELECT {p.d('f.date')}, f.x, f.y, f.col, f.\"row\", CAST(CASE WHEN f.x BETWEEN b.x0 AND b.x1 AND f.y BETWEEN b.y0 AND b.y1 THEN c.melt END AS INTEGER) AS melt "
         "FROM (SELECT px.*, nx, ny FROM px, spec WHERE \"row\" < ny - 2 AND col < nx - 1) f "
         "JOIN (SELECT min(cx) x0, max(cx) x1, min(cy) y0, max(cy) y1 FROM cxy) b ON true "
-        "JOIN cxy c ON c.date = f.date AND c.ccol = least(greatest(ceil((f.x - b.x0)/4000 - 0.5), 0), nx//4 - 1) "
-        "AND c.crow = least(greatest(ceil((b.y1 - f.y)/4000 - 0.5), 0), ny//4 - 1) WHERE day(f.date) <= 7",
+        "JOIN cxy c ON c.date = f.date AND c.ccol = least(greatest(ceil((f.x - b.x0)/4000 - 0.5), 0), (nx + 3)//4 - 1) "
+        "AND c.crow = least(greatest(ceil((b.y1 - f.y)/4000 - 0.5), 0), (ny + 3)//4 - 1)",
         p.COARSE,
         COARSE_XY,
     ),
 )
 def nearest_regrid(spark, sf):
     scenes, coarse_grid = g.coarse(spark, sf)
-    week = scenes.where(F.dayofmonth("date") <= 7)
-    out = regrid.nearest(week, "melt", coarse_grid, g.grid_of(spark, sf), trim=(2, 1))
+    out = regrid.nearest(scenes, "melt", coarse_grid, g.grid_of(spark, sf), trim=(2, 1))
     return plain(out)
 
 
@@ -330,15 +328,14 @@ def nearest_regrid(spark, sf):
         "SELECT f.date, f.x, f.y, f.col, f.\"row\", c.melt, (1 - abs(f.x - c.cx)/4000)*(1 - abs(f.y - c.cy)/4000) AS w "
         "FROM px f, (SELECT min(cx) x0, max(cx) x1, min(cy) y0, max(cy) y1 FROM cxy) b, cxy c "
         "WHERE c.date = f.date AND abs(f.x - c.cx) < 4000 AND abs(f.y - c.cy) < 4000 "
-        "AND f.x BETWEEN b.x0 AND b.x1 AND f.y BETWEEN b.y0 AND b.y1 AND day(f.date) <= 7) GROUP BY ALL",
+        "AND f.x BETWEEN b.x0 AND b.x1 AND f.y BETWEEN b.y0 AND b.y1) GROUP BY ALL",
         p.COARSE,
         COARSE_XY,
     ),
 )
 def bilinear_regrid(spark, sf):
     scenes, coarse_grid = g.coarse(spark, sf)
-    week = scenes.where(F.dayofmonth("date") <= 7)
-    return plain(regrid.bilinear(week, "melt", coarse_grid, g.grid_of(spark, sf)))
+    return plain(regrid.bilinear(scenes, "melt", coarse_grid, g.grid_of(spark, sf)))
 
 
 @query(
@@ -349,7 +346,7 @@ def bilinear_regrid(spark, sf):
         "LATERAL (SELECT CAST(unnest(range(25*ccol - 24, 25*ccol + 25)) AS INTEGER) AS i) fc, "
         "LATERAL (SELECT CAST(unnest(range(25*crow - 24, 25*crow + 25)) AS INTEGER) AS i) fr, "
         "LATERAL (SELECT (1 - abs(fc.i/25.0::DOUBLE - ccol))*(1 - abs(fr.i/25.0::DOUBLE - crow)) AS w) ww, spec "
-        "WHERE fc.i BETWEEN 0 AND 25*(nx//4 - 1) AND fr.i BETWEEN 0 AND 25*(ny//4 - 1) GROUP BY date, fc.i, fr.i",
+        "WHERE fc.i BETWEEN 0 AND 25*((nx + 3)//4 - 1) AND fr.i BETWEEN 0 AND 25*((ny + 3)//4 - 1) GROUP BY date, fc.i, fr.i",
         p.COARSE,
     ),
 )

@@ -173,9 +173,9 @@ def nested_cv_ridge_log_labels(spark, sf):
 @query("l05_nested_cv_tree_tuned")
 def nested_cv_tree_tuned(spark, sf):
     tree = estimators.decision_tree()
-    grid = {"maxDepth": [7], "minInstancesPerNode": [2, 6]}
+    grid = {"maxDepth": [7, 12], "minInstancesPerNode": [2, 6]}
     result = cv.spatial_cv(
-        training(spark, sf), FEATURES, tree, "DecisionTree", grid, final=False, areas=areas(spark, sf)
+        training(spark, sf), FEATURES, tree, "DecisionTree", grid, areas=areas(spark, sf)
     )
     return plain(result.scores)
 
@@ -409,12 +409,12 @@ def decision_tree(spark, sf):
 
 @query("l14_random_forest")
 def random_forest(spark, sf):
-    return _tree_scores(spark, sf, estimators.random_forest(7, "sqrt", 2, n_trees=20), "RandomForest")
+    return _tree_scores(spark, sf, estimators.random_forest(7, "sqrt", 2), "RandomForest")
 
 
 @query("l15_gradient_boosting")
 def gradient_boosting(spark, sf):
-    return _tree_scores(spark, sf, estimators.gradient_boosting(3, n_trees=10), "GradientBoosting")
+    return _tree_scores(spark, sf, estimators.gradient_boosting(3), "GradientBoosting")
 
 
 def _labelled(spark, sf):
@@ -433,28 +433,29 @@ def _labelled(spark, sf):
 
 def _accuracy(spark, sf, estimator, label):
     rows = _labelled(spark, sf)
-    model = estimator.fit(rows.where("season < 2020"))
+    train = rows.where("season < 2020")
+    model = estimator(train.count()).fit(train)
     return plain(metrics.accuracy(model.transform(rows), label, "prediction", ["season"]))
 
 
 @query("l16_tree_classifier_binary")
 def tree_classifier_binary(spark, sf):
-    return _accuracy(spark, sf, estimators.tree_classifier("melt"), "melt")
+    return _accuracy(spark, sf, lambda n: estimators.tree_classifier("melt"), "melt")
 
 
 @query("l16_tree_classifier_classes")
 def tree_classifier_classes(spark, sf):
-    return _accuracy(spark, sf, estimators.tree_classifier("class"), "class")
+    return _accuracy(spark, sf, lambda n: estimators.tree_classifier("class"), "class")
 
 
 @query("l17_logistic_binary")
 def logistic_binary(spark, sf):
-    return _accuracy(spark, sf, estimators.logistic("melt"), "melt")
+    return _accuracy(spark, sf, lambda n: estimators.logistic("melt", n), "melt")
 
 
 @query("l17_logistic_one_vs_rest")
 def logistic_one_vs_rest(spark, sf):
-    return _accuracy(spark, sf, estimators.logistic("class", one_vs_rest=True, max_iter=20), "class")
+    return _accuracy(spark, sf, lambda n: estimators.logistic("class", n, one_vs_rest=True), "class")
 
 
 # L18 to L21: hold-out, batch scoring, attribution, residuals

@@ -17,10 +17,12 @@ OBS = """obs AS (
 CELLS = """cells AS (
   SELECT -636500.0::DOUBLE + 1000.0::DOUBLE*col AS x, -662500.0::DOUBLE - 1000.0::DOUBLE*"row" AS y,
          CAST(col AS INTEGER) AS col, CAST("row" AS INTEGER) AS "row",
-         (col IN (0, nx-1) OR "row" IN (0, ny-1) OR (col*7 + "row"*13) % 23 < 2) AS is_water,
-         3000.0::DOUBLE - 2.0::DOUBLE*(power(col*24.0::DOUBLE/nx - 12.0, 2) + 5.0::DOUBLE*power("row"*20.0::DOUBLE/ny - 10.0, 2)) AS elevation_data
+         (col IN (0, nx-1) OR "row" IN (0, ny-1) OR (col*7 + "row"*13 + coalesce(sizes, 0)) % 23 < 2) AS is_water,
+         3000.0::DOUBLE - 2.0::DOUBLE*(power(col*24.0::DOUBLE/nx - 12.0, 2) + 5.0::DOUBLE*power("row"*20.0::DOUBLE/ny - 10.0, 2)) + 0.125::DOUBLE*coalesce(sizes, 0) AS elevation_data
   FROM (SELECT id % nx AS col, id // nx AS "row", nx, ny
-        FROM (SELECT unnest(range(nx*ny)) AS id, nx, ny FROM spec)))"""
+        FROM (SELECT unnest(range(nx*ny)) AS id, nx, ny FROM spec))
+  LEFT JOIN (SELECT p_partkey % nx AS col, (p_partkey // nx) % ny AS "row", CAST(sum(p_size) AS BIGINT) AS sizes
+             FROM part, spec GROUP BY ALL) USING (col, "row"))"""
 
 SCENES = """scenes AS (
   SELECT CAST(make_date(CAST(2017 + s AS INTEGER), 6, 1) + CAST(k AS INTEGER) AS DATE) AS date
@@ -49,7 +51,7 @@ ALBEDO = """alb AS (
 
 COARSE = """coarse AS (
   SELECT date, col//4 AS ccol, "row"//4 AS crow, max(mw_value) AS melt
-  FROM px, spec WHERE col//4 < nx//4 AND "row"//4 < ny//4 GROUP BY ALL)"""
+  FROM px GROUP BY ALL)"""
 
 MASKS = """melt_days AS (
   SELECT x, y, count(*) FILTER (WHERE mw_value = 1) AS melt_days FROM px WHERE mw_value <> -1 GROUP BY x, y),

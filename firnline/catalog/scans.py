@@ -79,13 +79,12 @@ def slice_cube_by_range(spark, sf):
     "s04_dense_raster_to_long",
     p.sql(
         f"SELECT {p.d()}, x, y, col, \"row\", {p.r('opt_raw', 'opt_raw')} "
-        "FROM px WHERE day(date) <= 3"
+        "FROM px"
     ),
 )
 def dense_raster_to_long(spark, sf):
     grid = g.grid_of(spark, sf)
-    some = g.pixels(spark, sf).where(F.dayofmonth("date") <= 3)
-    lines = rasters.long_to_lines(some, "opt_raw", grid)
+    lines = rasters.long_to_lines(g.pixels(spark, sf), "opt_raw", grid)
     return plain(rasters.lines_to_long(lines, "opt_raw", grid))
 
 
@@ -93,12 +92,12 @@ def dense_raster_to_long(spark, sf):
     "s05_long_to_dense_lines",
     p.sql(
         f"SELECT {p.d()}, \"row\", string_agg(coalesce(CAST(CAST(round(opt_raw*10) AS BIGINT) AS VARCHAR), 'nan'), ',' ORDER BY col) AS line "
-        "FROM px WHERE date >= DATE '2019-06-01' GROUP BY date, \"row\""
+        "FROM px GROUP BY date, \"row\""
     ),
 )
 def long_to_dense_lines(spark, sf):
     grid = g.grid_of(spark, sf)
-    present = g.pixels(spark, sf).where("date >= '2019-06-01' AND opt_raw IS NOT NULL")
+    present = g.pixels(spark, sf).where("opt_raw IS NOT NULL")
     values = present.withColumn("tenths", F.round(F.col("opt_raw") * 10).cast("long"))
     twice = values.unionByName(values)  # duplicates must not change the matrix
     lines = rasters.long_to_lines(twice, "tenths", grid)

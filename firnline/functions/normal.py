@@ -6,6 +6,8 @@ Cumulative: Hart's double-precision rational form (West 2005). Inverse: Acklam's
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ INV_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.801311887
 INV_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
 INV_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
 INV_TAIL = 0.02425
+FAR = 5.0
+FRACTION_TERMS = 30
 
 
 def polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
@@ -43,11 +47,26 @@ def polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
     return out
 
 
+def _log_far(z: Column) -> Column:
+    """log P(Z > z) for z >= 5 by the continued fraction of the tail."""
+    fraction = z
+    for k in range(FRACTION_TERMS, 0, -1):
+        fraction = z + F.lit(float(k)) / fraction
+    return -z * z / 2 - F.log(fraction) - F.lit(0.5 * math.log(2 * math.pi))
+
+
+def log_cdf(x: Column) -> Column:
+    """log P(Z <= x) for every x, without a clamp: rational form to 5 deviations, beyond that the
+    continued fraction, whose logarithm does not underflow."""
+    z = F.abs(x)
+    near = -z * z / 2 + F.log(polynomial(z, CDF_TOP) / polynomial(z, CDF_BOTTOM))
+    tail = F.when(z < FAR, near).otherwise(_log_far(z))
+    return F.when(x > 0, F.log1p(-F.exp(tail))).otherwise(tail)
+
+
 def cdf(x: Column) -> Column:
-    """P(Z <= x); accurate for |x| <= 7, beyond that clamped to the value at 7."""
-    z = F.least(F.abs(x), F.lit(7.0))
-    tail = F.exp(-z * z / 2) * polynomial(z, CDF_TOP) / polynomial(z, CDF_BOTTOM)
-    return F.when(x > 0, 1.0 - tail).otherwise(tail)
+    """P(Z <= x)."""
+    return F.exp(log_cdf(x))
 
 
 def inverse(p: Column) -> Column:

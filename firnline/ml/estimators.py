@@ -88,10 +88,15 @@ def gradient_boosting(max_depth: int = 3, n_trees: int = 100, label: str = "opt_
     return GBTRegressor(labelCol=label, maxDepth=max_depth, maxIter=n_trees, stepSize=0.1, seed=seed)
 
 
-def tree_classifier(label: str, max_depth: int = 7, seed: int = 7):
+def tree_classifier(label: str, max_depth: int = 30, seed: int = 7):
+    """The original grows without a limit; 30 is the deepest tree the engine allows."""
     return DecisionTreeClassifier(labelCol=label, impurity="entropy", maxDepth=max_depth, seed=seed)
 
 
-def logistic(label: str, one_vs_rest: bool = False, max_iter: int = 100):
-    base = LogisticRegression(labelCol=label, standardization=False, maxIter=max_iter)
+def logistic(label: str, rows: int, c: float = 1.0, one_vs_rest: bool = False, max_iter: int = 100):
+    """Penalty |w|^2 / 2 against ``c`` times the summed loss of ``rows`` training rows; the engine takes
+    the mean loss. Intercepts are not penalised, also not those of the one-vs-rest models."""
+    base = LogisticRegression(
+        labelCol=label, standardization=False, maxIter=max_iter, regParam=1.0 / (c * max(rows, 1))
+    )
     return OneVsRest(classifier=base, labelCol=label) if one_vs_rest else base

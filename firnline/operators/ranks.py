@@ -186,7 +186,7 @@ def anderson_darling(df: DataFrame, value: str) -> DataFrame:
     count, span = F.col("n").cast("double"), (F.col("lo") + F.col("hi")).cast("double")
     up = span * count - count
     down = (2 * n + 1) * count - span * count
-    term = up * F.log(normal.cdf(z)) + down * F.log(normal.cdf(-z))
+    term = up * normal.log_cdf(z) + down * normal.log_cdf(-z)
     total = rank_merged(merged).agg(F.sum(term).alias("t"), F.sum("n").alias("n"))
     size = F.col("n").cast("double")
     return total.select("n", (-size - F.col("t") / size).alias("statistic"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +17,7 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "firnline")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -27,23 +25,16 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "firnline")
     )
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="firnline-")
+def shared_base(spark: SparkSession) -> str:
+    """The folder every executor reaches: ``spark.checkpoint.dir`` of the session, else the checkpoint
+    directory already set on the context, else a folder below the session's warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder every executor can reach.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is used and set as the checkpoint directory.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own_folder()
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(base)
-    return os.path.join(base, "firnline", uuid.uuid4().hex)
+    """A new folder in the shared place."""
+    return f"{shared_base(spark).rstrip('/')}/firnline/{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -51,5 +42,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
     and a lost executor costs nothing."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        shared_folder(spark)
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
     return df.checkpoint()

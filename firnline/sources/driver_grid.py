@@ -54,13 +54,22 @@ def observations(spark: SparkSession, sf_dir: str, grid: Grid) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str, grid: Grid | None = None) -> DataFrame:
-    """The static layer: one row per cell with water flag and an analytic elevation."""
+    """The static layer: one row per cell; water flag and elevation follow the sizes of its parts."""
     grid = grid or grid_of(spark, sf_dir)
     base = spark.range(grid.n_cells).select(
         (F.col("id") % grid.ncols).cast("int").alias("col"),
         F.floor(F.col("id") / grid.ncols).cast("int").alias("row"),
     )
-    col, row = F.col("col"), F.col("row")
+    sizes = (
+        table(spark, sf_dir, "part")
+        .groupBy(
+            (F.col("p_partkey") % grid.ncols).cast("int").alias("col"),
+            (F.floor(F.col("p_partkey") / grid.ncols) % grid.nrows).cast("int").alias("row"),
+        )
+        .agg(F.sum("p_size").alias("sizes"))
+    )
+    base = base.join(sizes, ["col", "row"], "left")
+    col, row, size = F.col("col"), F.col("row"), F.coalesce("sizes", F.lit(0))
     dx = col * 24.0 / grid.ncols - 12.0
     dy = row * 20.0 / grid.nrows - 10.0
     return base.select(
@@ -71,9 +80,9 @@ def cells(spark: SparkSession, sf_dir: str, grid: Grid | None = None) -> DataFra
         (
             col.isin(0, grid.ncols - 1)
             | row.isin(0, grid.nrows - 1)
-            | ((col * 7 + row * 13) % 23 < 2)
+            | ((col * 7 + row * 13 + size) % 23 < 2)
         ).alias("is_water"),
-        (3000.0 - 2.0 * (dx * dx + 5.0 * (dy * dy))).alias("elevation_data"),
+        (3000.0 - 2.0 * (dx * dx + 5.0 * (dy * dy)) + 0.125 * size).alias("elevation_data"),
     )
 
 
@@ -123,14 +132,13 @@ def coarse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
         x0=fine.x0 + 1.5 * fine.step,
         y0=fine.y0 - 1.5 * fine.step,
         step=4 * fine.step,
-        ncols=fine.ncols // 4,
-        nrows=fine.nrows // 4,
+        ncols=-(-fine.ncols // 4),
+        nrows=-(-fine.nrows // 4),
     )
     ccol, crow = F.floor(F.col("col") / 4).cast("int"), F.floor(F.col("row") / 4).cast("int")
     frame = (
         pixels(spark, sf_dir)
         .select("date", ccol.alias("ccol"), crow.alias("crow"), "mw_value")
-        .where((F.col("ccol") < grid.ncols) & (F.col("crow") < grid.nrows))
         .groupBy("date", "ccol", "crow")
         .agg(F.max("mw_value").cast("int").alias("melt"))
     )

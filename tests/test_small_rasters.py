@@ -218,6 +218,25 @@ def test_normal_law_against_the_standard_library(spark):
     assert [r[0] for r in inv] == pytest.approx([law.inv_cdf(v) for v in q], rel=2e-9, abs=1e-9)
 
 
+def test_anderson_darling_far_beyond_seven_deviations(spark):
+    """Against the statistic with exact tails: erfc is accurate to 26 deviations."""
+    values = [math.sin(k * 12.9898) for k in range(4000)] + [-14.0, 15.0, 21.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    mean = sum(values) / len(values)
+    std = math.sqrt(sum((v - mean) ** 2 for v in values) / (len(values) - 1))
+    z = sorted((v - mean) / std for v in values)
+    assert max(z) > 20
+
+    def log_cdf(x):
+        tail = math.log(0.5 * math.erfc(abs(x) / math.sqrt(2)))
+        return math.log1p(-math.exp(tail)) if x > 0 else tail
+
+    n = len(z)
+    total = sum((2 * i + 1) * (log_cdf(z[i]) + log_cdf(-z[n - 1 - i])) for i in range(n))
+    row = ranks.anderson_darling(df, "v").first()
+    assert row["n"] == n and row["statistic"] == pytest.approx(-n - total / n, rel=1e-10)
+
+
 def test_ranks_with_a_hot_value(spark):
     values = [1.0] * 200_000 + [float(v) for v in range(2, 300)] + [0.5]
     df = spark.createDataFrame([(v,) for v in values], "v double")

@@ -6,8 +6,8 @@ feature is the normalised difference of the two compressed sizes; the compressed
 byte of text and the extremes over the pieces go with it, so that text which compresses itself is
 seen as well. A logistic calibration turns them into the probability of label 1.
 
-Bounds of the fit, all parameters: ``PIECES`` pieces for each dictionary and ``CALIBRATION`` texts,
-both the smallest by a seeded hash among all labelled rows. Scoring is one pass without a shuffle.
+Bounds of the fit, all parameters: ``PIECES`` pieces for each dictionary, from ``PIECES`` texts at most,
+and ``CALIBRATION`` texts, the smallest by a seeded hash among all labelled rows. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -127,9 +127,13 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> QualityModel:
     0.5 without any.
     """
     known = labels.where(F.col("label").isin(0, 1)).select("doc_id", "label")
-    rows = docs.select("doc_id", "text").join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
-    for_dictionary = rows.where(F.pmod("_h", F.lit(2)) == 0)
-    for_calibration = rows.where(F.pmod("_h", F.lit(2)) == 1)
+    drawn = known.withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    half = F.pmod("_h", F.lit(2))
+
+    def first_rows(rows: DataFrame, n: int) -> DataFrame:
+        """The texts of the ``n`` rows with the smallest hash; they are drawn before they meet texts."""
+        few = rows.orderBy("_h", "doc_id").limit(n)
+        return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
     def pieces_of(label: int) -> list[bytes]:
         def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,18 +141,14 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> QualityModel:
                 found = [(h, i, p) for h, t in zip(batch["_h"], batch["text"]) for i, p in enumerate(cut(t)) if p]
                 yield pd.DataFrame(found, columns=["h", "i", "piece"])
 
-        every = (
-            for_dictionary.where(F.col("label") == label)
-            .select("_h", "text")
-            .mapInPandas(pieces, "h long, i int, piece binary")
-        )
+        rows = first_rows(drawn.where((half == 0) & (F.col("label") == label)), PIECES)
+        every = rows.select("_h", "text").mapInPandas(pieces, "h long, i int, piece binary")
         few = every.orderBy(F.xxhash64("h", "i", F.lit(seed)), "h", "i").limit(PIECES)
         return [bytes(r[0]) for r in few.select("piece").collect()]
 
     pieces = [pieces_of(0), pieces_of(1)]
     model = QualityModel(*map(dictionary_of, pieces))
-    few = for_calibration.orderBy("_h").limit(CALIBRATION)
-    found = few.select("label", features(F.col("text"), model).alias("f")).toPandas()
+    found = first_rows(drawn.where(half == 1), CALIBRATION).select("label", features(F.col("text"), model).alias("f")).toPandas()
     if not all(pieces) or found["label"].nunique() < 2:
         share = known.agg(F.avg("label")).first()[0]
         return QualityModel(model.bad, model.good, prior=0.5 if share is None else float(share))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm.common import checkpointed, own_name, table
+from firnline.llm.common import checkpointed, own_name, small, table
 from firnline.llm.quality import fold, logistic, sigmoid
 
 ORDER = 6
@@ -332,6 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibration: DataFrame, broadcast_ro
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     known = labels.where(F.col("label").isin(0, 1)).select("doc_id", "label")
+    known = small(checkpointed(known))
     tables = model_tables(class_counts(texts.join(known, "doc_id")), shared_bigrams(texts))
     model = ToxicityModel(tables, None, 0.5)
     if tables.count() <= broadcast_rows:
@@ -343,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibration: DataFrame, broadcast_ro
             arrays[int(key[0]), int(key[1])] = (code[by], part["value"].to_numpy(np.float32)[by])
         model.arrays = spark.sparkContext.broadcast((uuid.uuid4().hex, arrays))
     few = calibration.where(F.col("label").isin(0, 1)).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    found = totals_of(texts.join(few, "doc_id"), model, "text", ["label"]).toPandas()
+    found = totals_of(texts.join(F.broadcast(few), "doc_id"), model, "text", ["label"]).toPandas()
     y = found["label"].to_numpy(float)
     if len(set(y)) < 2:
         model.calibration = float(y.mean()) if len(y) else 0.5

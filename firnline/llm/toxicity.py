@@ -106,8 +106,8 @@ def shared_bigrams(docs: DataFrame) -> np.ndarray:
 
     found = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     n = np.zeros((256, 256))
-    for code, times in found.collect():
-        n[code >> 8, code & 255] = times
+    found = found.toArrow()
+    n.reshape(-1)[found["code"].to_numpy()] = found["n"].to_numpy()
     kinds = n > 0
     after = kinds.sum(0)
     unigram = np.maximum(after - DISCOUNT, 0) / max(after.sum(), 1)
@@ -336,12 +336,14 @@ def fit(docs: DataFrame, labels: DataFrame, calibration: DataFrame, broadcast_ro
     tables = model_tables(class_counts(texts.join(known, "doc_id")), shared_bigrams(texts))
     model = ToxicityModel(tables, None, 0.5)
     if tables.count() <= broadcast_rows:
-        flat = tables.toPandas()
         arrays = {}
-        for key, part in flat.groupby(["kind", "order"]):
-            code = part["code"].to_numpy().astype(np.uint64)
-            by = np.argsort(code)
-            arrays[int(key[0]), int(key[1])] = (code[by], part["value"].to_numpy(np.float32)[by])
+        for kind in (0, 1):
+            for order in range(SHARED + 1, ORDER + 1):
+                part = tables.where(f"kind = {kind} and `order` = {order}")
+                part = part.select("code", F.col("value").cast("float")).toArrow()
+                code = part["code"].to_numpy().view(np.uint64)
+                by = np.argsort(code)
+                arrays[kind, order] = (code[by], part["value"].to_numpy()[by])
         model.arrays = spark.sparkContext.broadcast((uuid.uuid4().hex, arrays))
     few = calibration.where(F.col("label").isin(0, 1)).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
     found = totals_of(texts.join(F.broadcast(few), "doc_id"), model, "text", ["label"]).toPandas()

@@ -10,7 +10,7 @@ documents share many buckets, so that a link that the smallest members miss meet
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firnline.llm.common import checkpointed, components, small
+from firnline.llm.common import checkpointed, components, small, written
 
 CACHE_WORDS = 500_000
 PART = 4096
 MAX_TURNS = 50
+#: Pairs that are verified at a time.
+SLICE = 500
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -55,7 +57,15 @@ def word_shingles(text: str | None, width: int) -> np.ndarray:
     out = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
         out = mixed(out + h[i : i + len(out)])
-    return np.unique(out)
+    return distinct(out)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
 
 
 def joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,20 +104,33 @@ def lists(rows: int, full: np.ndarray, keys: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).reshape(-1)))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` with ``100 * intersection >= percent * union``; ``sets(id, shingles)``."""
+def stored_sets(values: list[memoryview]) -> list[np.ndarray]:
+    return [np.frombuffer(v, np.uint64) for v in values]
+
+
+def verify(
+    pairs: DataFrame, sets: DataFrame, percent: int, unpack: Callable[[list], list[np.ndarray]] = stored_sets
+) -> DataFrame:
+    """The pairs ``(a, b)`` with ``100 * intersection >= percent * union``; ``unpack`` turns stored
+    ``shingles`` of ``sets(id, shingles)`` into sorted distinct hashes, once for each set of a slice."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("sa"), batch.column("sb")
+        for batch in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
+            pairs = list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()))
+            stored: dict[int, memoryview] = {}
+            for i, (a, b) in enumerate(pairs):
+                if a not in stored:
+                    stored[a] = batch.column("sa")[i].as_buffer()
+                if b not in stored:
+                    stored[b] = batch.column("sb")[i].as_buffer()
+            known = dict(zip(stored, unpack(list(stored.values()))))
             hits = []
-            for i in range(batch.num_rows):
-                x = np.frombuffer(a[i].as_buffer(), np.uint64)
-                y = np.frombuffer(b[i].as_buffer(), np.uint64)
+            for i, (a, b) in enumerate(pairs):
+                x, y = known[a], known[b]
                 if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    both = len(x) + len(y) - len(distinct(np.concatenate([x, y])))
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         hits.append(i)
             yield batch.take(pa.array(hits, pa.int64())).select(["a", "b"])
@@ -116,27 +139,28 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_sets.mapInArrow(exact, "a long, b long")
 
 
-def near_components(items: DataFrame, sets_for, percent: int) -> DataFrame:
+def near_components(
+    items: DataFrame, sets_for, percent: int, unpack: Callable[[list], list[np.ndarray]] = stored_sets
+) -> DataFrame:
     """``(id, root)`` for each id of ``items(id, keys)`` that is linked to another.
 
-    Two sets are compared where they share a key; ``sets_for(ids)`` gives ``(id, shingles)`` of
-    the asked ids. A key that a third of all items share is pre-aggregated in the map tasks and
-    then joined as a skewed join, one row for each member.
+    Two sets are compared where they share a key; ``sets_for(ids)`` gives ``(id, size, shingles)``
+    of the asked ids, ``shingles`` as ``unpack`` reads them. A key that a third of all items share is
+    pre-aggregated in the map tasks; the keys that occur more than once come back to their members
+    as a counted broadcast, beyond its bound as a skewed join, one row for each member.
     """
     keys = items.select("id", F.explode("keys").alias("key"))
     low = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    buckets = checkpointed(keys.join(low, "key").select("key", "id", "a", "n"))
-    stars = checkpointed(buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    buckets = written(keys.join(small(written(low)), "key").select("key", "id", "a", "n"))
+    stars = written(buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct())
     met = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    sets = checkpointed(sets_for(small(checkpointed(met))))
-    links = checkpointed(verify(stars, sets, percent))
+    sets = written(sets_for(small(written(met))))
+    links = written(verify(stars, sets, percent, unpack))
     roots = components(links)
-    sizes = sets.select("id", (F.octet_length("shingles") / 8).alias("size"))
-    wide = buckets.where("n > 2").select("key", "id", "n").join(sizes, "id")
-    wide = checkpointed(wide)
+    wide = written(buckets.where("n > 2").select("key", "id", "n").join(sets.select("id", "size"), "id"))
     for turn in range(MAX_TURNS):
-        tried = checkpointed(neighbours(wide, roots, percent, turn).join(stars, ["a", "b"], "left_anti"))
-        more = checkpointed(verify(tried, sets, percent))
+        tried = neighbours(wide, roots, percent, turn).join(stars, ["a", "b"], "left_anti")
+        more = written(verify(tried, sets, percent, unpack))
         if more.isEmpty():
             break
         links = links.unionByName(more)

@@ -63,15 +63,20 @@ def signed(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """``(id, shingles)`` of the rows whose id is asked for."""
+    """``(id, size, shingles)`` of the rows whose id is asked for."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [word_shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+            found = [word_shingles(t, width) for t in batch.column(1).to_pylist()]
+            columns = [
+                batch.column(0),
+                pa.array([len(s) for s in found], pa.int64()),
+                pa.array([s.tobytes() for s in found], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "shingles"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    return rows.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    return rows.join(ids, "id", "left_semi").mapInArrow(sets, "id long, size long, shingles binary")
 
 
 def near_groups(

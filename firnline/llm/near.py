@@ -4,8 +4,10 @@ A shingle is a 64-bit hash; a set is its sorted distinct hashes as little-endian
 ``(key, id)`` rows; they are never expanded into all pairs. First every member of a bucket is compared
 with the bucket's smallest member, and verified links give components. Then, in buckets whose members
 are still in different components, neighbours in a hashed order are compared, turn by turn in another
-order until a turn finds no link. Each turn makes at most one pair for each member of a bucket. Similar
-documents share many buckets, so that a link that the smallest members miss meets many neighbours.
+order until a turn finds no link. Each turn makes at most one pair for each member of a bucket. These
+turns only merge what is cheap to merge. Whatever bucket still holds several components is settled
+exactly at the end: all its pairs across components are compared, block by block, by sizes and parity
+bitmaps, which never reject a link, and the pairs that are left are verified on their full sets.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from firnline.llm.common import checkpointed, components, small, written
 CACHE_WORDS = 500_000
 PART = 4096
 MAX_TURNS = 50
+#: Members of an open bucket that are compared at a time with as many others.
+BLOCK = 1024
+#: Bits of a parity bitmap, at least and at most; between them the power of two from the set's size on.
+LEAST_BITS, MOST_BITS = 64, 2048
 #: Pairs that are verified at a time.
 SLICE = 500
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -144,7 +150,7 @@ def near_components(
 ) -> DataFrame:
     """``(id, root)`` for each id of ``items(id, keys)`` that is linked to another.
 
-    Two sets are compared where they share a key; ``sets_for(ids)`` gives ``(id, size, shingles)``
+    Any two sets that share a key are compared, or already are in one component; ``sets_for(ids)`` gives ``(id, size, shingles)``
     of the asked ids, ``shingles`` as ``unpack`` reads them. A key that a third of all items share is
     pre-aggregated in the map tasks; the keys that occur more than once come back to their members
     as a counted broadcast, beyond its bound as a skewed join, one row for each member.
@@ -165,7 +171,109 @@ def near_components(
             break
         links = links.unionByName(more)
         roots = components(links)
-    return roots
+    rest = written(still_open(wide, roots))
+    if rest.isEmpty():
+        return roots
+    last = across(rest, sets, percent, unpack).join(stars, ["a", "b"], "left_anti")
+    more = written(verify(written(last), sets, percent, unpack))
+    return roots if more.isEmpty() else components(links.unionByName(more))
+
+
+def still_open(wide: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the buckets ``wide(key, id, n, size)`` that hold several components, with ``root``."""
+    placed = wide.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    return placed.join(open_keys.select("key"), "key")
+
+
+def parities(sets: list[np.ndarray]) -> list[bytes]:
+    """Bitmaps of the sets: bit i tells whether an odd number of hashes falls on it. The bits in which
+    two maps of one length differ are never more than the hashes that only one of the sets has."""
+    out = []
+    for s in sets:
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(len(s) - 1, 0).bit_length()))
+        at = (s >> np.uint64(16)) & np.uint64(bits - 1)
+        odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits each map of ``x`` differs from each of ``y``, rows of 64-bit words; the longer
+    maps are folded to the length of the shorter ones."""
+    while x.shape[1] != y.shape[1]:
+        if x.shape[1] > y.shape[1]:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        else:
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+    out = np.zeros((len(x), len(y)), np.int64)
+    for i in range(x.shape[1]):
+        out += np.bitwise_count(x[:, i, None] ^ y[None, :, i])
+    return out
+
+
+def across(
+    rest: DataFrame, sets: DataFrame, percent: int, unpack: Callable[[list], list[np.ndarray]] = stored_sets
+) -> DataFrame:
+    """All pairs ``(a, b)`` of ``rest(key, id, n, size, root)`` in one bucket and different components
+    that can reach ``percent`` by their sizes and parity bitmaps. A bucket of more than about ``BLOCK``
+    members is cut into blocks, and every two blocks meet in a group of their own, so the work of a
+    large bucket is spread; it stays quadratic in the members, with some nanoseconds for each pair."""
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
+            found = parities(unpack([x.as_buffer() for x in batch.column("shingles")]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "bits"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.column("members")[i].values
+                ids, sizes, roots, blocks = (
+                    rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "root", "block")
+                )
+                crossing = batch.column("i")[i].as_py() != batch.column("j")[i].as_py()
+                kinds: dict[int, list[int]] = {}
+                maps = rows.field("bits").to_pylist()
+                for k, m in enumerate(maps):
+                    kinds.setdefault(len(m), []).append(k)
+                words = {
+                    n: np.frombuffer(b"".join(maps[k] for k in at), np.uint64).reshape(len(at), -1)
+                    for n, at in kinds.items()
+                }
+                for n, m in ((n, m) for n in kinds for m in kinds if n <= m):
+                    left, right = np.array(kinds[n]), np.array(kinds[m])
+                    for k in range(0, len(left), 256):
+                        x, y = left[k : k + 256, None], right[None, :]
+                        both = sizes[x] + sizes[y]
+                        ok = roots[x] != roots[y]
+                        ok &= 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+                        if crossing:
+                            ok &= blocks[x] != blocks[y]
+                        if not ok.any():
+                            continue
+                        ok &= (100 + percent) * differing(words[n][k : k + 256], words[m]) <= (100 - percent) * both
+                        u, v = np.nonzero(ok)
+                        a, b = ids[left[k + u]], ids[right[v]]
+                        if n == m:
+                            a, b = a[a < b], b[a < b]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"]
+                        )
+
+    asked = rest.select("id").distinct()
+    bits = sets.join(asked, "id", "left_semi").select("id", "shingles").mapInArrow(maps, "id long, bits binary")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    mine = F.pmod(F.xxhash64("id"), blocks)
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), blocks - 1),
+        lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")),
+    )
+    members = rest.join(bits, "id").withColumn("block", mine).withColumn("meet", F.explode(pairs))
+    groups = members.groupBy("key", "meet.i", "meet.j").agg(
+        F.collect_list(F.struct("id", "size", "root", "block", "bits")).alias("members")
+    )
+    return groups.select("i", "j", "members").mapInArrow(meet, "a long, b long").distinct()
 
 
 def neighbours(wide: DataFrame, roots: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -173,11 +281,9 @@ def neighbours(wide: DataFrame, roots: DataFrame, percent: int, turn: int) -> Da
     components: each member with the next one in an order that a hash of key, id and ``turn``
     gives, where components differ and sizes allow ``percent``. Large buckets are cut into parts of
     about ``PART`` members by the same hash."""
-    placed = wide.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
     order = F.xxhash64("key", "id", F.lit(turn))
     parts = F.ceil(F.col("n") / PART)
-    rest = placed.join(open_keys.select("key"), "key").withColumns({"order": order, "part": F.pmod(order, parts)})
+    rest = still_open(wide, roots).withColumns({"order": order, "part": F.pmod(order, parts)})
     by = Window.partitionBy("key", "part").orderBy("order", "id")
     beside = rest.select(
         "id", "size", "root", *(F.lead(c).over(by).alias(f"{c}1") for c in ("id", "size", "root"))

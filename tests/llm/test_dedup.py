@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from firnline.llm import exact_dedup, line_dedup, near, near_dedup
@@ -156,6 +157,25 @@ def test_neighbours_find_links_that_the_smallest_member_misses(spark):
     assert seen == {(a, b) for a in range(6) for b in range(a + 1, 6)} - {(0, 1)}
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_open_buckets_are_settled_exactly(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "MAX_TURNS", 0)
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 1 << 62, 150).astype(np.uint64)
+    sets = {i: np.sort(np.r_[shared, rng.integers(0, 1 << 62, int(rng.integers(30, 80))).astype(np.uint64)]) for i in range(200)}
+    for i in range(1, 180, 9):
+        x = sets[i].copy()
+        x[rng.choice(len(x), 12, replace=False)] = rng.integers(0, 1 << 62, 12).astype(np.uint64)
+        sets[i + 4] = np.sort(x)
+    stored = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in sets.items()], "id long, size long, shingles binary")
+    items = spark.createDataFrame([(i, [7]) for i in sets], "id long, keys array<long>")
+    found = near.near_components(items, lambda ids: stored.join(ids, "id", "left_semi"), 80)
+    got = {i: i for i in sets} | dict(found.select("id", "root").collect())
+    assert got == linked({i: set(x.tolist()) for i, x in sets.items()})
+    assert got[5] == 1
+
+
 def test_line_dedup(documents):
     rng = random.Random(8)
     base = ["".join(rng.choices("abcdefgh ", k=rng.randint(1, 90))) for _ in range(40)]

@@ -26,8 +26,14 @@ from firnline.llm.common import table
 VERSION = "WARC/1.1"
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Comments, scripts and styles without an end reach to the end of the page. The other elements need their
+#: end tag, else only the tag goes; of a head only the title is text, so that a head may lack its end
+#: tag. A tag has a letter, "/", "!" or "?" after its "<"; any other "<" is text.
 DROPPED = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)|<(/?[a-zA-Z][a-zA-Z0-9]*)?[^>]*>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style)(?=[\s/>]|\Z).*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<(noscript|template|svg|title)(?=[\s/>])(?![^>]*/>).*?</\2(?=[\s/>])[^>]*>"
+    r"|<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[/!?][^>]*>",
     re.S | re.I,
 )
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
@@ -104,7 +110,10 @@ def decoded(http: str, payload: bytes) -> str:
 def plain_text(page: str) -> str:
     """The text of a page: scripts, styles and comments dropped, a line for each block element,
     entities resolved, blanks collapsed, empty lines left out."""
-    text = DROPPED.sub(lambda m: "\n" if (m[2] or "").lstrip("/").lower() in BLOCKS else " " if m[1] else "", page)
+    def instead(m: re.Match) -> str:
+        return "\n" if (m[3] or "").lstrip("/").lower() in BLOCKS else " " if m[1] or m[2] else ""
+
+    text = DROPPED.sub(instead, page)
     lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 

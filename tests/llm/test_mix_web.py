@@ -126,6 +126,24 @@ def test_url_rules_equal_sql(spark):
     assert got == set(duckdb.sql(sql).fetchall())
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<head><title>t</title><body><p>whole text", "whole text"),
+        ("<head><title>t</title><p>whole text", "whole text"),
+        ("<p>a<svg width=1 />b<p>c", "ab\nc"),
+        ("<p>a<svg><title>x</title><text>y</text></svg>b", "a b"),
+        ("<p>a<noscript>b<p>c<template>d", "ab\ncd"),
+        ("<p>if 3 < 5 then all of this stays</p><p>rest</p>", "if 3 < 5 then all of this stays\nrest"),
+        ("a <!doctype x><?php y?></ z>b <- c <> d", "a b <- c <> d"),
+        ("a<!-->b<!-- c --!>d<!-- e", "abd"),
+        ("a<script>b</script x>c<STYLE>d", "a c"),
+    ],
+)
+def test_plain_text_keeps_the_page(page, want):
+    assert warc.plain_text(page) == want
+
+
 def test_warc_records(spark, tmp_path):
     page = "<html><head><title>A &amp; b</title></head><body><p>One<br>two &lt;3<script>x</script><!-- c --></body>"
     pages = spark.createDataFrame([(1, "http://a/", page), (2, None, None), (3, "http://b/", "")], "page_id int, url string, html string")

@@ -5,9 +5,11 @@ generalised: digits and long hexadecimal runs become classes; branches of a node
 ``MANY`` children that hold less than ``SMALL`` of the node's urls become the wildcard; and a labelled
 branch whose share of bad urls does not differ from its labelled siblings' (a two-sided test of
 one proportion at ``Z``) is merged with them. What is left is a template. Its purity, the share of bad
-among its labelled urls, is smoothed by ``STRENGTH`` urls that are half bad; a template is rejected
-from ``REJECT`` on, so one without labelled urls is not. Rows with a rule have the rule's verdict; they are
-the labelled rows.
+among its labelled urls, is smoothed by ``STRENGTH`` urls that are as bad as the rest of its parent, whose
+share is smoothed likewise by the rest of its own parent, up to the host, smoothed by urls that are half
+bad. Every labelled url counts once, and a template without labelled urls takes its parent's purity. A
+template is rejected from ``REJECT`` on. Rows with a rule have the rule's verdict; they are the labelled
+rows.
 
 Everything is grouping and joining of (host, prefix, segment) rows; the tree never stands in one task.
 Paths deeper than ``DEPTH`` segments end in one segment that stands for the rest.
@@ -121,17 +123,43 @@ def templates(rows: DataFrame) -> DataFrame:
     depth = paths.agg(F.max(F.size("parts"))).first()[0] or 0
     for level in range(depth):
         paths = checkpointed(grown(paths, level))
-    by_template = paths.groupBy("host", "prefix").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
-    judged = by_template.select(
-        F.col("host").alias("j_host"),
-        F.col("prefix").alias("template"),
-        ((F.col("bad") + STRENGTH / 2) / (F.col("known") + STRENGTH)).alias("purity"),
-    )
+    judged = purities(paths.groupBy("host", "prefix").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")))
     return paths.join(judged, (F.col("host") == F.col("j_host")) & (F.col("prefix") == F.col("template"))).select(
         "host", "path", "template", "purity"
     )
 
 
+def purities(by_template: DataFrame) -> DataFrame:
+    """``(j_host, template, purity)`` of ``by_template(host, prefix, known, bad)``; from the host down,
+    each node's labelled urls outside the next node on the way, then the template's own."""
+    parts = F.split("prefix", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    on_the_way = by_template.select("host", "prefix", "known", "bad", F.posexplode(above).alias("level", "node"))
+    nodes = on_the_way.groupBy("host", "level", "node").agg(
+        F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad")
+    )
+    ways = (
+        on_the_way.select("host", "prefix", "level", "node")
+        .join(nodes, ["host", "level", "node"])
+        .groupBy("host", "prefix")
+        .agg(F.sort_array(F.collect_list(F.struct("level", "all_known", "all_bad"))).alias("way"))
+    )
+
+    def outside(node: Column, i: Column) -> Column:
+        below = F.get("way", i + 1)
+        return F.struct(
+            (node["all_known"] - F.coalesce(below["all_known"], F.lit(0))).alias("known"),
+            (node["all_bad"] - F.coalesce(below["all_bad"], F.lit(0))).alias("bad"),
+        )
+
+    purity = F.aggregate(
+        F.transform("way", outside),
+        F.lit(0.5),
+        lambda p, x: (x["bad"] + STRENGTH * p) / (x["known"] + STRENGTH),
+    )
+    return ways.select(F.col("host").alias("j_host"), F.col("prefix").alias("template"), purity.alias("purity"))
+
+
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``(row, host, path, rule, verdict, template, purity)``, one row for each row of ``pages``,
     which is kept as a struct. Null urls and urls without ``://`` have an empty host and path and

@@ -111,6 +111,18 @@ def test_url_templates_spread_a_verdict(spark):
         assert r["verdict"] == ("block" if r["path"].startswith("/bad/") else "allow"), r
 
 
+def test_url_templates_without_labels_take_their_parents_purity(spark):
+    rules = (("b.org", "/x/", "block"), ("g.org", "/x/", "allow"), ("few.org", "/x/", "block"))
+    urls = [f"http://{h}.org/x/{'ab'[i % 2]}/{i}" for h in ("b", "g") for i in range(40)] + ["http://few.org/x/1"]
+    urls += [f"http://{h}.org/y/{i}" for h in ("b", "g", "few") for i in range(3)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    rows = url_filter.judge(pages, rules=rules).where("rule is null").collect()
+    want = {"b.org": (42.5 / 45, "block"), "g.org": (2.5 / 45, "allow"), "few.org": (3.5 / 6, "allow")}
+    assert len(rows) == 9
+    for r in rows:
+        assert abs(r["purity"] - want[r["host"]][0]) < 1e-9 and r["verdict"] == want[r["host"]][1], r
+
+
 def test_url_rules_equal_sql(spark):
     got = {(r["page_id"], r["host"], r["path"], r["rule"]) for r in url_filter.op4_url_filters(spark, SF).collect()}
     sql = r"""

@@ -68,6 +68,14 @@ def small(df: DataFrame, weight: str = "1", rows: int = BROADCAST_ROWS) -> DataF
     return F.broadcast(df) if found <= rows else df
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB's way to the unsigned CRC-32 of an ASCII string, for the statements that stand beside queries."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END"
+    byte = f"list_reduce(range(8)::UBIGINT[], lambda x, i: {step}, xor(c, b))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ord({text}[i])::UBIGINT)"
+    return f"CAST(xor(list_reduce({codes}, lambda c, b: {byte}, 4294967295::UBIGINT), 4294967295::UBIGINT) AS BIGINT)"
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A column name that no column of the table has."""
     taken = {c.lower() for c in df.columns}

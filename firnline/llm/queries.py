@@ -6,8 +6,10 @@ from firnline.llm.bpe import op8_bpe_encoding_and_decoding
 from firnline.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from firnline.llm.fingerprints import op10_document_fingerprints
 from firnline.llm.line_dedup import op3_line_dedup
+from firnline.llm.merkle import OP12_SQL, op12_merkle_dataset_manifest
 from firnline.llm.mixing import op9_mixing_sources_to_target_weights
 from firnline.llm.near_dedup import op6_minhash_near_dedup
+from firnline.llm.prefix_trie import OP13_SQL, op13_conversation_prefix_trie
 from firnline.llm.quality import op1_quality_classifier
 from firnline.llm.toxicity import op7_toxicity
 from firnline.llm.url_filter import op4_url_filters
@@ -26,6 +28,12 @@ QUERIES = {
         op8_bpe_encoding_and_decoding,
         op9_mixing_sources_to_target_weights,
         op10_document_fingerprints,
+        op12_merkle_dataset_manifest,
+        op13_conversation_prefix_trie,
     )
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+ORACLES = {
+    "op2_exact_dedup": OP2_SQL,
+    "op12_merkle_dataset_manifest": OP12_SQL,
+    "op13_conversation_prefix_trie": OP13_SQL,
+}

@@ -71,13 +71,13 @@ def bases(rows: DataFrame, group: list[str], key: str, then: list[str]) -> DataF
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if most <= 1 << DIRECTORY:
         return rows.withColumn("base", before(Window.partitionBy(*group).orderBy(key, *then)))
-    up = F.shiftright(key, DIRECTORY)
-    blocks = rows.groupBy(*group, up.alias("block")).agg(F.sum("n").alias("n"))
-    upper = bases(written(blocks), group, "block", []).select(*group, "block", F.col("base").alias("above"))
-    inside = rows.withColumn("block", up)
-    inside = inside.withColumn("within", before(Window.partitionBy(*group, "block").orderBy(key, *then)))
-    joined = inside.join(upper, [*group, "block"])
-    return joined.withColumn("base", F.col("above") + F.col("within")).drop("block", "above", "within")
+    up, block = F.shiftright(key, DIRECTORY), f"{key}_block"
+    blocks = rows.groupBy(*group, up.alias(block)).agg(F.sum("n").alias("n"))
+    upper = bases(written(blocks), group, block, []).select(*group, block, F.col("base").alias("above"))
+    inside = rows.withColumn(block, up)
+    inside = inside.withColumn("within", before(Window.partitionBy(*group, block).orderBy(key, *then)))
+    joined = inside.join(upper, [*group, block])
+    return joined.withColumn("base", F.col("above") + F.col("within")).drop(block, "above", "within")
 
 
 def low_bits(at: Column) -> Column:

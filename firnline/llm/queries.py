@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from firnline.llm.bpe import op8_bpe_encoding_and_decoding
+from firnline.llm.ctw import op11_lm_scoring
 from firnline.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from firnline.llm.fingerprints import op10_document_fingerprints
 from firnline.llm.line_dedup import op3_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
         op8_bpe_encoding_and_decoding,
         op9_mixing_sources_to_target_weights,
         op10_document_fingerprints,
+        op11_lm_scoring,
         op12_merkle_dataset_manifest,
         op13_conversation_prefix_trie,
     )

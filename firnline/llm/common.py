@@ -49,11 +49,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """As ``checkpointed``, as a Parquet table in the shared folder: columnar and compressed, so that
     identifiers in order and repeated keys take few bytes, and later steps read only their columns."""
     path = f"{shared_base(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -45,7 +45,9 @@ CHUNK = 32 << 20
 RUN = 1 << 20
 #: N-grams for each group of contexts, about.
 GROUP = 200_000
-TABLE_BITS = 22
+TABLE_BITS = 21
+#: Rows that are packed at a time.
+PACK = 1 << 19
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 END = b"\n"
 HALF = np.log(0.5)
@@ -79,11 +81,8 @@ def runs(raws: list[bytes], size: int = RUN) -> Iterator[tuple[int, int]]:
         yield start, len(raws)
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
-
-
-END_HASH = word_hash(END)
+def hashes(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -95,7 +94,8 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 def chunked(docs: DataFrame, train: Column) -> DataFrame:
-    """``(chunk, doc_id, train, raw)``, written once: the texts as they are scored."""
+    """``(chunk, doc_id, train, raw)``, written once: the texts as they are scored. Input partitions much
+    smaller than a chunk are read together, as small chunks share few n-grams."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, filled = TaskContext.get().partitionId() << 32, 0
@@ -111,45 +111,43 @@ def chunked(docs: DataFrame, train: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "train", "raw"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("t"), text_of().alias("text"))
-    return written(rows.mapInArrow(assign, "chunk long, doc_id long, train boolean, raw binary"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.coalesce(-(-size // CHUNK) or 1)
+    return written(rows.mapInArrow(assign, "chunk long, doc_id long, train boolean, raw binary"), "zstd")
 
 
 class Tally:
-    """Distinct n-grams and words of one chunk with their numbers in training texts."""
+    """Distinct n-grams (kind 0) and hashes of words (kind 1) of one chunk with their numbers in training
+    texts, as sorted arrays that are merged run by run."""
 
     def __init__(self) -> None:
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.words: Counter = Counter()
-        self.others: set[bytes] = set()
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
 
     def add(self, raws: list[bytes], train: bool) -> None:
         for i, j in runs(raws):
-            code, n = np.unique(codes(raws[i:j]), return_counts=True)
-            self.grams.append((code, n if train else np.zeros(len(n), np.int64)))
-            if len(self.grams) == 8:
-                self.grams = [self.merged()]
-        for r in raws:
-            if train:
-                self.words.update(words_of(r))
-            else:
-                self.others.update(words_of(r))
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        code, at = np.unique(np.concatenate([c for c, _ in self.grams]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n for _, n in self.grams]), len(code))
-        return code, n.astype(np.int64)
+            self.keep(0, *np.unique(codes(raws[i:j]), return_counts=True), train)
+            words: Counter = Counter()
+            for r in raws[i:j]:
+                words.update(words_of(r))
+            self.keep(1, hashes(words), np.fromiter(words.values(), np.int64, len(words)), train)
+
+    def keep(self, kind: int, key: np.ndarray, n: np.ndarray, train: bool) -> None:
+        self.parts[kind].append((key, n if train else np.zeros(len(n), np.int64)))
+        if len(self.parts[kind]) == 8:
+            self.parts[kind] = [self.merged(kind)]
+
+    def merged(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = zip(*self.parts[kind])
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
 
     def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
-        code, n = self.merged()
-        words = self.words
-        words.update(dict.fromkeys(self.others, 0))
-        keys = np.fromiter(map(word_hash, words), np.int64, len(words))
-        counts = np.fromiter(words.values(), np.int64, len(words))
-        for kind, key, number in ((0, code.view(np.int64), n), (1, keys, counts)):
+        for kind in (0, 1):
+            key, n = self.merged(kind)
             for i in range(0, len(key), 1 << 16):
                 part = slice(i, i + (1 << 16))
                 size = len(key[part])
-                columns = [np.full(size, chunk), np.full(size, kind, np.int32), key[part], number[part]]
+                columns = [np.full(size, chunk), np.full(size, kind, np.int32), key[part].view(np.int64), n[part]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["chunk", "kind", "key", "n"])
 
 
@@ -176,7 +174,7 @@ def tallied(texts: DataFrame) -> DataFrame:
         if now is not None:
             yield from tally.rows(now)
 
-    return written(texts.select("chunk", "train", "raw").mapInArrow(count, "chunk long, kind int, key long, n long"))
+    return written(texts.select("chunk", "train", "raw").mapInArrow(count, "chunk long, kind int, key long, n long"), "zstd")
 
 
 # The tree, two levels at a time
@@ -411,46 +409,78 @@ class Values:
 
 
 SCORES = "doc_id long, train boolean, n_bytes long, n_tokens long, n_known long, log_counts double, log_p double"
+PACKED = "chunk long, kind int, keys binary, numbers binary"
+
+
+def packed(answers: DataFrame) -> DataFrame:
+    """``answers(chunk, kind, key, number)`` with the keys and numbers of a task's rows for one chunk and kind
+    in one row, which makes a shuffle by chunk less than half as large."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACK:
+                yield from flush(held)
+                held = []
+        if held:
+            yield from flush(held)
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, kind, key, number = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        by = np.lexsort([key, kind, chunk])
+        chunk, kind, key, number = chunk[by], kind[by], key[by], number[by]
+        cut = np.r_[0, np.flatnonzero((np.diff(chunk) != 0) | (np.diff(kind) != 0)) + 1, len(chunk)]
+        for i, j in zip(cut, cut[1:]):
+            columns = [[chunk[i]], [kind[i]], [key[i:j].tobytes()], [number[i:j].tobytes()]]
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["chunk", "kind", "keys", "numbers"])
+
+    return answers.select("chunk", "kind", "key", "number").mapInArrow(pack, PACKED)
+
+
+def unpacked(found: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = found.filter(pa.array(found["kind"].to_numpy() == kind))
+    return tuple(
+        np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("numbers", np.float64))
+    )
 
 
 def scored(texts: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
-    """``SCORES`` of every row of ``texts`` from its chunk's ``answers(chunk, kind, key, number)``: values
-    of n-grams and training numbers of words."""
+    """``SCORES`` of every row of ``texts`` from its chunk's ``answers(chunk, kind, keys, numbers)``: values of
+    n-grams and training numbers of words."""
 
     def score(docs: pa.Table, found: pa.Table) -> pa.Table:
-        kind, key, number = (found[c].to_numpy() for c in ("kind", "key", "number"))
-        table_ = Values(key[kind == 0].view(np.uint64), number[kind == 0])
-        counts = dict(zip(key[kind == 1].tolist(), number[kind == 1].tolist()))
-        cost = {c: np.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in set(counts.values())}
-        known: dict[bytes, float] = {}
+        grams, words = Values(*unpacked(found, 0)), Values(*unpacked(found, 1))
         raws = docs["raw"].to_pylist()
         p, tokens, seen, base = [], [], [], []
         for i, j in runs(raws):
-            sums = np.r_[0.0, np.cumsum(table_.of(codes(raws[i:j])))]
+            sums = np.r_[0.0, np.cumsum(grams.of(codes(raws[i:j])))]
             ends = np.cumsum([len(r) for r in raws[i:j]])
             p.append(np.diff(sums[np.r_[0, ends]]))
-        for r in raws:
-            words = words_of(r)
-            for w in words:
-                if w not in known:
-                    known[w] = counts[word_hash(w)]
-            of = [known[w] for w in words]
-            tokens.append(len(words))
-            seen.append(sum(c > 0 for c in of))
-            base.append(sum(cost[c] for c in of))
+            index: dict[bytes, int] = {}
+            of = [[index.setdefault(w, len(index)) for w in words_of(r)] for r in raws[i:j]]
+            counts = words.of(hashes(index))
+            sizes = np.array([len(x) for x in of])
+            flat = counts[np.fromiter((x for one in of for x in one), np.int64, sizes.sum())]
+            starts = np.cumsum(sizes) - sizes
+            tokens.append(sizes)
+            seen.append(np.add.reduceat((flat > 0).astype(np.int64), starts))
+            base.append(np.add.reduceat(np.log10((flat + 0.1) / (n + 0.1 * (v + 1))), starts))
+        whole = lambda parts, kind: pa.array(np.concatenate([np.empty(0, kind), *parts]).astype(kind))
         return pa.table(
             {
                 "doc_id": docs["doc_id"],
                 "train": docs["train"],
                 "n_bytes": pa.array([len(r) for r in raws], pa.int64()),
-                "n_tokens": pa.array(tokens, pa.int64()),
-                "n_known": pa.array(seen, pa.int64()),
-                "log_counts": pa.array(base, pa.float64()),
-                "log_p": pa.array(np.concatenate([np.empty(0), *p]), pa.float64()),
+                "n_tokens": whole(tokens, np.int64),
+                "n_known": whole(seen, np.int64),
+                "log_counts": whole(base, np.float64),
+                "log_p": whole(p, np.float64),
             }
         )
 
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORES)
+    return texts.groupBy("chunk").cogroup(packed(answers).groupBy("chunk")).applyInArrow(score, SCORES)
 
 
 def ctw_scores(docs: DataFrame, train: Column) -> DataFrame:
@@ -471,7 +501,7 @@ def ctw_scores(docs: DataFrame, train: Column) -> DataFrame:
     total = words.where("first and n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
     answers = (
-        grams.select("chunk", "key").distinct().join(learnt, "key").select("chunk", F.lit(0).alias("kind"), "key", F.col("value").alias("number"))
+        grams.select("chunk", "key").join(learnt, "key").select("chunk", F.lit(0).alias("kind"), "key", F.col("value").alias("number"))
     ).unionByName(words.select("chunk", F.lit(1).alias("kind"), "key", F.col("n").cast("double").alias("number")))
     rows = scored(texts, answers, n, v)
     score = F.col("log_p") / F.log(F.lit(10.0))

@@ -15,13 +15,14 @@ from firnline.functions import labels as fl
 from firnline.functions.scalars import FEATURE_BOUNDS, melt_label
 from firnline.ml import cv, estimators, folds, importance, linear, metrics
 from firnline.ml.ensemble import ensemble_statistics
-from firnline.ml.store import load_model, save_model
+from firnline.ml.store import load_bundle, load_model, save_bundle, save_model
 from firnline.operators.aggregates import majority
 from firnline.operators.masks import combined_mask
 from firnline.plans.residuals import residual_report
-from firnline.plans.training_table import training_table
-from firnline.session import shared_folder
+from firnline.plans.training_table import prediction_table, training_table
+from firnline.session import checkpointed, shared_folder
 from firnline.sources import driver_grid as g
+from firnline.sources.rasters import long_to_lines
 
 FEATURES = [
     "x",
@@ -80,6 +81,47 @@ def kmeans_areas(spark, sf):
     )
 
 
+def _kmeans_sql(turns: int = folds.TURNS) -> str:
+    """The same steps: seeds on the diagonal, then weighted means of the nearest cells."""
+    near = "arg_min(c.i, {{'d': (w.x - c.cx)*(w.x - c.cx) + (w.y - c.cy)*(w.y - c.cy), 'i': c.i}})"
+    steps = [
+        "w AS MATERIALIZED (SELECT x, y, CAST(count(*) AS DOUBLE) AS w FROM px WHERE opt_value IS NOT NULL GROUP BY x, y)",
+        "c0 AS (SELECT i, min(x) + (2*i + 1)/10.0::DOUBLE*(max(x) - min(x)) AS cx, min(y) + (2*i + 1)/10.0::DOUBLE*(max(y) - min(y)) AS cy "
+        "FROM w, range(5) s(i) GROUP BY i)",
+    ]
+    for t in range(1, turns + 1):
+        steps.append(
+            f"a{t} AS (SELECT w.x, w.y, w.w, {near.format()} AS i FROM w, c{t - 1} c GROUP BY w.x, w.y, w.w)"
+        )
+        steps.append(
+            f"c{t} AS MATERIALIZED (SELECT c.i, coalesce(sum(a.w*a.x)/sum(a.w), any_value(c.cx)) AS cx, coalesce(sum(a.w*a.y)/sum(a.w), any_value(c.cy)) AS cy "
+            f"FROM c{t - 1} c LEFT JOIN a{t} a ON a.i = c.i GROUP BY c.i)"
+        )
+    steps.append(f"last AS (SELECT row_number() OVER (ORDER BY cx, cy) - 1 AS i, cx, cy FROM c{turns})")
+    return p.sql(
+        f"SELECT CAST(a.i AS INTEGER) AS area, {p.r('any_value(l.cx)', 'cx')}, {p.r('any_value(l.cy)', 'cy')}, count(*) AS n_cells, "
+        f"CAST(sum(a.w) AS BIGINT) AS n_rows FROM (SELECT w.x, w.y, w.w, {near.format()} AS i FROM w, last c GROUP BY w.x, w.y, w.w) a "
+        "JOIN last l ON l.i = a.i GROUP BY a.i",
+        *steps,
+    )
+
+
+@query("l01_kmeans_steps", _kmeans_sql())
+def kmeans_steps(spark, sf):
+    """Areas of the observed cells with their centres."""
+    weights = checkpointed(folds.cell_weights(g.pixels(spark, sf).where("opt_value IS NOT NULL")))
+    centres = folds.fit_centres(weights)
+    of = F.col("area")
+    return plain(
+        weights.groupBy(folds.area(centres).alias("area"))
+        .agg(F.count("*").alias("n_cells"), F.sum("weight").cast("long").alias("n_rows"))
+        .withColumns({
+            "cx": F.element_at(F.array(*[F.lit(c[0]) for c in centres]), of + 1),
+            "cy": F.element_at(F.array(*[F.lit(c[1]) for c in centres]), of + 1),
+        })
+    )
+
+
 CENTRES = [(-630000.0, -667000.0), (-620500.0, -665500.0), (-628500.0, -678000.0), (-617500.0, -677500.0), (-624000.0, -672500.0)]
 
 
@@ -395,26 +437,34 @@ def elastic_net_one_feature(spark, sf):
 # L13 to L17: trees and classifiers
 
 
-def _tree_scores(spark, sf, estimator, name):
-    result = cv.spatial_cv(
-        training(spark, sf), FEATURES, estimator, name, tune=False, final=False, areas=areas(spark, sf)
+def _tree_scores(spark, sf, estimator, name, tune):
+    """Scores of the fold models and, as fold -1, of the final model on all training rows."""
+    rows = training(spark, sf)
+    grid = estimators.GRIDS[name]
+    result = cv.spatial_cv(rows, FEATURES, estimator, name, grid, tune=tune, areas=areas(spark, sf))
+    final = cv.predict_all(estimators.assemble(rows, FEATURES), [result.final_model])
+    back = final.select(F.expm1("opt_value").alias("y"), F.expm1("prediction_0").alias("p"))
+    whole = metrics.regression_scores(back, "y", "p").select(
+        F.lit(-1).alias("fold"), F.lit("Final").alias("set"), "n", "mse", "rmse", "r2", F.lit(name).alias("model")
     )
-    return plain(result.scores)
+    return plain(result.scores.unionByName(whole))
 
 
 @query("l13_decision_tree")
 def decision_tree(spark, sf):
-    return _tree_scores(spark, sf, estimators.decision_tree(12, 6), "DecisionTree")
+    """Depth and leaf size tuned on inner areas, for every outer area and for the final model."""
+    return _tree_scores(spark, sf, estimators.decision_tree(), "DecisionTree", True)
 
 
 @query("l14_random_forest")
 def random_forest(spark, sf):
-    return _tree_scores(spark, sf, estimators.random_forest(7, "sqrt", 2), "RandomForest")
+    """The first grid point, as tuning is off for the forest."""
+    return _tree_scores(spark, sf, estimators.random_forest(), "RandomForest", False)
 
 
 @query("l15_gradient_boosting")
 def gradient_boosting(spark, sf):
-    return _tree_scores(spark, sf, estimators.gradient_boosting(3), "GradientBoosting")
+    return _tree_scores(spark, sf, estimators.gradient_boosting(), "GradientBoosting", False)
 
 
 def _labelled(spark, sf):
@@ -499,21 +549,105 @@ def temporal_hold_out(spark, sf):
     )
 
 
+BX = f"(x - ({XLO}))/({XHI} - ({XLO})) * 60"
+FOLD_FITS = f"""twoa AS (SELECT area, mw_value AS a, {BX} AS b, log_value AS y FROM obs_area),
+momk AS (SELECT k.area, count(*) AS n, var_pop(a)*count(*) AS saa, var_pop(b)*count(*) AS sbb, covar_pop(a, b)*count(*) AS sab,
+  covar_pop(a, y)*count(*) AS say, covar_pop(b, y)*count(*) AS sby, avg(a) AS ma, avg(b) AS mb, avg(y) AS my
+  FROM (SELECT DISTINCT area FROM twoa UNION ALL SELECT -1) k JOIN twoa t ON t.area <> k.area GROUP BY k.area),
+fitk AS (SELECT area, wa, wb, my - wa*ma - wb*mb AS c FROM (
+  SELECT *, (say*sbb - sby*sab)/(saa*sbb - sab*sab) AS wa, (sby*saa - say*sab)/(saa*sbb - sab*sab) AS wb FROM momk)),
+scored AS (SELECT px.date, px.x, px.y, px.col, px."row", avg(p) AS mp, stddev_pop(p) AS sp
+  FROM (SELECT px.*, exp(c + wa*mw_value + wb*({BX})) - 1 AS p FROM px, fitk WHERE area <> -1) px GROUP BY ALL)"""
+
+
+def _with_two(rows):
+    low, high = FEATURE_BOUNDS["x"]
+    return rows.withColumns({"a": F.col("mw_value").cast("double"), "b": (F.col("x") - low) / (high - low) * 60})
+
+
+def _two_feature_bundle(spark, sf):
+    """Least squares without each of the five fixed areas and on all rows, stored and loaded again."""
+    result = cv.leave_one_area_out(
+        _with_two(observed_with_area(spark, sf)), ["a", "b"], "LinearRegression", "area", "log_value"
+    )
+    root = shared_folder(spark)
+    save_bundle(spark, result, root, "two_features")
+    return load_bundle(spark, root, "two_features")
+
+
+@query(
+    "s09_bundle_of_fold_models",
+    p.sql(
+        f"SELECT CAST(CASE WHEN k.area = -1 THEN -1 ELSE k.i END AS INTEGER) AS fold, count(*) AS n, {p.r('avg(c + wa*mw_value + wb*(' + BX + '))', 'mean_prediction')} "
+        "FROM obs_area o, (SELECT *, row_number() OVER (ORDER BY area) - 2 AS i FROM fitk) k GROUP BY 1",
+        SPREAD_CELLS,
+        AREAS,
+        FOLD_FITS,
+    ),
+)
+def bundle_of_fold_models(spark, sf):
+    """Mean predictions of the loaded fold models and of the loaded final model (-1)."""
+    loaded = _two_feature_bundle(spark, sf)
+    rows = cv.predict_folds(_with_two(observed_with_area(spark, sf)), loaded, "p")
+    each = [(i, f"p{i}") for i in range(len(loaded.fold_models))]
+    rows = rows.withColumn("final", loaded.final_model.expression())
+    one = rows.agg(
+        *[F.struct(F.lit(i).alias("fold"), F.count(c).alias("n"), F.avg(c).alias("mean_prediction")).alias(c) for i, c in [*each, (-1, "final")]]
+    )
+    return plain(one.select(F.inline(F.array(*one.columns))))
+
+
 @query(
     "l19_score_all_pixels",
     p.sql(
-        f"SELECT {p.d()}, x, y, {p.r('exp(my - wa*ma - wb*mb + wa*mw_value + wb*((x - (-636500.0))/(824500.0 - (-636500.0))*60)) - 1', 'prediction')} FROM px, fit WHERE NOT is_water",
-        TWO,
-        pair_sql("0"),
+        f"SELECT {p.d()}, x, y, {p.r('mp', 'mean_prediction')}, {p.r('sp', 'std_prediction')} FROM scored",
+        SPREAD_CELLS,
+        AREAS,
+        FOLD_FITS,
     ),
 )
 def score_all_pixels(spark, sf):
-    fit = pair_fit(spark, sf, linear.ols)
-    low, high = FEATURE_BOUNDS["x"]
-    ice = g.pixels(spark, sf).where("NOT is_water").withColumns(
-        {"a": F.col("mw_value").cast("double"), "b": (F.col("x") - low) / (high - low) * 60}
+    """Every pixel, water and cloud included, by the fold models of a stored bundle."""
+    pixels = _with_two(g.pixels(spark, sf))
+    return plain(cv.score_all(pixels, _two_feature_bundle(spark, sf), ["date", "x", "y"]))
+
+
+@query(
+    "l19_predicted_lines",
+    p.sql(
+        f"SELECT {p.d()}, \"row\", count(mp) AS n, {p.r('sum(round(mp, 6))', 'total')} FROM scored GROUP BY date, \"row\"",
+        SPREAD_CELLS,
+        AREAS,
+        FOLD_FITS,
+    ),
+)
+def predicted_lines(spark, sf):
+    """The predictions as dense raster lines, then per line the cells and their sum."""
+    pixels = _with_two(g.pixels(spark, sf))
+    scored = cv.score_all(pixels, _two_feature_bundle(spark, sf), ["date", "row", "col"])
+    lines = long_to_lines(scored.withColumn("p", F.round("mean_prediction", 6)), "p", g.grid_of(spark, sf))
+    present = F.filter("line", lambda v: v.isNotNull())
+    total = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v)
+    return plain(lines.select("date", "row", F.size(present).cast("long").alias("n"), total.alias("total")))
+
+
+@query("l19_fold_models_on_all_pixels")
+def fold_models_on_all_pixels(spark, sf):
+    """The ridge models of the nested cross-validation, stored and loaded, on the unfiltered table: mean and
+    deviation of the predictions by day."""
+    root = shared_folder(spark)
+    save_bundle(spark, _ridge(spark, sf), root, "ridge")
+    rows = prediction_table(extended(spark, sf)).fillna({"aspect_data": 0.5})
+    scored = cv.score_all(rows, load_bundle(spark, root, "ridge"), ["date", "row", "col"], "opt_value")
+    return plain(
+        scored.groupBy("date").agg(
+            F.count("*").alias("n"),
+            F.count("mean_prediction").alias("n_predicted"),
+            F.count("residual_prediction").alias("n_observed"),
+            F.avg("mean_prediction").alias("mean_prediction"),
+            F.avg("std_prediction").alias("std_prediction"),
+        )
     )
-    return plain(ice.select("date", "x", "y", F.expm1(fit.expression()).alias("prediction")))
 
 
 @query(
@@ -583,15 +717,30 @@ def _ridge(spark, sf):
     )
 
 
+def _seven_results(spark, sf):
+    """One result for each kind of model, linear ones with a fixed penalty, trees at their first grid point."""
+    rows, shared = training(spark, sf), areas(spark, sf)
+    for name in ("LinearRegression", "RidgeRegression", "LassoRegression", "ElasticNetRegression"):
+        grid = None if name == "LinearRegression" else {k: v[:1] for k, v in estimators.GRIDS[name].items()}
+        yield cv.spatial_cv_linear(rows, FEATURES, name, grid, tune=False, areas=shared)
+    trees = {
+        "DecisionTree": estimators.decision_tree(),
+        "RandomForest": estimators.random_forest(),
+        "GradientBoosting": estimators.gradient_boosting(),
+    }
+    for name, estimator in trees.items():
+        yield cv.spatial_cv(rows, FEATURES, estimator, name, estimators.GRIDS[name], tune=False, final=False, areas=shared)
+
+
 @query("a24_feature_importance")
 def feature_importance(spark, sf):
-    rows = training(spark, sf)
-    shared = areas(spark, sf)
-    ols = cv.spatial_cv_linear(rows, FEATURES, "LinearRegression", tune=False, areas=shared)
-    tree = cv.spatial_cv(
-        rows, FEATURES, estimators.decision_tree(), "DecisionTree", tune=False, final=False, areas=shared
-    )
-    table = importance.importance_table(spark, ols).unionByName(importance.importance_table(spark, tree))
+    """Signed coefficients, absolute coefficients or impurity importances of all seven kinds, each read from its
+    stored bundle: seven times thirteen rows."""
+    root, table = shared_folder(spark), None
+    for result in _seven_results(spark, sf):
+        save_bundle(spark, result, root, result.name)
+        part = importance.importance_table(spark, load_bundle(spark, root, result.name))
+        table = part if table is None else table.unionByName(part)
     return plain(importance.importance_summary(table))
 
 

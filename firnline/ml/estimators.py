@@ -35,6 +35,21 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 
 
+# The grids' names in Spark ML.
+SPARK_NAMES = {
+    "max_depth": "maxDepth",
+    "min_samples_leaf": "minInstancesPerNode",
+    "max_features": "featureSubsetStrategy",
+}
+
+
+def spark_parameter(name: str, value: object) -> tuple[str, object]:
+    """A grid point's name and value for a Spark ML estimator."""
+    if name == "max_features":
+        value = "all" if value is None else str(value)
+    return SPARK_NAMES.get(name, name), value
+
+
 def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=check_features(features), outputCol=output).transform(df)
 
@@ -73,7 +88,7 @@ def random_forest(
     label: str = "opt_value",
     seed: int = 7,
 ):
-    subset = "all" if max_features is None else str(max_features)
+    subset = spark_parameter("max_features", max_features)[1]
     return RandomForestRegressor(
         labelCol=label,
         maxDepth=max_depth,

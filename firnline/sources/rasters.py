@@ -44,21 +44,34 @@ def long_to_lines(
     grid: Grid,
     keys: Sequence[str] = ("date",),
     version: str | None = None,
+    outside: str = "error",
 ) -> DataFrame:
     """Dense raster lines for every row of the grid, NULL where a cell is absent.
 
-    Duplicates of a cell are resolved by the highest ``version`` (or the highest value).
+    Duplicates of a cell are resolved by the highest ``version`` (or the highest value). A line is built
+    from its sorted cells by filling the gaps between them, so the work is linear in the line. Cells
+    outside the grid are counted first and raise ``ValueError``; ``outside="drop"`` leaves them out.
     """
-    one = cells.groupBy(*keys, "row", "col").agg(F.max_by(value, version or value).alias("_v"))
+    inside = F.col("row").between(0, grid.nrows - 1) & F.col("col").between(0, grid.ncols - 1)
+    if outside == "error":
+        lost = cells.where(~F.coalesce(inside, F.lit(False))).count()
+        if lost:
+            raise ValueError(f"{lost} cells are outside the grid of {grid.nrows} x {grid.ncols}")
+    one = cells.where(inside).groupBy(*keys, "row", "col").agg(F.max_by(value, version or value).alias("_v"))
     lines = one.groupBy(*keys, "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "_v"))).alias("_m")
+        F.sort_array(F.collect_list(F.struct(F.col("col").cast("int").alias("c"), "_v"))).alias("_m")
     )
     rows = F.explode(F.sequence(F.lit(0), F.lit(grid.nrows - 1))).alias("row")
     domain = cells.select(*keys).distinct().select(*keys, rows) if keys else cells.sparkSession.range(1).select(rows)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(grid.ncols - 1)), lambda c: F.element_at("_m", c))
-    missing = F.array_repeat(F.lit(None), grid.ncols)
+    none = F.lit(None).cast(cells.schema[value].dataType)
+    before = F.concat(F.array(F.lit(-1)), F.slice(F.col("_m")["c"], F.lit(1), F.size("_m") - 1))
+    filled = F.zip_with(
+        before, "_m", lambda p, e: F.concat(F.array_repeat(none, e["c"] - p - 1), F.array(e["_v"]))
+    )
+    rest = F.array_repeat(none, grid.ncols - 1 - F.element_at("_m", -1)["c"])
+    dense = F.concat(F.flatten(filled), rest)
     return domain.join(lines, [*keys, "row"], "left").select(
-        *keys, "row", F.coalesce(dense, missing).alias("line")
+        *keys, "row", F.coalesce(dense, F.array_repeat(none, grid.ncols)).alias("line")
     )
 
 

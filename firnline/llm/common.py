@@ -61,6 +61,15 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
 BROADCAST_ROWS = 2_000_000
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing that is still to run reads them."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, weight: str = "1", rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``rows`` rows (or, with ``weight``, numbers
     in them), counted now; else as it is, for a shuffled join. ``df`` should be checkpointed."""
@@ -90,12 +99,12 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     Distributed union-find by alternating large-star and small-star steps: every step replaces
     edges by edges to a smaller neighbour, so the edge count never grows, and the forest ends as
     stars around the smallest ids. Minima are combined before the shuffle, so a node with very
-    many neighbours costs one row for each map task; each round is checkpointed. Nothing is
+    many neighbours costs one row for each map task; each round is a written table, and the one before it is deleted. Nothing is
     collected but two totals a round. Null ends are ignored. Raises if ``max_rounds`` is passed
     (the rounds needed grow with the logarithm of the component size).
     """
     a, b = F.col("a"), F.col("b")
-    current = checkpointed(
+    current = written(
         edges.where(a.isNotNull() & b.isNotNull() & (a != b))
         .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
         .distinct()
@@ -114,11 +123,12 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             .where(F.col("a") != F.col("b"))
             .distinct()
         )
-        current = checkpointed(small)
+        last, current = current, written(small)
         state = current.agg(
             F.count("*"),
             F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
         ).first()
+        dropped(last)
         if state == before:
             break
         before = state

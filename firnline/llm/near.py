@@ -1,13 +1,16 @@
 """Steps that MinHash operators share: hashed shingle sets, signatures, buckets, exact verification.
 
 A shingle is a 64-bit hash; a set is its sorted distinct hashes as little-endian bytes. Buckets are
-``(key, id)`` rows; they are never expanded into all pairs. First every member of a bucket is compared
-with the bucket's smallest member, and verified links give components. Then, in buckets whose members
-are still in different components, neighbours in a hashed order are compared, turn by turn in another
-order until a turn finds no link. Each turn makes at most one pair for each member of a bucket. These
-turns only merge what is cheap to merge. Whatever bucket still holds several components is settled
-exactly at the end: all its pairs across components are compared, block by block, by sizes and parity
-bitmaps, which never reject a link, and the pairs that are left are verified on their full sets.
+``(key, id)`` rows; they are never expanded into all pairs. Every set is first verified against the smallest
+member of its buckets, one edge for each set, then against those of its other buckets that are still in
+another component. From there on only open buckets are carried, those that hold several components:
+
+* Turns: neighbours in a hashed order are verified, one pair a member at most, while a turn links a good part
+  of what is open. They merge cheaply what is easy to merge.
+* Settling: in what is still open, every member outside a bucket's largest component is compared with all
+  members of other components by sizes and parity bitmaps, which never reject a link. A member hands on the
+  most likely partner only, it is verified, components are merged, and buckets without any candidate are settled.
+  After ``ROUNDS`` such rounds all candidates that are left are handed on at once, so the result is exact.
 """
 
 from __future__ import annotations
@@ -20,15 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firnline.llm.common import checkpointed, components, small, written
+from firnline.llm.common import components, dropped, small, written
 
 CACHE_WORDS = 500_000
 PART = 4096
-MAX_TURNS = 50
-#: Members of an open bucket that are compared at a time with as many others.
-BLOCK = 1024
-#: Bits of a parity bitmap, at least and at most; between them the power of two from the set's size on.
-LEAST_BITS, MOST_BITS = 64, 2048
+#: Turns end when one links less than this share of the open rows, or after ``MAX_TURNS``.
+MAX_TURNS, YIELD = 16, 0.01
+#: Rounds of settling in which a member hands on one candidate.
+ROUNDS = 8
+#: Members of an open bucket that are compared at a time with as many others, or with ``MAIN`` members of
+#: its largest component.
+BLOCK, MAIN = 1024, 8192
+#: Bits of a parity bitmap: ``SPARSE`` times the set's size to the next power of two, between these.
+SPARSE, LEAST_BITS, MOST_BITS = 4, 64, 16384
 #: Pairs that are verified at a time.
 SLICE = 500
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -153,37 +160,86 @@ def near_components(
     Any two sets that share a key are compared, or already are in one component; ``sets_for(ids)`` gives ``(id, size, shingles)``
     of the asked ids, ``shingles`` as ``unpack`` reads them. A key that a third of all items share is
     pre-aggregated in the map tasks; the keys that occur more than once come back to their members
-    as a counted broadcast, beyond its bound as a skewed join, one row for each member.
+    as a counted broadcast, beyond its bound as a skewed join, one row for each member. Tables are deleted
+    when their successors are written.
     """
     keys = items.select("id", F.explode("keys").alias("key"))
-    low = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(keys.join(small(written(low)), "key").select("key", "id", "a", "n"))
-    stars = written(buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    low = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"), "zstd")
+    buckets = written(keys.join(small(low), "key").select("key", "id", "a", "n"), "zstd")
+    dropped(low)
+    stars = buckets.where("id <> a").select("a", F.col("id").alias("b"))
     met = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    sets = written(sets_for(small(written(met))))
-    links = written(verify(stars, sets, percent, unpack))
-    roots = components(links)
-    wide = written(buckets.where("n > 2").select("key", "id", "n").join(sets.select("id", "size"), "id"))
+    sets = written(sets_for(small(written(met))), "zstd")
+    # one edge for each set, then its other smallest members where they are not connected yet
+    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = written(verify(first, sets, percent, unpack))
+    linked = components(links)
+    roots = written(linked)
+    dropped(links, linked)
+    others = written(apart(stars.distinct(), roots).join(first, ["a", "b"], "left_anti").select("a", "b", "ra", "rb"))
+    found = written(verify(others.select("a", "b"), sets, percent, unpack).join(others, ["a", "b"]).select("ra", "rb"))
+    moves = written(components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    roots = merged(roots, moves)
+    placed = buckets.where("n > 2").select("key", "id").join(sets.select("id", "size"), "id").join(roots, "id", "left")
+    state = still_open(placed.withColumn("root", F.coalesce("root", "id")))
     for turn in range(MAX_TURNS):
-        tried = neighbours(wide, roots, percent, turn).join(stars, ["a", "b"], "left_anti")
-        more = written(verify(tried, sets, percent, unpack))
-        if more.isEmpty():
+        open_rows = state.count()
+        if not open_rows:
             break
-        links = links.unionByName(more)
-        roots = components(links)
-    rest = written(still_open(wide, roots))
-    if rest.isEmpty():
-        return roots
-    last = across(rest, sets, percent, unpack).join(stars, ["a", "b"], "left_anti")
-    more = written(verify(written(last), sets, percent, unpack))
-    return roots if more.isEmpty() else components(links.unionByName(more))
-
-
-def still_open(wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of the buckets ``wide(key, id, n, size)`` that hold several components, with ``root``."""
-    placed = wide.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        more = verify(neighbours(state, percent, turn), sets, percent, unpack)
+        last = state
+        state, roots, found = after(state, roots, written(more))
+        dropped(last)
+        if found < YIELD * open_rows:
+            break
+    tried = None
+    for turn in range(ROUNDS + 1):
+        if state.isEmpty():
+            break
+        pairs = written(across(state, sets, percent, tried, turn < ROUNDS, unpack))
+        each = pairs.select("a", "b").distinct()
+        more = written(verify(each, sets, percent, unpack))
+        last = state
+        state, roots, _ = after(state.join(pairs.select("key").distinct(), "key", "left_semi"), roots, more)
+        dropped(last)
+        tried = each if tried is None else written(tried.unionByName(each).distinct())
+    dropped(buckets, sets)
+    return roots
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose components differ, with these as ``ra`` and ``rb``."""
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.withColumns({f"r{c}": F.coalesce(f"r{c}", c) for c in "ab"}).where("ra <> rb")
+
+
+def merged(roots: DataFrame, moves: DataFrame) -> DataFrame:
+    """``roots(id, root)`` after the components ``moves(id, root)`` of its roots (or of ids without one)."""
+    moved = moves.select(F.col("id").alias("root"), F.col("root").alias("to"))
+    own = roots.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    new = moves.join(roots.select("id"), "id", "left_anti")
+    out = written(own.unionByName(new))
+    dropped(roots)
+    return out
+
+
+def after(state: DataFrame, roots: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The open rows and roots after new ``links(a, b)``, and how many links there were."""
+    found = links.count()
+    if found:
+        edges = apart(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        moves = written(components(edges))
+        roots = merged(roots, moves)
+        moved = moves.select(F.col("id").alias("root"), F.col("root").alias("to"))
+        state = state.join(small(moved), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+    return still_open(state), roots, found
+
+
+def still_open(placed: DataFrame) -> DataFrame:
+    """The rows of the buckets of ``placed(key, id, size, root)`` that hold several components."""
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    return placed.join(open_keys.select("key"), "key")
+    return written(placed.select("key", "id", "size", "root").join(open_keys.select("key"), "key"), "zstd")
 
 
 def parities(sets: list[np.ndarray]) -> list[bytes]:
@@ -191,7 +247,7 @@ def parities(sets: list[np.ndarray]) -> list[bytes]:
     two maps of one length differ are never more than the hashes that only one of the sets has."""
     out = []
     for s in sets:
-        bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(len(s) - 1, 0).bit_length()))
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(SPARSE * len(s) - 1, 0).bit_length()))
         at = (s >> np.uint64(16)) & np.uint64(bits - 1)
         odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
@@ -213,12 +269,20 @@ def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def across(
-    rest: DataFrame, sets: DataFrame, percent: int, unpack: Callable[[list], list[np.ndarray]] = stored_sets
+    rest: DataFrame,
+    sets: DataFrame,
+    percent: int,
+    tried: DataFrame | None = None,
+    best: bool = False,
+    unpack: Callable[[list], list[np.ndarray]] = stored_sets,
 ) -> DataFrame:
-    """All pairs ``(a, b)`` of ``rest(key, id, n, size, root)`` in one bucket and different components
-    that can reach ``percent`` by their sizes and parity bitmaps. A bucket of more than about ``BLOCK``
-    members is cut into blocks, and every two blocks meet in a group of their own, so the work of a
-    large bucket is spread; it stays quadratic in the members, with some nanoseconds for each pair."""
+    """Pairs ``(key, a, b)`` of ``rest(key, id, size, root)`` in one bucket and different components that can
+    reach ``percent`` by their sizes and parity bitmaps and are not in ``tried(a, b)``: all of them, or with
+    ``best`` the most likely one for each member outside the bucket's largest component and each group.
+
+    These members are cut into blocks of about ``BLOCK``. Every two blocks meet in a group, and every block
+    meets the members of the largest component, in parts of about ``MAIN``; members of the largest component
+    never meet each other. So groups are bounded, and the work is the number of other members times all."""
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
@@ -229,61 +293,103 @@ def across(
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = batch.column("members")[i].values
-                ids, sizes, roots, blocks = (
-                    rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "root", "block")
-                )
-                crossing = batch.column("i")[i].as_py() != batch.column("j")[i].as_py()
-                kinds: dict[int, list[int]] = {}
-                maps = rows.field("bits").to_pylist()
-                for k, m in enumerate(maps):
-                    kinds.setdefault(len(m), []).append(k)
-                words = {
-                    n: np.frombuffer(b"".join(maps[k] for k in at), np.uint64).reshape(len(at), -1)
-                    for n, at in kinds.items()
-                }
-                for n, m in ((n, m) for n in kinds for m in kinds if n <= m):
-                    left, right = np.array(kinds[n]), np.array(kinds[m])
-                    for k in range(0, len(left), 256):
-                        x, y = left[k : k + 256, None], right[None, :]
-                        both = sizes[x] + sizes[y]
-                        ok = roots[x] != roots[y]
-                        ok &= 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
-                        if crossing:
-                            ok &= blocks[x] != blocks[y]
-                        if not ok.any():
-                            continue
-                        ok &= (100 + percent) * differing(words[n][k : k + 256], words[m]) <= (100 - percent) * both
-                        u, v = np.nonzero(ok)
-                        a, b = ids[left[k + u]], ids[right[v]]
-                        if n == m:
-                            a, b = a[a < b], b[a < b]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"]
-                        )
+                a, b = candidates(rows, percent, best)
+                key = pa.array(np.full(len(a), batch.column("key")[i].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
 
     asked = rest.select("id").distinct()
     bits = sets.join(asked, "id", "left_semi").select("id", "shingles").mapInArrow(maps, "id long, bits binary")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("id"), blocks)
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("long"), blocks - 1),
-        lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")),
+    if tried is None:
+        bits = bits.withColumn("not", F.array().cast("array<long>"))
+    else:
+        both = tried.select(F.col("a").alias("id"), F.col("b").alias("x")).unionByName(tried.select(F.col("b").alias("id"), F.col("a").alias("x")))
+        known = both.join(asked, "id", "left_semi").groupBy("id").agg(F.collect_list("x").alias("not"))
+        bits = bits.join(known, "id", "left").withColumn("not", F.coalesce("not", F.array().cast("array<long>")))
+    counts = rest.groupBy("key", "root").agg(F.count("*").alias("n"))
+    shares = counts.groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")
     )
-    members = rest.join(bits, "id").withColumn("block", mine).withColumn("meet", F.explode(pairs))
-    groups = members.groupBy("key", "meet.i", "meet.j").agg(
-        F.collect_list(F.struct("id", "size", "root", "block", "bits")).alias("members")
+    blocks = F.ceil((F.col("n") - F.col("n_main")) / BLOCK)
+    parts = F.ceil(F.col("n_main") / MAIN)
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), parts).otherwise(blocks))
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # groups (i, j): blocks i <= j of other members; or block i and, as -1 - j, part j of the largest component
+    with_main = lambda i, j: F.struct(i.alias("i"), (-1 - j).alias("j"))
+    groups = F.when(F.col("is_main"), F.transform(up_to(blocks), lambda x: with_main(x, F.col("block")))).otherwise(
+        F.concat(
+            F.transform(up_to(blocks), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))),
+            F.transform(up_to(parts), lambda x: with_main(F.col("block"), x)),
+        )
     )
-    return groups.select("i", "j", "members").mapInArrow(meet, "a long, b long").distinct()
-
-
-def neighbours(wide: DataFrame, roots: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs ``(a, b)`` of neighbours in the buckets ``wide(key, id, n, size)`` that still hold several
-    components: each member with the next one in an order that a hash of key, id and ``turn``
-    gives, where components differ and sizes allow ``percent``. Large buckets are cut into parts of
-    about ``PART`` members by the same hash."""
+    members = (
+        rest.join(shares, "key")
+        .withColumn("is_main", F.col("root") == F.col("main"))
+        .withColumn("block", mine)
+        .withColumn("meet", F.explode(groups))
+        .withColumn("side", F.when(F.col("is_main"), 2).otherwise(F.when(F.col("block") == F.col("meet.i"), 0).otherwise(1)))
+        .join(bits, "id")
+    )
+    together = members.groupBy("key", "meet.i", "meet.j").agg(
+        F.collect_list(F.struct("id", "size", "root", "side", "bits", "not")).alias("members")
+    )
+    return together.select("key", "members").mapInArrow(meet, "key long, a long, b long")
+
+
+def candidates(rows: pa.StructArray, percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group, members of side 0 with those of the other side (with each other if there is none)."""
+    ids, sizes, roots, side = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "root", "side"))
+    maps, nots = rows.field("bits").to_pylist(), rows.field("not").to_pylist()
+    kinds: dict[int, np.ndarray] = {}
+    lengths = np.array([len(m) for m in maps])
+    for n in np.unique(lengths):
+        kinds[int(n)] = np.flatnonzero(lengths == n)
+    words = {n: np.frombuffer(b"".join(maps[k] for k in at), np.uint64).reshape(len(at), -1) for n, at in kinds.items()}
+    alone = (side == 0).all()
+    out_a, out_b, out_d = [], [], []
+    for n, left_all in kinds.items():
+        of_left = np.flatnonzero(side[left_all] == 0)
+        for m, right_all in kinds.items():
+            of_right = np.arange(len(right_all)) if alone else np.flatnonzero(side[right_all] != 0)
+            right = right_all[of_right]
+            for k in range(0, len(of_left), 256):
+                at = of_left[k : k + 256]
+                left = left_all[at]
+                x, y = left[:, None], right[None, :]
+                ok = roots[x] != roots[y]
+                ok &= 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+                if alone and not best:
+                    ok &= ids[x] < ids[y]
+                for u, row in enumerate(left.tolist()):
+                    if nots[row]:
+                        ok[u] &= ~np.isin(ids[right], nots[row])
+                rows_, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+                if not len(rows_):
+                    continue
+                distance = differing(words[n][at[rows_]], words[m][of_right[columns]])
+                both = (sizes[left[rows_]][:, None] + sizes[right[columns]][None, :]).astype(float)
+                near = ok[np.ix_(rows_, columns)] & ((100 + percent) * distance <= (100 - percent) * both)
+                u, v = np.nonzero(near)
+                out_a.append(left[rows_[u]])
+                out_b.append(right[columns[v]])
+                out_d.append(distance[u, v] / both[u, v])
+    if not out_a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b, d = (np.concatenate(x) for x in (out_a, out_b, out_d))
+    if best and len(a):
+        by = np.lexsort([ids[b], d, ids[a]])
+        a, b = a[by], b[by]
+        keep = np.r_[True, a[1:] != a[:-1]]
+        a, b = a[keep], b[keep]
+    return ids[a].astype(np.int64), ids[b].astype(np.int64)
+
+
+def neighbours(state: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` of neighbours in the open buckets ``state(key, id, size, root)``: each member with
+    the next one in an order that a hash of key, id and ``turn`` gives, where components differ and sizes
+    allow ``percent``. Large buckets are cut into parts of about ``PART`` members by the same hash."""
+    counts = state.groupBy("key").agg(F.count("*").alias("n"))
     order = F.xxhash64("key", "id", F.lit(turn))
-    parts = F.ceil(F.col("n") / PART)
-    rest = still_open(wide, roots).withColumns({"order": order, "part": F.pmod(order, parts)})
+    rest = state.join(counts, "key").withColumns({"order": order, "part": F.pmod(order, F.ceil(F.col("n") / PART))})
     by = Window.partitionBy("key", "part").orderBy("order", "id")
     beside = rest.select(
         "id", "size", "root", *(F.lead(c).over(by).alias(f"{c}1") for c in ("id", "size", "root"))

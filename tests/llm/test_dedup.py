@@ -146,21 +146,20 @@ def test_near_groups_empty_and_kept_rows(documents):
 
 
 def test_neighbours_find_links_that_the_smallest_member_misses(spark):
-    buckets = [(1, i, 6, 10.0) for i in range(6)]
-    wide = spark.createDataFrame(buckets, "key long, id long, n long, size double")
-    roots = spark.createDataFrame([(0, 0), (1, 0)], "id long, root long")
+    rows = [(1, i, 10.0, 0 if i == 1 else i) for i in range(6)]
+    state = spark.createDataFrame(rows, "key long, id long, size double, root long")
     seen = set()
     for turn in range(25):
-        found = rows_of(near.neighbours(wide, roots, 80, turn), "a", "b")
+        found = rows_of(near.neighbours(state, 80, turn), "a", "b")
         assert len(found) <= 5 and (0, 1) not in found
         seen |= found
     assert seen == {(a, b) for a in range(6) for b in range(a + 1, 6)} - {(0, 1)}
 
 
-@pytest.mark.parametrize("block", [7, 1024])
-def test_open_buckets_are_settled_exactly(spark, monkeypatch, block):
-    monkeypatch.setattr(near, "BLOCK", block)
-    monkeypatch.setattr(near, "MAX_TURNS", 0)
+@pytest.mark.parametrize("block, main, turns, rounds", [(7, 5, 0, 8), (1024, 8192, 0, 8), (50, 3, 0, 0), (7, 5, 16, 1)])
+def test_open_buckets_are_settled_exactly(spark, monkeypatch, block, main, turns, rounds):
+    for name, value in (("BLOCK", block), ("MAIN", main), ("MAX_TURNS", turns), ("ROUNDS", rounds)):
+        monkeypatch.setattr(near, name, value)
     rng = np.random.default_rng(4)
     shared = rng.integers(0, 1 << 62, 150).astype(np.uint64)
     sets = {i: np.sort(np.r_[shared, rng.integers(0, 1 << 62, int(rng.integers(30, 80))).astype(np.uint64)]) for i in range(200)}

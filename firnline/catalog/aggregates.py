@@ -250,13 +250,14 @@ def error_grid(spark, sf):
 @query(
     "a12_prediction_per_bin",
     p.sql(
-        f"SELECT CAST(floor((opt_value - lo)/0.25::DOUBLE) AS INTEGER) AS bin, {p.r('avg(mean_prediction)', 'mean_prediction')}, count(*) AS n "
+        f"SELECT CAST(floor((opt_value - lo)/0.25::DOUBLE) AS INTEGER) AS bin, "
+        "((2*sum(CAST(round(mean_prediction*1000000) AS BIGINT)) + count(*)) // (2*count(*)))::DOUBLE/1000000.0::DOUBLE AS mean_prediction, count(*) AS n "
         "FROM ens, (SELECT min(opt_value) AS lo FROM ens) GROUP BY ALL",
         ENSEMBLE,
     ),
 )
 def prediction_per_bin(spark, sf):
-    return plain(b.prediction_by_value(ensemble(spark, sf), "opt_value", "mean_prediction"))
+    return plain(b.prediction_by_value(ensemble(spark, sf), "opt_value", "mean_prediction", digits=6))
 
 
 DENSITY = (

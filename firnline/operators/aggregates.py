@@ -9,8 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firnline.operators.bounded import lookup
-from firnline.operators.ranks import exact_quantiles
+from firnline.operators.ranks import exact_quantiles, in_ranges, merged_values, quantiles_of, rank_in_ranges
+from firnline.session import checkpointed
 
 
 def share(condition: Column) -> Column:
@@ -111,31 +111,31 @@ def scenes_off_contract(metadata: DataFrame, **expected: float) -> DataFrame:
 def box_plot(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles and whiskers: the most extreme values within 1.5 interquartile ranges.
 
-    ``by`` is categorical with few values. Quartiles come from the distributed ranking; the
-    whiskers are a plain aggregate over the rows with the limits of their category.
+    Any number of categories, of any size: quartiles come from the distributed ranking, and the limits go
+    to the values by (category, range), so neither a hot category nor a list of all meets one task.
     """
-    boxes = exact_quantiles(df, value, (0.25, 0.5, 0.75), by)
+    cut, offsets = in_ranges(merged_values(df, value, by), by)
+    boxes = checkpointed(quantiles_of(rank_in_ranges(cut, offsets, by), (0.25, 0.5, 0.75), by))
     q1, q3 = F.col("q")[0], F.col("q")[2]
     fence = 1.5 * (q3 - q1)
-    v = F.col(value)
-    entry = F.struct("n", "q", (q1 - fence).alias("lo"), (q3 + fence).alias("hi"))
-    return (
-        df.where(v.isNotNull() & F.col(by).isNotNull())
-        .withColumn("_box", F.element_at(lookup(boxes, by, entry), F.col(by)))
+    limits = offsets.select(by, "_range").join(
+        boxes.select(by, (q1 - fence).alias("_lo"), (q3 + fence).alias("_hi")), by
+    )
+    v = F.col("v")
+    whiskers = (
+        cut.join(limits, [by, "_range"])
         .groupBy(by)
         .agg(
-            F.first("_box.n").alias("n_values"),
-            F.first("_box.q").alias("q"),
-            F.min(F.when(v >= F.col("_box.lo"), v)).alias("whisker_low"),
-            F.max(F.when(v <= F.col("_box.hi"), v)).alias("whisker_high"),
-        )
-        .select(
-            by,
-            "n_values",
-            F.col("q")[0].alias("q1"),
-            F.col("q")[1].alias("median"),
-            F.col("q")[2].alias("q3"),
-            "whisker_low",
-            "whisker_high",
+            F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_low"),
+            F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_high"),
         )
     )
+    return boxes.join(whiskers, by).select(
+        by,
+        F.col("n").alias("n_values"),
+        F.col("q")[0].alias("q1"),
+        F.col("q")[1].alias("median"),
+        F.col("q")[2].alias("q3"),
+        "whisker_low",
+        "whisker_high",
+    )

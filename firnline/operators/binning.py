@@ -63,13 +63,26 @@ def error_grid(df: DataFrame, value: str, predicted: str, error: str, bins: int
     )
 
 
-def prediction_by_value(df: DataFrame, value: str, predicted: str, width: float = 0.25) -> DataFrame:
-    """Average prediction per left-closed bin of the real value."""
+def fixed_mean(value: str, digits: int = 6) -> Column:
+    """The mean of values of at most ``digits`` decimals, exact and then rounded half up to as many: integers
+    are summed and divided, so neither the order of the rows nor a tie between two digits matters."""
+    scale = 10**digits
+    total, n = F.sum(F.round(F.col(value) * scale).cast("long")), F.count(value)
+    twice, whole = 2 * total + n, 2 * n
+    return ((twice - F.pmod(twice, whole)) / whole) / F.lit(float(scale))
+
+
+def prediction_by_value(
+    df: DataFrame, value: str, predicted: str, width: float = 0.25, digits: int | None = None
+) -> DataFrame:
+    """Average prediction per left-closed bin of the real value; with ``digits`` the exact mean of
+    predictions that are rounded to as many decimals."""
     r = _range(df, value)
+    mean = F.avg(predicted) if digits is None else fixed_mean(predicted, digits)
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(F.floor((F.col(value) - r["lo"]) / width).cast("int").alias("bin"))
-        .agg(F.avg(predicted).alias("mean_prediction"), F.count("*").alias("n"))
+        .agg(mean.alias("mean_prediction"), F.count("*").alias("n"))
     )
 
 

@@ -1,7 +1,9 @@
 """Statistics that need the whole sample in order, without one ordered global window.
 
-Equal values are merged into (value, count). The merged rows are cut into ranges at approximate
-quantiles; a window ranks inside a range, and the exact size of all earlier ranges is added. The result does not depend on where the cuts fall.
+Equal values are merged into (value, count). The merged rows are range-partitioned, by category first where there
+is one, so a category that holds most rows is cut into many ranges and many small ones share a range. A window
+ranks inside a (category, range), and the size of the category's earlier ranges is joined by the same two keys: one
+row for each of them, never collected. The result does not depend on where the cuts fall.
 """
 
 from __future__ import annotations
@@ -11,19 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from firnline.functions import normal
-from firnline.operators.bounded import lookup
 from firnline.session import checkpointed
 
 CHUNK = 1 << 16  # rows one value is expanded to at once
 RANGE_ROWS = 1_000_000
-MAX_RANGES = 4096
+LEAST_RANGES = 8
 
 
 @dataclass(frozen=True)
@@ -66,42 +65,42 @@ def moments(merged: DataFrame) -> Moments:
 def value_ranks(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """One row per distinct value: ``v``, ``n`` and its 1-based ranks ``lo..hi``.
 
-    ``by`` names a categorical column with few values; ranks then count within each category.
+    ``by`` names a categorical column, of any number of values; ranks then count within each category.
     """
     return rank_merged(merged_values(df, value, by), by)
 
 
-def rank_merged(merged: DataFrame, by: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Ranks of merged values: cut, rank inside each range, add the size of the earlier ranges.
-
-    The number of ranges follows the number of values (at most MAX_RANGES), so a window never
-    holds more than a share of them. The cuts and the sizes, one number per range, are fixed on
-    the driver: every use and every retried task sees the same ranges.
-    """
+def in_ranges(merged: DataFrame, by: str | None = None, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Merged values with the ``_range`` they are in, and for each (category and) range ``_offset``, the size
+    of the earlier ones, and ``_total``, that of all. The number of ranges follows the number of values.
+    Both are checkpointed: every use and every retried task sees the same ranges."""
     keys = [by] if by else []
-    ranges = int(min(MAX_RANGES, max(8, merged.count() // range_rows)))
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = merged.agg(F.percentile_approx("v", steps, F.lit(4 * MAX_RANGES))).first()[0] or []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="v", outputCol="_range").transform(merged)
-    sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("m")).collect()
-    offsets, before = [], {}
-    for r in sorted(sizes, key=lambda r: r["_range"]):
-        group = tuple(r[k] for k in keys)
-        offsets.append((*group, r["_range"], before.get(group, 0)))
-        before[group] = before.get(group, 0) + r["m"]
-    schema = T.StructType(
-        [
-            *[cut.schema[k] for k in keys],
-            T.StructField("_range", T.DoubleType()),
-            T.StructField("_offset", T.LongType()),
-        ]
+    ranges = int(max(LEAST_RANGES, merged.count() // range_rows))
+    cut = checkpointed(merged.repartitionByRange(ranges, *keys, "v").withColumn("_range", F.spark_partition_id()))
+    sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("_m"))
+    whole = W.partitionBy(*keys)
+    earlier = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *keys,
+        "_range",
+        F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_m").over(whole).alias("_total"),
     )
-    table = F.broadcast(merged.sparkSession.createDataFrame(offsets, schema))
+    return cut, checkpointed(offsets)
+
+
+def rank_in_ranges(cut: DataFrame, offsets: DataFrame, by: str | None = None) -> DataFrame:
+    """``v, n, lo, hi`` and ``_total``, the size of the whole category."""
+    keys = [by] if by else []
     inside = W.partitionBy(*keys, "_range").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    counted = cut.withColumn("_upto", F.sum("n").over(inside)).join(table, [*keys, "_range"])
+    counted = cut.withColumn("_upto", F.sum("n").over(inside)).join(offsets, [*keys, "_range"])
     hi = F.col("_upto") + F.col("_offset")
-    return counted.select(*keys, "v", "n", (hi - F.col("n") + 1).alias("lo"), hi.alias("hi"))
+    return counted.select(*keys, "v", "n", (hi - F.col("n") + 1).alias("lo"), hi.alias("hi"), "_total")
+
+
+def rank_merged(merged: DataFrame, by: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Ranks of merged values: cut, rank inside each range, add the size of the earlier ranges."""
+    return rank_in_ranges(*in_ranges(merged, by, range_rows), by).drop("_total")
 
 
 def exact_quantiles(
@@ -112,15 +111,12 @@ def exact_quantiles(
     ``percentile`` would keep every distinct value of a group in one task; here only the values
     at the wanted ranks survive the distributed ranking.
     """
+    return quantiles_of(rank_in_ranges(*in_ranges(merged_values(df, value, by), by), by), fractions, by)
+
+
+def quantiles_of(placed: DataFrame, fractions: Sequence[float], by: str | None = None) -> DataFrame:
+    """The quantiles of values ranked by ``rank_in_ranges``."""
     keys = [by] if by else []
-    merged = merged_values(df, value, by)
-    ranked = rank_merged(merged, by)
-    if by:
-        sizes = merged.groupBy(by).agg(F.sum("n").alias("_total"))
-        total = F.element_at(lookup(sizes, by, F.col("_total")), F.col(by))
-        placed = ranked.withColumn("_total", total)
-    else:
-        placed = ranked.withColumn("_total", merged.agg(F.sum("n")).scalar())
     wanted = []
     for k, p in enumerate(fractions):
         at = (F.col("_total") - 1) * F.lit(float(p))

@@ -5,6 +5,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from firnline.functions import labels, normal, scalars
 from firnline.functions.daylight import hours_of_daylight
 from firnline.functions.projection import latitude
 from firnline.grid import Grid
-from firnline.operators import distance, ranks, regrid
+from firnline.operators import aggregates, distance, ranks, regrid
 from firnline.operators.focal import focal
 from firnline.operators.temporal import earlier_values, grid_ranks
 from firnline.operators.terrain import shore_cells, slope_and_aspect
@@ -267,3 +268,24 @@ def test_ranks_do_not_depend_on_the_number_of_ranges(spark):
     few = ranks.rank_merged(merged)
     many = ranks.rank_merged(merged.repartition(7), range_rows=10)
     assert few.exceptAll(many).count() == 0 and few.count() == many.count() == merged.count()
+
+
+def test_many_categories_and_a_hot_one(spark):
+    """Box plots of 30,000 categories, one of which holds half of all rows over many ranges."""
+    rng = np.random.default_rng(9)
+    n = 60_000
+    c = np.where(rng.random(n) < 0.5, 0, rng.integers(1, 30_000, n))
+    v = np.round(rng.normal(size=n), 3)
+    pdf = pd.DataFrame({"c": c, "v": v})
+    df = spark.createDataFrame(pdf).repartition(6)
+    cut, offsets = ranks.in_ranges(ranks.merged_values(df, "v", "c"), "c", range_rows=1000)
+    assert offsets.where("c = 0").count() > 3
+    got = aggregates.box_plot(df, "v", "c").toPandas().set_index("c").sort_index()
+    by = pdf.groupby("c")["v"]
+    q1, median, q3 = (by.quantile(p) for p in (0.25, 0.5, 0.75))
+    for name, want in (("q1", q1), ("median", median), ("q3", q3), ("n_values", by.size())):
+        np.testing.assert_allclose(got[name], want, atol=1e-12)
+    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    inside = pdf[(pdf.v >= pdf.c.map(low)) & (pdf.v <= pdf.c.map(high))].groupby("c")["v"]
+    np.testing.assert_allclose(got["whisker_low"], inside.min())
+    np.testing.assert_allclose(got["whisker_high"], inside.max())

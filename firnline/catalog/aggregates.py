@@ -18,6 +18,7 @@ from firnline.operators import masks as m
 from firnline.operators import ranks
 from firnline.operators.filters import keyed_sample, with_region
 from firnline.plans.quality import dates_to_remove, without_bad_dates
+from firnline.session import checkpointed
 from firnline.sources import driver_grid as g
 
 YEARS = range(g.FIRST_YEAR, g.FIRST_YEAR + g.N_SEASONS)
@@ -463,8 +464,8 @@ SCORES = (
 )
 
 
-def fold_scores(spark, sf):
-    rows = predictions(spark, sf)
+def fold_scores(spark, sf, rows=None):
+    rows = predictions(spark, sf) if rows is None else rows
     models = {k: F.expm1(f"p{i}") for i, k in enumerate(YEARS)}
     return metrics.fold_scores(rows, F.col("opt_value"), models, "season")
 
@@ -549,7 +550,7 @@ GLOBAL_MEANS = " UNION ALL ".join(
     ),
 )
 def model_comparison(spark, sf):
-    rows = predictions(spark, sf)
+    rows = checkpointed(predictions(spark, sf))  # used by both models and by the means
     means = rows.agg(
         F.struct(*[F.avg(F.when(F.col("season") != k, F.col("log_value"))).alias(f"m{k}") for k in YEARS])
     ).scalar()
@@ -558,7 +559,7 @@ def model_comparison(spark, sf):
     )
     tables = [
         metrics.cv_summary(s.withColumn("model", F.lit(n)))
-        for n, s in (("CellMean", fold_scores(spark, sf)), ("Mean", constant))
+        for n, s in (("CellMean", fold_scores(spark, sf, rows)), ("Mean", constant))
     ]
     return plain(metrics.comparison_table(tables, test_only=True))
 
@@ -659,12 +660,12 @@ def scene_metadata(spark, sf):
 
 @query(
     "a30_scenes_off_contract",
-    p.sql(f"SELECT {p.d()}, width FROM meta, spec WHERE width <> nx OR xmin <> -636500", META),
+    p.sql(f"SELECT {p.d()}, width, total FROM meta, spec WHERE width <> nx OR xmin <> -636500", META),
 )
 def scenes_off_contract(spark, sf):
     grid = g.grid_of(spark, sf)
     off = a.scenes_off_contract(_meta(spark, sf), width=grid.ncols, xmin=grid.x0)
-    return plain(off.select("date", "width"))
+    return plain(off.select("date", "width", "total"))
 
 
 @query(

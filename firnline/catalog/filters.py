@@ -57,12 +57,12 @@ def stretched(spark, sf):
 @query(
     "p04_upper_half",
     p.sql(
-        f"SELECT 'raw' AS form, count(*) AS n FROM px, spec WHERE {STRETCH} > -2000000 UNION ALL "
-        f"SELECT 'scaled', count(*) FROM px, spec WHERE ({STRETCH} + 3324500) / 2662000 > 0.49755822689706986"
+        f"SELECT 'raw' AS form, count(*) AS n FROM px, spec WHERE NOT is_water AND {STRETCH} > -2000000 UNION ALL "
+        f"SELECT 'scaled', count(*) FROM px, spec WHERE NOT is_water AND ({STRETCH} + 3324500) / 2662000 > 0.49755822689706986"
     ),
 )
 def upper_half(spark, sf):
-    raw = stretched(spark, sf)
+    raw = stretched(spark, sf).where("NOT is_water")
     scaled = raw.withColumn("y", fs.scale("y"))
     return (
         f.upper_half(raw)
@@ -108,11 +108,11 @@ SEASON = "date + CAST(95 AS INTEGER)"
     p.sql(
         f"SELECT {p.d(f'CAST({SEASON} AS DATE)')}, "
         f"(month({SEASON}) = 9 AND day({SEASON}) > 10) AS late, "
-        f"(strftime({SEASON}, '%m-%d') <= '09-10') AS in_season FROM (SELECT DISTINCT date FROM px)"
+        f"(strftime({SEASON}, '%m-%d') <= '09-10') AS in_season FROM (SELECT DISTINCT date FROM px WHERE opt_raw > 2)"
     ),
 )
 def season_cutoff(spark, sf):
-    shifted = g.pixels(spark, sf).select(F.date_add("date", 95).alias("date")).distinct()
+    shifted = g.pixels(spark, sf).where("opt_raw > 2").select(F.date_add("date", 95).alias("date")).distinct()
     return plain(
         shifted.select(
             "date",
@@ -167,7 +167,7 @@ def cap_outliers(spark, sf):
     return plain(g.pixels(spark, sf).select("date", "x", "y", fs.cap(F.col("opt_raw")).alias("capped")))
 
 
-@query("p12_feature_guard", p.sql("SELECT count(*) AS n, 4 AS n_rejected FROM px"))
+@query("p12_feature_guard", p.sql("SELECT count(*) AS n, 4 AS n_rejected FROM px WHERE mw_value = 1"))
 def feature_guard(spark, sf):
     rejected = 0
     for name in f.FORBIDDEN_FEATURES:
@@ -176,7 +176,7 @@ def feature_guard(spark, sf):
         except ValueError:
             rejected += 1
     rows = g.pixels(spark, sf).select(*f.check_features(["x", "y", "mw_value"]))
-    return rows.agg(F.count("*").alias("n"), F.lit(rejected).alias("n_rejected"))
+    return rows.where("mw_value = 1").agg(F.count("*").alias("n"), F.lit(rejected).alias("n_rejected"))
 
 
 @query(
@@ -226,6 +226,15 @@ SPREAD_CELLS = """wide AS (SELECT col, "row", -636500.0::DOUBLE + 1461000.0::DOU
   -662500.0::DOUBLE - 2662000.0::DOUBLE*"row"/(ny-1) AS y FROM cells, spec)"""
 
 
+ICE = 'ice AS (SELECT col, "row" FROM cells WHERE NOT is_water)'
+
+
+def on_ice(spark, sf, cells):
+    """The rows of ``cells(col, row, ...)`` that are no water."""
+    ice = g.cells(spark, sf).where("NOT is_water").select("col", "row")
+    return cells.join(ice, ["col", "row"])
+
+
 def spread_cells(spark, sf):
     """Cells stretched over the extent of the analysis grid, so that every area occurs."""
     grid = g.grid_of(spark, sf)
@@ -239,10 +248,10 @@ def spread_cells(spark, sf):
 
 @query(
     "o01_sort_by_area_and_y",
-    p.sql(f"SELECT col, \"row\", {AREA} AS area FROM wide ORDER BY area, y, x", SPREAD_CELLS),
+    p.sql(f"SELECT col, \"row\", {AREA} AS area FROM wide JOIN ice USING (col, \"row\") ORDER BY area, y, x", SPREAD_CELLS, ICE),
 )
 def sort_by_area_and_y(spark, sf):
-    rows = spread_cells(spark, sf).withColumn("area", spatial_area(F.col("x"), F.col("y")))
+    rows = on_ice(spark, sf, spread_cells(spark, sf)).withColumn("area", spatial_area(F.col("x"), F.col("y")))
     return rows.orderBy("area", "y", "x").select("col", "row", "area")
 
 

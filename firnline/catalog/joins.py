@@ -341,16 +341,17 @@ def bilinear_regrid(spark, sf):
 @query(
     "j12_bilinear_upsample_25",
     p.sql(
-        f"SELECT {p.d()}, fc.i AS col, fr.i AS \"row\", {p.r('sum(w*melt)/sum(w)', 'melt')} FROM ("
-        "SELECT date, ccol, crow, melt FROM coarse WHERE date = DATE '2019-06-11') c, "
+        f"SELECT {p.d()}, \"row\", count(*) AS n, {p.r('sum(melt)', 'total')}, {p.r('sum(melt*(col + 1))', 'moment')} FROM ("
+        f"SELECT date, fc.i AS col, fr.i AS \"row\", {p.r('sum(w*melt)/sum(w)', 'melt')} FROM (SELECT date, ccol, crow, melt FROM coarse) c, "
         "LATERAL (SELECT CAST(unnest(range(25*ccol - 24, 25*ccol + 25)) AS INTEGER) AS i) fc, "
         "LATERAL (SELECT CAST(unnest(range(25*crow - 24, 25*crow + 25)) AS INTEGER) AS i) fr, "
         "LATERAL (SELECT (1 - abs(fc.i/25.0::DOUBLE - ccol))*(1 - abs(fr.i/25.0::DOUBLE - crow)) AS w) ww, spec "
-        "WHERE fc.i BETWEEN 0 AND 25*((nx + 3)//4 - 1) AND fr.i BETWEEN 0 AND 25*((ny + 3)//4 - 1) GROUP BY date, fc.i, fr.i",
+        "WHERE fc.i BETWEEN 0 AND 25*((nx + 3)//4 - 1) AND fr.i BETWEEN 0 AND 25*((ny + 3)//4 - 1) GROUP BY date, fc.i, fr.i) GROUP BY date, \"row\"",
         p.COARSE,
     ),
 )
 def bilinear_upsample_25(spark, sf):
+    """All scenes, 25 times finer; per raster line the cells, their sum and their moment along the line."""
     scenes, coarse_grid = g.coarse(spark, sf)
     fine = Grid(
         coarse_grid.x0,
@@ -359,8 +360,14 @@ def bilinear_upsample_25(spark, sf):
         coarse_grid.ncols * 25,
         coarse_grid.nrows * 25,
     )
-    one = scenes.where("date = '2019-06-11'")
-    return plain(regrid.bilinear(one, "melt", coarse_grid, fine).drop("x", "y"))
+    up = regrid.bilinear(scenes, "melt", coarse_grid, fine).withColumn("melt", F.round("melt", 6))
+    return plain(
+        up.groupBy("date", "row").agg(
+            F.count("*").alias("n"),
+            F.sum("melt").alias("total"),
+            F.sum(F.col("melt") * (F.col("col") + 1)).alias("moment"),
+        )
+    )
 
 
 @query(
@@ -416,8 +423,7 @@ def align_on_coordinates(spark, sf):
 def gap_fill(spark, sf):
     ice = g.pixels(spark, sf).where("NOT is_water").select("date", "x", "y", "opt_value")
     per_cell = ice.groupBy("x", "y").agg(F.avg("opt_value").alias("prediction"))
-    predictions = ice.select("date", "x", "y").join(per_cell, ["x", "y"])
-    out = j.gap_fill(ice, predictions, "opt_value", "prediction")
+    out = j.gap_fill(ice, per_cell, "opt_value", "prediction", on=("x", "y"))
     return plain(out.select("date", "x", "y", "filled", "gap_only"))
 
 
@@ -461,13 +467,13 @@ def layer_agreement(spark, sf):
     "j18_overlap_window",
     p.sql(
         "SELECT c.x, c.y FROM cells c, (SELECT max(x0) x0, min(x1) x1, max(y0) y0, min(y1) y1 FROM "
-        "(SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM cells WHERE col >= 3 AND \"row\" >= 2 UNION ALL "
-        " SELECT min(x), max(x), min(y), max(y) FROM cells WHERE col <= 18 AND \"row\" <= 15)) b "
-        "WHERE c.col >= 3 AND c.\"row\" >= 2 AND c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1"
+        "(SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM cells WHERE NOT is_water AND col >= 3 AND \"row\" >= 2 UNION ALL "
+        " SELECT min(x), max(x), min(y), max(y) FROM cells WHERE NOT is_water AND col <= 18 AND \"row\" <= 15)) b "
+        "WHERE NOT c.is_water AND c.col >= 3 AND c.\"row\" >= 2 AND c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1"
     ),
 )
 def overlap_window(spark, sf):
-    cells = g.cells(spark, sf)
+    cells = g.cells(spark, sf).where("NOT is_water")
     a, b = cells.where("col >= 3 AND row >= 2"), cells.where("col <= 18 AND row <= 15")
     return f.overlap(a.select("x", "y"), b.select("x", "y"))[0]
 

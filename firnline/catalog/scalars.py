@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firnline.catalog import prelude as p
-from firnline.catalog.filters import AREA, SPREAD_CELLS, spread_cells
+from firnline.catalog.filters import AREA, ICE, SPREAD_CELLS, on_ice, spread_cells
 from firnline.catalog.joins import EXTENDED_CTE, daylight_sql, extended, latitude_sql
 from firnline.catalog.registry import plain, query
 from firnline.functions import dates as fd
@@ -80,13 +80,13 @@ def z_scores(spark, sf):
     p.sql(
         f"SELECT {p.d()}, col, \"row\", {p.r(daylight_sql('lat', 'dayofyear(date)'), 'as_coded')}, "
         f"{p.r(daylight_sql('lat', 'dayofyear(date)', 'paper'), 'paper')} FROM (SELECT px.*, {latitude_sql('w.x', 'w.y')} AS lat FROM px "
-        "JOIN wide w ON w.col = px.col AND w.\"row\" = px.\"row\")",
+        "JOIN wide w ON w.col = px.col AND w.\"row\" = px.\"row\" WHERE NOT px.is_water)",
         SPREAD_CELLS,
     ),
 )
 def daylight(spark, sf):
     wide = spread_cells(spark, sf).withColumn("lat", latitude(F.col("x"), F.col("y"))).drop("x", "y")
-    rows = g.pixels(spark, sf).select("date", "col", "row").join(wide, ["col", "row"])
+    rows = g.pixels(spark, sf).where("NOT is_water").select("date", "col", "row").join(wide, ["col", "row"])
     doy = F.dayofyear("date")
     return plain(
         rows.select(
@@ -99,9 +99,9 @@ def daylight(spark, sf):
     )
 
 
-@query("f06_latitude", p.sql(f"SELECT col, \"row\", {p.r(latitude_sql(), 'lat')} FROM wide", SPREAD_CELLS))
+@query("f06_latitude", p.sql(f"SELECT col, \"row\", {p.r(latitude_sql(), 'lat')} FROM wide JOIN ice USING (col, \"row\")", SPREAD_CELLS, ICE))
 def latitude_of_cells(spark, sf):
-    wide = spread_cells(spark, sf)
+    wide = on_ice(spark, sf, spread_cells(spark, sf))
     return plain(wide.select("col", "row", latitude(F.col("x"), F.col("y")).alias("lat")))
 
 
@@ -164,12 +164,12 @@ def zero_inclusive_bins(spark, sf):
 @query(
     "f10_spatial_areas",
     p.sql(
-        f"SELECT col, \"row\", {AREA} AS area, (y > -1000000 AND x < -300000) AS corner FROM wide", SPREAD_CELLS
+        f"SELECT col, \"row\", {AREA} AS area, (y > -1000000 AND x < -300000) AS corner FROM wide JOIN ice USING (col, \"row\")", SPREAD_CELLS, ICE
     ),
 )
 def spatial_areas(spark, sf):
     x, y = F.col("x"), F.col("y")
-    return spread_cells(spark, sf).select(
+    return on_ice(spark, sf, spread_cells(spark, sf)).select(
         "col", "row", fl.spatial_area(x, y).alias("area"), fl.in_corner(x, y).alias("corner")
     )
 
@@ -178,15 +178,16 @@ def spatial_areas(spark, sf):
     "f11_composite_area",
     p.sql(
         f"SELECT col, \"row\", CASE WHEN area = 0 THEN 99 ELSE CAST(CAST(area AS VARCHAR) || CAST((col + \"row\") % 3 AS VARCHAR) AS INTEGER) END AS code "
-        f"FROM (SELECT *, CASE WHEN y > -1000000 AND x < -300000 THEN 0 ELSE {AREA} END AS area FROM wide)",
+        f"FROM (SELECT *, CASE WHEN y > -1000000 AND x < -300000 THEN 0 ELSE {AREA} END AS area FROM wide JOIN ice USING (col, \"row\"))",
         SPREAD_CELLS,
+        ICE,
     ),
 )
 def composite_area(spark, sf):
     x, y = F.col("x"), F.col("y")
     area = F.when(fl.in_corner(x, y), 0).otherwise(fl.spatial_area(x, y))
     sub = (F.col("col") + F.col("row")) % 3
-    return spread_cells(spark, sf).select("col", "row", fl.composite_area(area, sub, 99).alias("code"))
+    return on_ice(spark, sf, spread_cells(spark, sf)).select("col", "row", fl.composite_area(area, sub, 99).alias("code"))
 
 
 @query(
@@ -195,11 +196,11 @@ def composite_area(spark, sf):
         f"SELECT {p.d('d')}, CAST(dayofyear(d) AS INTEGER) AS doy, CAST(month(d) AS INTEGER) AS \"month\", "
         "CAST(year(d) AS INTEGER) AS \"year\", strftime(d, '%m-%d') AS month_day, (p.date IS NOT NULL) AS has_scene FROM "
         "(SELECT CAST(unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS d FROM "
-        "(SELECT min(date) AS lo, max(date) AS hi FROM px)) r LEFT JOIN (SELECT DISTINCT date FROM px) p ON p.date = r.d"
+        "(SELECT min(date) AS lo, max(date) AS hi FROM px WHERE opt_raw > 2)) r LEFT JOIN (SELECT DISTINCT date FROM px WHERE opt_raw > 2) p ON p.date = r.d"
     ),
 )
 def date_functions(spark, sf):
-    scenes = g.pixels(spark, sf).select("date").distinct()
+    scenes = g.pixels(spark, sf).where("opt_raw > 2").select("date").distinct()
     ends = scenes.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     days = ends.select(fd.inclusive_range(F.col("lo"), F.col("hi")).alias("date"))
     return plain(
@@ -218,11 +219,11 @@ def date_functions(spark, sf):
     "f13_date_from_file_name",
     p.sql(
         "SELECT 'in/melt_' || strftime(date, '%Y-%m-%d') || '_extended.parquet.gzip' AS path, "
-        f"{p.d()} FROM (SELECT DISTINCT date FROM px)"
+        f"{p.d()} FROM (SELECT DISTINCT date FROM px WHERE opt_raw > 2)"
     ),
 )
 def date_from_file_name(spark, sf):
-    days = g.pixels(spark, sf).select("date").distinct()
+    days = g.pixels(spark, sf).where("opt_raw > 2").select("date").distinct()
     iso = F.date_format("date", "yyyy-MM-dd")
     named = days.select(F.concat(F.lit("in/melt_"), iso, F.lit("_extended.parquet.gzip")).alias("path"))
     return plain(named.select("path", date_in_name(F.col("path")).alias("date")))
@@ -254,9 +255,9 @@ def recode(spark, sf):
     )
 
 
-@query("f15_half_cell_shift", p.sql("SELECT col, \"row\", x + 500 AS x, y - 500 AS y FROM cells"))
+@query("f15_half_cell_shift", p.sql("SELECT col, \"row\", x + 500 AS x, y - 500 AS y FROM cells WHERE NOT is_water"))
 def half_cell_shift(spark, sf):
-    return shift_half_cell(g.cells(spark, sf).select("col", "row", "x", "y"))
+    return shift_half_cell(g.cells(spark, sf).where("NOT is_water").select("col", "row", "x", "y"))
 
 
 @query(

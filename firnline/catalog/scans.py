@@ -121,11 +121,11 @@ def csv_round_trip(spark, sf):
     p.sql(
         f"SELECT {p.d()}, 'opt/' || strftime(date, '%Y-%m-%d') || '_grain_diameter.tif' AS opt_path, "
         "'mw/' || strftime(date, '%Y-%m-%d') || '_mw.tif' AS mw_path "
-        "FROM (SELECT DISTINCT date FROM px WHERE day(date) % 3 <> 0)"
+        "FROM (SELECT DISTINCT date FROM px WHERE opt_raw > 2 AND day(date) % 3 <> 0)"
     ),
 )
 def pair_catalogues_by_date(spark, sf):
-    days = g.pixels(spark, sf).select("date").distinct()
+    days = g.pixels(spark, sf).where("opt_raw > 2").select("date").distinct()
     iso = F.date_format("date", "yyyy-MM-dd")
     mw = days.select(F.concat(F.lit("mw/"), iso, F.lit("_mw.tif")).alias("path"))
     opt = days.where(F.dayofmonth("date") % 3 != 0).select(

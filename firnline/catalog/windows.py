@@ -52,17 +52,17 @@ def daily_region_summary(spark, sf):
     "w01_grid_ranks",
     p.sql(
         "SELECT x, y, CAST(dense_rank() OVER (ORDER BY x) - 1 AS INTEGER) AS col, "
-        "CAST(dense_rank() OVER (ORDER BY y DESC) - 1 AS INTEGER) AS \"row\" FROM (SELECT x, y FROM cells WHERE (col + \"row\") % 3 <> 0)"
+        "CAST(dense_rank() OVER (ORDER BY y DESC) - 1 AS INTEGER) AS \"row\" FROM (SELECT x, y FROM cells WHERE NOT is_water AND (col + \"row\") % 3 <> 0)"
     ),
 )
 def grid_ranks_by_rank(spark, sf):
-    cells = g.cells(spark, sf).where((F.col("col") + F.col("row")) % 3 != 0).select("x", "y")
+    cells = g.cells(spark, sf).where("NOT is_water").where((F.col("col") + F.col("row")) % 3 != 0).select("x", "y")
     return grid_ranks(cells).select("x", "y", "col", "row")
 
 
-@query("w01_grid_ranks_by_contract", p.sql("SELECT x, y, col, \"row\" FROM cells"))
+@query("w01_grid_ranks_by_contract", p.sql("SELECT x, y, col, \"row\" FROM cells WHERE NOT is_water"))
 def grid_ranks_by_contract(spark, sf):
-    return grid_ranks(g.cells(spark, sf).select("x", "y"), g.grid_of(spark, sf))
+    return grid_ranks(g.cells(spark, sf).where("NOT is_water").select("x", "y"), g.grid_of(spark, sf))
 
 
 HISTORY_OUT = (

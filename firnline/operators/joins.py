@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firnline.operators.bounded import dates_of
+from firnline.operators.bounded import dates_of, per_date
 
 
 def microwave_with_optical(microwave: DataFrame, optical: DataFrame) -> DataFrame:
@@ -20,9 +22,9 @@ def value_on_previous_day(pixels: DataFrame, value: str, name: str) -> DataFrame
 
 
 def attach_station(pixels: DataFrame, *series: DataFrame) -> DataFrame:
-    """Left join of daily station series by date."""
+    """Left join of daily station series by date: one row for each date, broadcast, as a date is a hot key."""
     for s in series:
-        pixels = pixels.join(s, "date", "left")
+        pixels = pixels.join(per_date(s), "date", "left")
     return pixels
 
 
@@ -52,9 +54,12 @@ def align(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.select("x", "y").distinct(), ["x", "y"], "left_semi")
 
 
-def gap_fill(pixels: DataFrame, predictions: DataFrame, value: str, predicted: str) -> DataFrame:
-    """``filled``: original value, else prediction; ``gap_only``: prediction where missing."""
-    joined = pixels.join(predictions, ["date", "x", "y"], "left")
+def gap_fill(
+    pixels: DataFrame, predictions: DataFrame, value: str, predicted: str, on: Sequence[str] = ("date", "x", "y")
+) -> DataFrame:
+    """``filled``: original value, else prediction; ``gap_only``: prediction where missing. Predictions of a
+    cell for all its days are joined ``on`` the cell alone."""
+    joined = pixels.join(predictions, list(on), "left")
     return joined.select(
         "*",
         F.coalesce(F.col(value), F.col(predicted)).alias("filled"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -11,13 +11,13 @@ from firnline.operators.filters import keyed_sample
 from firnline.operators.ranks import qq_fit
 
 
-def residual_report(pred: DataFrame, keys: Sequence[str], fraction: float = 0.05) -> dict[str, DataFrame]:
-    """Histogram and normal Q-Q fit of the residuals, and a sample for scatter plots."""
-    sample = keyed_sample(pred, keys, fraction)
+def residual_report(pred: DataFrame, keys: Sequence[str], fraction: float = 0.05) -> dict[str, Callable[[], DataFrame]]:
+    """Histogram and normal Q-Q fit of the residuals, and a sample for scatter plots: each is computed when its
+    function is called."""
     return {
-        "histogram": histograms(pred, ["residual_prediction"]),
-        "qq": qq_fit(pred, "residual_prediction"),
-        "sample": sample.select(
+        "histogram": lambda: histograms(pred, ["residual_prediction"]),
+        "qq": lambda: qq_fit(pred, "residual_prediction"),
+        "sample": lambda: keyed_sample(pred, keys, fraction).select(
             *keys, "opt_value_backtransformed", "mean_prediction", "residual_prediction"
         ),
     }

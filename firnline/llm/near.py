@@ -1,9 +1,9 @@
 """Steps that MinHash operators share: hashed shingle sets, signatures, buckets, exact verification.
 
 A shingle is a 64-bit hash; a set is its sorted distinct hashes as little-endian bytes. Buckets are
-``(key, id)`` rows; they are never expanded into all pairs. Every set is first verified against the smallest
-member of its buckets, one edge for each set, then against those of its other buckets that are still in
-another component. From there on only open buckets are carried, those that hold several components:
+``(key, id)`` rows; they are never expanded into all pairs. A bucket's centre is the member that meets most
+others over all its buckets. Every set is first verified against its heaviest centre, one edge for each set, then
+against those of its other buckets that are still in another component. From there on only open buckets are carried, those that hold several components:
 
 * Turns: neighbours in a hashed order are verified, one pair a member at most, while a turn links a good part
   of what is open. They merge cheaply what is easy to merge.
@@ -28,7 +28,9 @@ from firnline.llm.common import components, dropped, small, written
 CACHE_WORDS = 500_000
 PART = 4096
 #: Turns end when one links less than this share of the open rows, or after ``MAX_TURNS``.
-MAX_TURNS, YIELD = 16, 0.01
+MAX_TURNS, YIELD = 4, 0.02
+#: Members of a largest component from which on buckets that share it become one.
+MERGE = 64
 #: Rounds of settling in which a member hands on one candidate.
 ROUNDS = 8
 #: Members of an open bucket that are compared at a time with as many others, or with ``MAIN`` members of
@@ -164,19 +166,26 @@ def near_components(
     when their successors are written.
     """
     keys = items.select("id", F.explode("keys").alias("key"))
-    low = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"), "zstd")
-    buckets = written(keys.join(small(low), "key").select("key", "id", "a", "n"), "zstd")
+    low = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "zstd")
+    buckets = written(keys.join(small(low), "key").select("key", "id", "n"), "zstd")
     dropped(low)
-    stars = buckets.where("id <> a").select("a", F.col("id").alias("b"))
+    # a bucket's centre is the member that meets most others over all its buckets: what copies were made from
+    weights = buckets.groupBy("id").agg(F.sum("n").alias("weight"))
+    weighed = buckets.join(weights, "id")
+    best = F.max_by("id", F.struct("weight", -F.col("id")))
+    centres = weighed.groupBy("key").agg(best.alias("a"), F.max("weight").alias("weight"))
+    stars = written(
+        buckets.join(centres, "key").where("id <> a").groupBy(F.col("id").alias("b"), "a").agg(F.max("weight").alias("weight")), "zstd"
+    )
     met = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
     sets = written(sets_for(small(written(met))), "zstd")
-    # one edge for each set, then its other smallest members where they are not connected yet
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    # one edge for each set, to its heaviest centre, then to its other centres where they are not connected yet
+    first = stars.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a")).select("a", "b")
     links = written(verify(first, sets, percent, unpack))
     linked = components(links)
     roots = written(linked)
     dropped(links, linked)
-    others = written(apart(stars.distinct(), roots).join(first, ["a", "b"], "left_anti").select("a", "b", "ra", "rb"))
+    others = written(apart(stars.select("a", "b"), roots).join(first, ["a", "b"], "left_anti").select("a", "b", "ra", "rb"))
     found = written(verify(others.select("a", "b"), sets, percent, unpack).join(others, ["a", "b"]).select("ra", "rb"))
     moves = written(components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
     roots = merged(roots, moves)
@@ -203,7 +212,7 @@ def near_components(
         state, roots, _ = after(state.join(pairs.select("key").distinct(), "key", "left_semi"), roots, more)
         dropped(last)
         tried = each if tried is None else written(tried.unionByName(each).distinct())
-    dropped(buckets, sets)
+    dropped(buckets, sets, stars)
     return roots
 
 
@@ -237,9 +246,18 @@ def after(state: DataFrame, roots: DataFrame, links: DataFrame) -> tuple[DataFra
 
 
 def still_open(placed: DataFrame) -> DataFrame:
-    """The rows of the buckets of ``placed(key, id, size, root)`` that hold several components."""
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    return written(placed.select("key", "id", "size", "root").join(open_keys.select("key"), "key"), "zstd")
+    """The rows of the buckets of ``placed(key, id, size, root)`` that hold several components. Buckets with the
+    same largest component, if it has ``MERGE`` members or more there, become one: near copies meet in
+    most tables, and so each of them is carried once and not once for each table."""
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    shares = counts.groupBy("key").agg(
+        F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main")
+    )
+    open_keys = shares.where("roots > 1").select(
+        "key", F.when(F.col("n_main") >= MERGE, F.xxhash64("main", F.lit(1))).otherwise(F.col("key")).alias("to")
+    )
+    rows = placed.join(open_keys, "key").select(F.col("to").alias("key"), "id", "size", "root")
+    return written(rows.distinct(), "zstd")
 
 
 def parities(sets: list[np.ndarray]) -> list[bytes]:

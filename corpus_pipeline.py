@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.llm import bpe, line_dedup, mixing, near_dedup, quality
-from firnline.llm.common import shared_base, table
+from firnline.llm.common import own_name, shared_base, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from the texts; every document stays, ``n_chars`` follows its text."""
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Repeated lines go from the texts, ``n_chars`` follows. A document whose every line was a repetition is
+    a copy without content and goes; documents that were null or empty before stay."""
+    had = own_name(docs, "had_text")
+    out = line_dedup.dedup_lines(docs.withColumn(had, F.coalesce(F.length("text") > 0, F.lit(False))))
+    kept = out.where(~F.col(had) | (F.length("text") > 0)).drop(had)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

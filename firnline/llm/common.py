@@ -93,7 +93,7 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200, settle: bool = True) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, root)``; root is the smallest id.
 
     Distributed union-find by alternating large-star and small-star steps: every step replaces
@@ -101,7 +101,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     stars around the smallest ids. Minima are combined before the shuffle, so a node with very
     many neighbours costs one row for each map task; each round is a written table, and the one before it is deleted. Nothing is
     collected but two totals a round. Null ends are ignored. Raises if ``max_rounds`` is passed
-    (the rounds needed grow with the logarithm of the component size).
+    (the rounds needed grow with the logarithm of the component size); with ``settle=False`` it stops
+    there instead, and each id has the smallest id it has met.
     """
     a, b = F.col("a"), F.col("b")
     current = written(
@@ -133,7 +134,10 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             break
         before = state
     else:
-        raise RuntimeError("components did not settle")
+        if settle:
+            raise RuntimeError("components did not settle")
+        nearest = current.groupBy(a.alias("id")).agg(F.min("b").alias("root"))
+        return nearest.unionByName(current.select(b.alias("id"), b.alias("root")).distinct().join(nearest, "id", "left_anti"))
     roots = current.select(b.alias("id"), b.alias("root")).distinct()
     return current.select(a.alias("id"), b.alias("root")).unionByName(roots)
 

@@ -113,7 +113,7 @@ def decided(docs: DataFrame, text: str = "text", source: str = "source", key: st
 
     Size is the number of words; null texts have none. A null source is a source of its own, the
     last. Documents without words take no part in the fit. Rows that share an identifier are
-    separate rows. An empty table gives an empty table.
+    separate rows, in the order of a hash of their texts. An empty table gives an empty table.
     """
     rows = docs.select(
         F.struct(*docs.columns).alias("row"),
@@ -165,7 +165,7 @@ def decided(docs: DataFrame, text: str = "text", source: str = "source", key: st
             "target",
         )
     )
-    inside = Window.partitionBy("source", "size", "slice").orderBy("hash", F.col(f"row.{key}"))
+    inside = Window.partitionBy("source", "size", "slice").orderBy("hash", F.col(f"row.{key}"), F.xxhash64(F.col(f"row.{text}")))
     ranked = rows.withColumn("rank", F.row_number().over(inside))
     return ranked.join(
         before,

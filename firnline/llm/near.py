@@ -29,6 +29,8 @@ CACHE_WORDS = 500_000
 PART = 4096
 #: Turns end when one links less than this share of the open rows, or after ``MAX_TURNS``.
 MAX_TURNS, YIELD = 4, 0.02
+#: Rounds of union-find after a turn; all links together settle at the end.
+QUICK = 3
 #: Members of a largest component from which on buckets that share it become one.
 MERGE = 64
 #: Rounds of settling in which a member hands on one candidate.
@@ -127,7 +129,10 @@ def verify(
     pairs: DataFrame, sets: DataFrame, percent: int, unpack: Callable[[list], list[np.ndarray]] = stored_sets
 ) -> DataFrame:
     """The pairs ``(a, b)`` with ``100 * intersection >= percent * union``; ``unpack`` turns stored
-    ``shingles`` of ``sets(id, shingles)`` into sorted distinct hashes, once for each set of a slice."""
+    ``shingles`` of ``sets(id, shingles)`` into sorted distinct hashes, once for each set of a slice. Only the sets
+    that pairs ask for are shuffled: their ids are broadcast to the sets if they are few (counted)."""
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = sets.join(small(written(asked)), "id", "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
 
@@ -184,21 +189,22 @@ def near_components(
     links = written(verify(first, sets, percent, unpack))
     linked = components(links)
     roots = written(linked)
-    dropped(links, linked)
+    dropped(linked)
     others = written(apart(stars.select("a", "b"), roots).join(first, ["a", "b"], "left_anti").select("a", "b", "ra", "rb"))
     found = written(verify(others.select("a", "b"), sets, percent, unpack).join(others, ["a", "b"]).select("ra", "rb"))
-    moves = written(components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-    roots = merged(roots, moves)
+    links = written(links.unionByName(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    moves = written(components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")), QUICK, False))
     placed = buckets.where("n > 2").select("key", "id").join(sets.select("id", "size"), "id").join(roots, "id", "left")
-    state = still_open(placed.withColumn("root", F.coalesce("root", "id")))
+    state = still_open(moved(placed.withColumn("root", F.coalesce("root", "id")), moves))
     for turn in range(MAX_TURNS):
         open_rows = state.count()
         if not open_rows:
             break
-        more = verify(neighbours(state, percent, turn), sets, percent, unpack)
+        more = written(verify(written(neighbours(state, percent, turn)), sets, percent, unpack))
         last = state
-        state, roots, found = after(state, roots, written(more))
+        state, found = after(state, more)
         dropped(last)
+        links = links.unionByName(more)
         if found < YIELD * open_rows:
             break
     tried = None
@@ -206,12 +212,14 @@ def near_components(
         if state.isEmpty():
             break
         pairs = written(across(state, sets, percent, tried, turn < ROUNDS, unpack))
-        each = pairs.select("a", "b").distinct()
+        each = written(pairs.select("a", "b").distinct())
         more = written(verify(each, sets, percent, unpack))
         last = state
-        state, roots, _ = after(state.join(pairs.select("key").distinct(), "key", "left_semi"), roots, more)
+        state, _ = after(state.join(pairs.select("key").distinct(), "key", "left_semi"), more)
         dropped(last)
-        tried = each if tried is None else written(tried.unionByName(each).distinct())
+        links = links.unionByName(more)
+        tried = each if tried is None else tried.unionByName(each)
+    roots = written(components(links))
     dropped(buckets, sets, stars)
     return roots
 
@@ -223,26 +231,22 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.withColumns({f"r{c}": F.coalesce(f"r{c}", c) for c in "ab"}).where("ra <> rb")
 
 
-def merged(roots: DataFrame, moves: DataFrame) -> DataFrame:
-    """``roots(id, root)`` after the components ``moves(id, root)`` of its roots (or of ids without one)."""
-    moved = moves.select(F.col("id").alias("root"), F.col("root").alias("to"))
-    own = roots.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-    new = moves.join(roots.select("id"), "id", "left_anti")
-    out = written(own.unionByName(new))
-    dropped(roots)
-    return out
+def moved(state: DataFrame, moves: DataFrame) -> DataFrame:
+    """The rows with the roots that ``moves(id, root)`` gives for theirs."""
+    to = small(moves.select(F.col("id").alias("root"), F.col("root").alias("to")))
+    return state.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
 
 
-def after(state: DataFrame, roots: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The open rows and roots after new ``links(a, b)``, and how many links there were."""
+def after(state: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """The open rows after new ``links(a, b)`` between them, and how many links there were. Roots are moved
+    by a few rounds only: a root that could still be merged costs comparisons, not links."""
     found = links.count()
     if found:
-        edges = apart(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        moves = written(components(edges))
-        roots = merged(roots, moves)
-        moved = moves.select(F.col("id").alias("root"), F.col("root").alias("to"))
-        state = state.join(small(moved), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
-    return still_open(state), roots, found
+        of = state.select("id", "root").distinct()
+        ends = lambda c: of.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+        edges = links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        state = moved(state, written(components(edges, QUICK, False)))
+    return still_open(state), found
 
 
 def still_open(placed: DataFrame) -> DataFrame:

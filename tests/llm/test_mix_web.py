@@ -206,7 +206,9 @@ def test_pipeline_equals_brute_force(spark):
     first = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 1500").limit(80).collect()
     features = np.array([quality.features_of(r["text"], model.bad, model.good) for r in first])
     assert {r["doc_id"] for r in scored} == {r["doc_id"] for r, s in zip(first, model.score(features)) if s >= 0.5}
-    assert {r["doc_id"]: r["text"] for r in lined} == without_repeated_lines([(r["doc_id"], r["text"]) for r in scored])
+    without = without_repeated_lines([(r["doc_id"], r["text"]) for r in scored])
+    was_empty = {r["doc_id"] for r in scored if not r["text"]}
+    assert {r["doc_id"]: r["text"] for r in lined} == {k: t for k, t in without.items() if t or k in was_empty}
     roots = linked({r["doc_id"]: shingles(r["text"], 5) for r in lined})
     assert {r["doc_id"]: r["text"] for r in near} == {r["doc_id"]: r["text"] for r in lined if roots[r["doc_id"]] == r["doc_id"]}
     sizes, taken, longest = collections.Counter(), collections.Counter(), collections.Counter()
@@ -221,3 +223,18 @@ def test_pipeline_equals_brute_force(spark):
     bpe_model, texts = bpe.bpe_of(bpe.default_path()), {r["doc_id"]: r["text"] for r in mix}
     assert collections.Counter(r["doc_id"] for r in coded) == collections.Counter(r["doc_id"] for r in mix)
     assert all(bpe_model.decode(r["ids"]) == texts[r["doc_id"]] and r["n_tokens"] * 4 == len(r["ids"]) for r in coded)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """No rows, and rows with null identifiers, texts and sources, empty and repeated rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "some words that make a line of text\nand another line of it"
+    odd = [(None, text, None, None, None), (1, None, "en", "s", 0), (2, "", "en", None, 0), (3, text, "en", "s", len(text))] * 2
+    odd += [(4, text, "en", "s", len(text)), (5, "alone " * 30, "en", "t", 180)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, schema)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, SF)
+            assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ") or i == 4
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert (docs.count() > 0) == bool(rows)

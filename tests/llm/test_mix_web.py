@@ -190,7 +190,7 @@ def test_warc_records(spark, tmp_path):
 def test_registered():
     names = set(entry_points.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
 
 
 def test_pipeline_equals_brute_force(spark):

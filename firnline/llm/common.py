@@ -93,7 +93,7 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def components(edges: DataFrame, max_rounds: int = 200, settle: bool = True) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, root)``; root is the smallest id.
 
     Distributed union-find by alternating large-star and small-star steps: every step replaces
@@ -101,8 +101,7 @@ def components(edges: DataFrame, max_rounds: int = 200, settle: bool = True) ->
     stars around the smallest ids. Minima are combined before the shuffle, so a node with very
     many neighbours costs one row for each map task; each round is a written table, and the one before it is deleted. Nothing is
     collected but two totals a round. Null ends are ignored. Raises if ``max_rounds`` is passed
-    (the rounds needed grow with the logarithm of the component size); with ``settle=False`` it stops
-    there instead, and each id has the smallest id it has met.
+    (the rounds needed grow with the logarithm of the component size).
     """
     a, b = F.col("a"), F.col("b")
     current = written(
@@ -110,7 +109,8 @@ def components(edges: DataFrame, max_rounds: int = 200, settle: bool = True) ->
         .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
         .distinct()
     )
-    before = None
+    totals = (F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    before = current.agg(*totals).first()
     for _ in range(max_rounds):
         both = current.unionByName(current.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -125,19 +125,13 @@ def components(edges: DataFrame, max_rounds: int = 200, settle: bool = True) ->
             .distinct()
         )
         last, current = current, written(small)
-        state = current.agg(
-            F.count("*"),
-            F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
-        ).first()
+        state = current.agg(*totals).first()
         dropped(last)
         if state == before:
             break
         before = state
     else:
-        if settle:
-            raise RuntimeError("components did not settle")
-        nearest = current.groupBy(a.alias("id")).agg(F.min("b").alias("root"))
-        return nearest.unionByName(current.select(b.alias("id"), b.alias("root")).distinct().join(nearest, "id", "left_anti"))
+        raise RuntimeError("components did not settle")
     roots = current.select(b.alias("id"), b.alias("root")).distinct()
     return current.select(a.alias("id"), b.alias("root")).unionByName(roots)
 

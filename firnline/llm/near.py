@@ -2,15 +2,12 @@
 
 A shingle is a 64-bit hash; a set is its sorted distinct hashes as little-endian bytes. Buckets are
 ``(key, id)`` rows; they are never expanded into all pairs. A bucket's centre is the member that meets most
-others over all its buckets. Every set is first verified against its heaviest centre, one edge for each set, then
-against those of its other buckets that are still in another component. From there on only open buckets are carried, those that hold several components:
-
-* Turns: neighbours in a hashed order are verified, one pair a member at most, while a turn links a good part
-  of what is open. They merge cheaply what is easy to merge.
-* Settling: in what is still open, every member outside a bucket's largest component is compared with all
-  members of other components by sizes and parity bitmaps, which never reject a link. A member hands on the
-  most likely partner only, it is verified, components are merged, and buckets without any candidate are settled.
-  After ``ROUNDS`` such rounds all candidates that are left are handed on at once, so the result is exact.
+others over all its buckets. Every set is first verified against the centres of its buckets. Then only open buckets
+are carried, those that hold several components. In them, every member outside the largest component is compared
+with all members of other components by sizes and parity bitmaps, which never reject a link. A task hands on a spanning
+forest of the pairs that may be links, the likeliest first, and not all of them; it is verified. A bucket whose
+forests all hold is settled; in the others the pairs that failed are left out and the verified ones count as
+connected. After ``ROUNDS`` such rounds all pairs that are left are handed on at once, so the result is exact.
 """
 
 from __future__ import annotations
@@ -20,21 +17,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firnline.llm.common import components, dropped, small, written
 
 CACHE_WORDS = 500_000
-PART = 4096
-#: Turns end when one links less than this share of the open rows, or after ``MAX_TURNS``.
-MAX_TURNS, YIELD = 4, 0.02
-#: Rounds of union-find after a turn; all links together settle at the end.
-QUICK = 3
 #: Members of a largest component from which on buckets that share it become one.
 MERGE = 64
-#: Rounds of settling in which a member hands on one candidate.
-ROUNDS = 8
+#: Rounds of settling in which a group hands on a spanning forest.
+ROUNDS = 1
 #: Members of an open bucket that are compared at a time with as many others, or with ``MAIN`` members of
 #: its largest component.
 BLOCK, MAIN = 1024, 8192
@@ -178,77 +170,35 @@ def near_components(
     weights = buckets.groupBy("id").agg(F.sum("n").alias("weight"))
     weighed = buckets.join(weights, "id")
     best = F.max_by("id", F.struct("weight", -F.col("id")))
-    centres = weighed.groupBy("key").agg(best.alias("a"), F.max("weight").alias("weight"))
-    stars = written(
-        buckets.join(centres, "key").where("id <> a").groupBy(F.col("id").alias("b"), "a").agg(F.max("weight").alias("weight")), "zstd"
-    )
+    centres = weighed.groupBy("key").agg(best.alias("a"))
+    stars = written(buckets.join(centres, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "zstd")
     met = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
     sets = written(sets_for(small(written(met))), "zstd")
-    # one edge for each set, to its heaviest centre, then to its other centres where they are not connected yet
-    first = stars.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a")).select("a", "b")
-    links = written(verify(first, sets, percent, unpack))
-    linked = components(links)
-    roots = written(linked)
-    dropped(linked)
-    others = written(apart(stars.select("a", "b"), roots).join(first, ["a", "b"], "left_anti").select("a", "b", "ra", "rb"))
-    found = written(verify(others.select("a", "b"), sets, percent, unpack).join(others, ["a", "b"]).select("ra", "rb"))
-    links = written(links.unionByName(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-    moves = written(components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")), QUICK, False))
+    links = written(verify(stars.select("a", "b"), sets, percent, unpack))
+    roots = components(links)
     placed = buckets.where("n > 2").select("key", "id").join(sets.select("id", "size"), "id").join(roots, "id", "left")
-    state = still_open(moved(placed.withColumn("root", F.coalesce("root", "id")), moves))
-    for turn in range(MAX_TURNS):
-        open_rows = state.count()
-        if not open_rows:
-            break
-        more = written(verify(written(neighbours(state, percent, turn)), sets, percent, unpack))
-        last = state
-        state, found = after(state, more)
-        dropped(last)
-        links = links.unionByName(more)
-        if found < YIELD * open_rows:
-            break
-    tried = None
+    state = still_open(placed.withColumn("root", F.coalesce("root", "id")))
+    tried, more = None, None
     for turn in range(ROUNDS + 1):
         if state.isEmpty():
             break
         pairs = written(across(state, sets, percent, tried, turn < ROUNDS, unpack))
-        each = written(pairs.select("a", "b").distinct())
-        more = written(verify(each, sets, percent, unpack))
-        last = state
-        state, _ = after(state.join(pairs.select("key").distinct(), "key", "left_semi"), more)
+        each = pairs.select("a", "b").distinct()
+        found = written(verify(each, sets, percent, unpack).withColumn("holds", F.lit(True)))
+        known = written(each.join(found, ["a", "b"], "left").withColumn("holds", F.coalesce("holds", F.lit(False))))
+        more = found if more is None else more.unionByName(found)
+        tried = known if tried is None else tried.unionByName(known)
+        failed = pairs.join(known.where("not holds"), ["a", "b"], "left_semi").select("key").distinct()
+        last, state = state, written(state.join(failed, "key", "left_semi"), "zstd")
+        dropped(last, pairs)
+    if more is not None and not more.isEmpty():
+        edges = roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+        last, roots = roots, components(edges.unionByName(more.select("a", "b")))
         dropped(last)
-        links = links.unionByName(more)
-        tried = each if tried is None else tried.unionByName(each)
-    roots = written(components(links))
     dropped(buckets, sets, stars)
     return roots
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose components differ, with these as ``ra`` and ``rb``."""
-    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.withColumns({f"r{c}": F.coalesce(f"r{c}", c) for c in "ab"}).where("ra <> rb")
-
-
-def moved(state: DataFrame, moves: DataFrame) -> DataFrame:
-    """The rows with the roots that ``moves(id, root)`` gives for theirs."""
-    to = small(moves.select(F.col("id").alias("root"), F.col("root").alias("to")))
-    return state.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
-
-
-def after(state: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
-    """The open rows after new ``links(a, b)`` between them, and how many links there were. Roots are moved
-    by a few rounds only: a root that could still be merged costs comparisons, not links."""
-    found = links.count()
-    if found:
-        of = state.select("id", "root").distinct()
-        ends = lambda c: of.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-        edges = links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        state = moved(state, written(components(edges, QUICK, False)))
-    return still_open(state), found
-
-
 def still_open(placed: DataFrame) -> DataFrame:
     """The rows of the buckets of ``placed(key, id, size, root)`` that hold several components. Buckets with the
     same largest component, if it has ``MERGE`` members or more there, become one: near copies meet in
@@ -295,12 +245,12 @@ def across(
     sets: DataFrame,
     percent: int,
     tried: DataFrame | None = None,
-    best: bool = False,
+    forest: bool = False,
     unpack: Callable[[list], list[np.ndarray]] = stored_sets,
 ) -> DataFrame:
     """Pairs ``(key, a, b)`` of ``rest(key, id, size, root)`` in one bucket and different components that can
-    reach ``percent`` by their sizes and parity bitmaps and are not in ``tried(a, b)``: all of them, or with
-    ``best`` the most likely one for each member outside the bucket's largest component and each group.
+    reach ``percent`` by their sizes and parity bitmaps and are not in ``tried(a, b, holds)``: all of them, or with
+    ``forest`` for each group a spanning forest of its components, made of the most likely pairs.
 
     These members are cut into blocks of about ``BLOCK``. Every two blocks meet in a group, and every block
     meets the members of the largest component, in parts of about ``MAIN``; members of the largest component
@@ -315,18 +265,22 @@ def across(
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = batch.column("members")[i].values
-                a, b = candidates(rows, percent, best)
+                a, b = candidates(rows, percent, forest)
                 key = pa.array(np.full(len(a), batch.column("key")[i].as_py()), pa.int64())
                 yield pa.RecordBatch.from_arrays([key, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
 
     asked = rest.select("id").distinct()
     bits = sets.join(asked, "id", "left_semi").select("id", "shingles").mapInArrow(maps, "id long, bits binary")
+    lists = ("not", "linked")
     if tried is None:
-        bits = bits.withColumn("not", F.array().cast("array<long>"))
+        bits = bits.withColumns({c: F.array().cast("array<long>") for c in lists})
     else:
-        both = tried.select(F.col("a").alias("id"), F.col("b").alias("x")).unionByName(tried.select(F.col("b").alias("id"), F.col("a").alias("x")))
-        known = both.join(asked, "id", "left_semi").groupBy("id").agg(F.collect_list("x").alias("not"))
-        bits = bits.join(known, "id", "left").withColumn("not", F.coalesce("not", F.array().cast("array<long>")))
+        both = tried.select(F.col("a").alias("id"), F.col("b").alias("x"), "holds")
+        both = both.unionByName(tried.select(F.col("b").alias("id"), F.col("a").alias("x"), "holds"))
+        known = both.join(asked, "id", "left_semi").groupBy("id").agg(
+            F.collect_list("x").alias("not"), F.collect_list(F.when(F.col("holds"), F.col("x"))).alias("linked")
+        )
+        bits = bits.join(known, "id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<long>")) for c in lists})
     counts = rest.groupBy("key", "root").agg(F.count("*").alias("n"))
     shares = counts.groupBy("key").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")
@@ -352,22 +306,63 @@ def across(
         .join(bits, "id")
     )
     together = members.groupBy("key", "meet.i", "meet.j").agg(
-        F.collect_list(F.struct("id", "size", "root", "side", "bits", "not")).alias("members")
+        F.collect_list(F.struct("id", "size", "root", "side", "bits", *lists)).alias("members")
     )
     return together.select("key", "members").mapInArrow(meet, "key long, a long, b long")
 
 
-def candidates(rows: pa.StructArray, percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels after nodes labelled ``a`` and ``b`` are connected, the smallest of each component."""
+    to = np.arange(len(labels))
+    while True:
+        last = to
+        low = np.minimum(to[a], to[b])
+        to = to.copy()
+        np.minimum.at(to, a, low)
+        np.minimum.at(to, b, low)
+        to = to[to]
+        if (to == last).all():
+            return to[labels]
+
+
+def spanning(u: np.ndarray, v: np.ndarray, d: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which of the edges between nodes ``u`` and ``v`` are the shortest spanning forest of what ``labels``
+    (the smallest node of each component) leave apart: every component takes its shortest edge, until none is left."""
+    place = np.lexsort([v, u, d])
+    u, v, kept = u[place], v[place], []
+    while len(place):
+        a, b = labels[u], labels[v]
+        live = a != b
+        u, v, a, b, place = u[live], v[live], a[live], b[live], place[live]
+        shortest = np.full(len(labels), len(place))
+        at = np.arange(len(place))
+        np.minimum.at(shortest, a, at)
+        np.minimum.at(shortest, b, at)
+        taken = np.unique(shortest[shortest < len(place)])
+        kept.append(place[taken])
+        labels = merged(labels, a[taken], b[taken])
+    return np.concatenate([np.empty(0, np.int64), *kept])
+
+
+def candidates(rows: pa.StructArray, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one group, members of side 0 with those of the other side (with each other if there is none)."""
     ids, sizes, roots, side = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "root", "side"))
-    maps, nots = rows.field("bits").to_pylist(), rows.field("not").to_pylist()
+    maps, nots, linked = (rows.field(c).to_pylist() for c in ("bits", "not", "linked"))
+    known, nodes = np.unique(roots, return_inverse=True)
+    labels = np.arange(len(known))
+    place = {x: i for i, x in enumerate(ids.tolist())}
+    ends = [(i, place[x]) for i, partners in enumerate(linked) for x in partners if x in place]
+    if ends:
+        a, b = np.array(ends).T
+        labels = merged(labels, nodes[a], nodes[b])
+    groups = labels[nodes]
     kinds: dict[int, np.ndarray] = {}
     lengths = np.array([len(m) for m in maps])
     for n in np.unique(lengths):
         kinds[int(n)] = np.flatnonzero(lengths == n)
     words = {n: np.frombuffer(b"".join(maps[k] for k in at), np.uint64).reshape(len(at), -1) for n, at in kinds.items()}
     alone = (side == 0).all()
-    out_a, out_b, out_d = [], [], []
+    out = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     for n, left_all in kinds.items():
         of_left = np.flatnonzero(side[left_all] == 0)
         for m, right_all in kinds.items():
@@ -377,9 +372,9 @@ def candidates(rows: pa.StructArray, percent: int, best: bool) -> tuple[np.ndarr
                 at = of_left[k : k + 256]
                 left = left_all[at]
                 x, y = left[:, None], right[None, :]
-                ok = roots[x] != roots[y]
+                ok = groups[x] != groups[y]
                 ok &= 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
-                if alone and not best:
+                if alone:
                     ok &= ids[x] < ids[y]
                 for u, row in enumerate(left.tolist()):
                     if nots[row]:
@@ -391,32 +386,9 @@ def candidates(rows: pa.StructArray, percent: int, best: bool) -> tuple[np.ndarr
                 both = (sizes[left[rows_]][:, None] + sizes[right[columns]][None, :]).astype(float)
                 near = ok[np.ix_(rows_, columns)] & ((100 + percent) * distance <= (100 - percent) * both)
                 u, v = np.nonzero(near)
-                out_a.append(left[rows_[u]])
-                out_b.append(right[columns[v]])
-                out_d.append(distance[u, v] / both[u, v])
-    if not out_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b, d = (np.concatenate(x) for x in (out_a, out_b, out_d))
-    if best and len(a):
-        by = np.lexsort([ids[b], d, ids[a]])
-        a, b = a[by], b[by]
-        keep = np.r_[True, a[1:] != a[:-1]]
-        a, b = a[keep], b[keep]
-    return ids[a].astype(np.int64), ids[b].astype(np.int64)
-
-
-def neighbours(state: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs ``(a, b)`` of neighbours in the open buckets ``state(key, id, size, root)``: each member with
-    the next one in an order that a hash of key, id and ``turn`` gives, where components differ and sizes
-    allow ``percent``. Large buckets are cut into parts of about ``PART`` members by the same hash."""
-    counts = state.groupBy("key").agg(F.count("*").alias("n"))
-    order = F.xxhash64("key", "id", F.lit(turn))
-    rest = state.join(counts, "key").withColumns({"order": order, "part": F.pmod(order, F.ceil(F.col("n") / PART))})
-    by = Window.partitionBy("key", "part").orderBy("order", "id")
-    beside = rest.select(
-        "id", "size", "root", *(F.lead(c).over(by).alias(f"{c}1") for c in ("id", "size", "root"))
-    )
-    alike = (F.col("root") != F.col("root1")) & (
-        100 * F.least("size", "size1") >= percent * F.greatest("size", "size1")
-    )
-    return beside.where(alike).select(F.least("id", "id1").alias("a"), F.greatest("id", "id1").alias("b")).distinct()
+                new = (left[rows_[u]], right[columns[v]], distance[u, v] / both[u, v])
+                out = tuple(np.concatenate(x) for x in zip(out, new))
+                if forest:
+                    keep = spanning(nodes[out[0]], nodes[out[1]], out[2], labels)
+                    out = tuple(x[keep] for x in out)
+    return ids[out[0]].astype(np.int64), ids[out[1]].astype(np.int64)

@@ -145,20 +145,26 @@ def test_near_groups_empty_and_kept_rows(documents):
     assert rows_of(near_dedup.drop_near_copies(docs), "doc_id", "score") == {(2, "x"), (4, "x"), (None, "x")}
 
 
-def test_neighbours_find_links_that_the_smallest_member_misses(spark):
-    rows = [(1, i, 10.0, 0 if i == 1 else i) for i in range(6)]
-    state = spark.createDataFrame(rows, "key long, id long, size double, root long")
-    seen = set()
-    for turn in range(25):
-        found = rows_of(near.neighbours(state, 80, turn), "a", "b")
-        assert len(found) <= 5 and (0, 1) not in found
-        seen |= found
-    assert seen == {(a, b) for a in range(6) for b in range(a + 1, 6)} - {(0, 1)}
-
-
-@pytest.mark.parametrize("block, main, turns, rounds", [(7, 5, 0, 8), (1024, 8192, 0, 8), (50, 3, 0, 0), (7, 5, 16, 1)])
-def test_open_buckets_are_settled_exactly(spark, monkeypatch, block, main, turns, rounds):
-    for name, value in (("BLOCK", block), ("MAIN", main), ("MAX_TURNS", turns), ("ROUNDS", rounds)):
+def test_spanning_forest_takes_the_shortest_edges():
+    rng = np.random.default_rng(3)
+    for n in (2, 9, 40):
+        u, v = rng.integers(0, n, (2, 3 * n))
+        d = rng.integers(0, 5, 3 * n).astype(float)
+        labels = near.merged(np.arange(n), np.array([0]), np.array([n - 1]))
+        roots, want = labels.copy(), []
+        for i in np.lexsort([v, u, d]):
+            if roots[u[i]] != roots[v[i]]:
+                want.append(i)
+                roots[roots == max(roots[u[i]], roots[v[i]])] = min(roots[u[i]], roots[v[i]])
+        got = near.spanning(u, v, d, labels)
+        assert len(got) == len(want) and sorted(d[got]) == sorted(d[want])
+        assert (near.merged(labels, labels[u[got]], labels[v[got]]) == roots).all()
+    assert len(near.spanning(u[:0], v[:0], d[:0], labels)) == 0
+
+
+@pytest.mark.parametrize("block, main, rounds", [(7, 5, 8), (1024, 8192, 1), (50, 3, 0), (7, 5, 1)])
+def test_open_buckets_are_settled_exactly(spark, monkeypatch, block, main, rounds):
+    for name, value in (("BLOCK", block), ("MAIN", main), ("ROUNDS", rounds)):
         monkeypatch.setattr(near, name, value)
     rng = np.random.default_rng(4)
     shared = rng.integers(0, 1 << 62, 150).astype(np.uint64)

@@ -13,6 +13,7 @@ from firnline.functions import labels as fl
 from firnline.functions import scalars as fs
 from firnline.functions.daylight import hours_of_daylight
 from firnline.functions.projection import latitude
+from firnline.operators.bounded import of_pixel_size
 from firnline.operators.regrid import shift_half_cell
 from firnline.sources import driver_grid as g
 from firnline.sources.tables import date_in_name
@@ -240,7 +241,7 @@ def date_from_file_name(spark, sf):
     ),
 )
 def recode(spark, sf):
-    rows = g.pixels(spark, sf).join(g.albedo(spark, sf), ["date", "x", "y"])
+    rows = g.pixels(spark, sf).join(of_pixel_size(g.albedo(spark, sf)), ["date", "x", "y"])
     melting = F.col("mw_value") == 1
     return plain(
         rows.select(

@@ -79,3 +79,14 @@ def test_no_cartesian_product(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
+
+
+PIXEL_JOINS = ["f14_recode"]
+
+
+@pytest.mark.parametrize("name", PIXEL_JOINS)
+def test_layers_of_pixel_size_are_not_broadcast(spark, name):
+    """The planner estimates an exploded layer by its cells."""
+    text = plan(QUERIES[name](spark, SF))
+    assert re.search(r"SortMergeJoin \[date#\d+, knownfloatingpoint", text)
+    assert not re.search(r"BroadcastHashJoin \[date#\d+, knownfloatingpoint", text)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firnline.operators.bounded import dates_of, per_date
+from firnline.operators.bounded import dates_of, of_pixel_size, per_date
 
 
 def microwave_with_optical(microwave: DataFrame, optical: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_by_layer(pixels: DataFrame, layer: DataFrame, condition: Column) -> Dat
     """Remove pixels whose (date, cell) meets a condition in another layer; days on which that
     layer has no scene are left out altogether."""
     with_scene = pixels.join(dates_of(layer), "date", "left_semi")
-    return with_scene.join(layer.where(condition), ["date", "x", "y"], "left_anti")
+    return with_scene.join(of_pixel_size(layer.where(condition)), ["date", "x", "y"], "left_anti")
 
 
 def nearest_cell(cells: DataFrame, px: float, py: float) -> Column:

@@ -81,7 +81,7 @@ def test_no_cartesian_product(spark, name):
     assert "BroadcastNestedLoopJoin" not in text
 
 
-PIXEL_JOINS = ["f14_recode"]
+PIXEL_JOINS = ["f14_recode", "j10_drop_by_albedo"]
 
 
 @pytest.mark.parametrize("name", PIXEL_JOINS)

@@ -26,6 +26,7 @@ def cells(spark):
 
 COUNTED = {
     "p04_upper_half": north_pixels,
+    "p12_feature_guard": pixels,
 }
 WHOLE = {
 }

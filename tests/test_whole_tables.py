@@ -29,6 +29,7 @@ COUNTED = {
     "p12_feature_guard": pixels,
 }
 WHOLE = {
+    "o01_sort_by_area_and_y": cells,
 }
 
 

@@ -30,6 +30,7 @@ COUNTED = {
 }
 WHOLE = {
     "o01_sort_by_area_and_y": cells,
+    "j18_overlap_window": lambda spark: g.cells(spark, SF).where("col BETWEEN 3 AND 18 AND row BETWEEN 2 AND 15").count(),
 }
 
 

@@ -33,6 +33,7 @@ WHOLE = {
     "j18_overlap_window": lambda spark: g.cells(spark, SF).where("col BETWEEN 3 AND 18 AND row BETWEEN 2 AND 15").count(),
     "w01_grid_ranks": lambda spark: g.cells(spark, SF).where("(col + row) % 3 <> 0").count(),
     "w01_grid_ranks_by_contract": cells,
+    "f05_hours_of_daylight": pixels,
 }
 
 

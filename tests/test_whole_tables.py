@@ -34,6 +34,7 @@ WHOLE = {
     "w01_grid_ranks": lambda spark: g.cells(spark, SF).where("(col + row) % 3 <> 0").count(),
     "w01_grid_ranks_by_contract": cells,
     "f05_hours_of_daylight": pixels,
+    "f06_latitude": cells,
 }
 
 

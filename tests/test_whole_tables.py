@@ -35,6 +35,7 @@ WHOLE = {
     "w01_grid_ranks_by_contract": cells,
     "f05_hours_of_daylight": pixels,
     "f06_latitude": cells,
+    "f10_spatial_areas": cells,
 }
 
 

@@ -226,15 +226,6 @@ SPREAD_CELLS = """wide AS (SELECT col, "row", -636500.0::DOUBLE + 1461000.0::DOU
   -662500.0::DOUBLE - 2662000.0::DOUBLE*"row"/(ny-1) AS y FROM cells, spec)"""
 
 
-ICE = 'ice AS (SELECT col, "row" FROM cells WHERE NOT is_water)'
-
-
-def on_ice(spark, sf, cells):
-    """The rows of ``cells(col, row, ...)`` that are no water."""
-    ice = g.cells(spark, sf).where("NOT is_water").select("col", "row")
-    return cells.join(ice, ["col", "row"])
-
-
 def spread_cells(spark, sf):
     """Cells stretched over the extent of the analysis grid, so that every area occurs."""
     grid = g.grid_of(spark, sf)

@@ -36,6 +36,7 @@ WHOLE = {
     "f05_hours_of_daylight": pixels,
     "f06_latitude": cells,
     "f10_spatial_areas": cells,
+    "f11_composite_area": cells,
 }
 
 

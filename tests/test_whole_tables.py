@@ -37,6 +37,7 @@ WHOLE = {
     "f06_latitude": cells,
     "f10_spatial_areas": cells,
     "f11_composite_area": cells,
+    "f15_half_cell_shift": cells,
 }
 
 

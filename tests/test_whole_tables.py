@@ -38,6 +38,7 @@ WHOLE = {
     "f10_spatial_areas": cells,
     "f11_composite_area": cells,
     "f15_half_cell_shift": cells,
+    "l01_assign_to_centres": cells,
 }
 
 

@@ -236,7 +236,7 @@ EXTENDED_SQL = p.sql(
 
 def extended(spark, sf):
     static = static_layer(g.cells(spark, sf))
-    return build_features(g.pixels(spark, sf), static)
+    return build_features(g.pixels(spark, sf), static, tasks=g.tasks_of(g.grid_of(spark, sf)))
 
 
 @query("j07_extended_feature_table", EXTENDED_SQL)

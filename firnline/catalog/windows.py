@@ -33,9 +33,9 @@ from firnline.sources import driver_grid as g
 def daily_region_summary(spark, sf):
     grid = g.grid_of(spark, sf)
     pixels = g.pixels(spark, sf).drop("opt_raw", "is_water")
-    around = without_water(focal(pixels, melt_for_windows(F.col("mw_value")), {"mean_3": (3, "mean")}))
+    around = without_water(focal(pixels, melt_for_windows(F.col("mw_value")), {"mean_3": (3, "mean")}, tasks=g.tasks_of(grid)))
     scenes = spark.range(1).select(F.explode(g.scene_dates()).alias("date"))
-    history = earlier_values(around, scenes=scenes)
+    history = earlier_values(around, scenes=scenes, tasks=g.tasks_of(grid), cell=("col", "row"))
     return plain(
         with_region(history, grid.nrows // 2)
         .groupBy("date", "region")
@@ -101,6 +101,7 @@ def _focal(spark, sf, size, stat, name):
         melt_for_windows(F.col("mw_value")),
         {name: (size, stat)},
         band_lines=8,
+        tasks=2 * g.tasks_of(g.grid_of(spark, sf)),  # bands of 8 lines share up to as many with others
     )
     return plain(out.select("date", "col", "row", name))
 

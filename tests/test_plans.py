@@ -11,7 +11,7 @@ from firnline.grid import Grid
 from firnline.operators import regrid
 from firnline.operators.focal import focal
 from firnline.operators.masks import apply_masks
-from firnline.plans.features import dynamic_features
+from firnline.plans.features import build_features, dynamic_features
 from firnline.session import shared_folder
 from firnline.sources import driver_grid as g
 from firnline.sources.tables import EXTENDED_SCHEMA, read_days, write_by_date
@@ -90,3 +90,29 @@ def test_layers_of_pixel_size_are_not_broadcast(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert re.search(r"SortMergeJoin \[date#\d+, knownfloatingpoint", text)
     assert not re.search(r"BroadcastHashJoin \[date#\d+, knownfloatingpoint", text)
+
+
+def test_pixel_shuffles_have_as_many_tasks_as_rows_ask_for(spark, stored, monkeypatch):
+    """Not the session's number, and none is added between the windows and the static layer."""
+    pixels = spark.read.parquet(stored)
+    static = g.cells(spark, SF).select("x", "y", "col", "row", *[
+        F.lit(1.0).alias(n) for n in ("elevation_data", "slope_data", "aspect_data", "distance_to_margin")
+    ])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(build_features(pixels, static, pixels.select("date").distinct(), tasks=23))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange hashpartitioning\(.*, 23\), REPARTITION_BY_NUM", text)) == 2
+    pixel_side = text[: text.index("FileScan")]
+    assert pixel_side.count("Exchange hashpartitioning") == 2
+
+
+def test_tasks_follow_the_grid():
+    small, large = (g.tasks_of(Grid(0.0, 0.0, 1.0, n, n)) for n in (50, 1500))
+    assert small == 2 and 1250 <= large <= 1300
+
+
+@pytest.mark.parametrize("name", ["w04_focal_mean_9"])
+def test_pixels_are_not_shuffled_by_the_sessions_number(spark, name):
+    assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF))

@@ -614,9 +614,10 @@ def score_all_pixels(spark, sf):
 )
 def predicted_lines(spark, sf):
     """The predictions as dense raster lines, then per line the cells and their sum."""
+    grid = g.grid_of(spark, sf)
     pixels = _with_two(g.pixels(spark, sf))
     scored = cv.score_all(pixels, _two_feature_bundle(spark, sf), ["date", "row", "col"])
-    lines = long_to_lines(scored.withColumn("p", F.round("mean_prediction", 6)), "p", g.grid_of(spark, sf))
+    lines = long_to_lines(scored.withColumn("p", F.round("mean_prediction", 6)), "p", grid, tasks=g.tasks_of(grid))
     present = F.filter("line", lambda v: v.isNotNull())
     total = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v)
     return plain(lines.select("date", "row", F.size(present).cast("long").alias("n"), total.alias("total")))

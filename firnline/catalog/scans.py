@@ -84,7 +84,7 @@ def slice_cube_by_range(spark, sf):
 )
 def dense_raster_to_long(spark, sf):
     grid = g.grid_of(spark, sf)
-    lines = rasters.long_to_lines(g.pixels(spark, sf), "opt_raw", grid)
+    lines = rasters.long_to_lines(g.pixels(spark, sf), "opt_raw", grid, tasks=g.tasks_of(grid))
     return plain(rasters.lines_to_long(lines, "opt_raw", grid))
 
 
@@ -100,7 +100,7 @@ def long_to_dense_lines(spark, sf):
     present = g.pixels(spark, sf).where("opt_raw IS NOT NULL")
     values = present.withColumn("tenths", F.round(F.col("opt_raw") * 10).cast("long"))
     twice = values.unionByName(values)  # duplicates must not change the matrix
-    lines = rasters.long_to_lines(twice, "tenths", grid)
+    lines = rasters.long_to_lines(twice, "tenths", grid, tasks=2 * g.tasks_of(grid))
     text = F.transform("line", lambda v: F.coalesce(v.cast("string"), F.lit("nan")))
     return plain(lines.select("date", "row", F.array_join(text, ",").alias("line")))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnline.grid import Grid
+from firnline.operators.bounded import shuffled
 
 
 def _no_nan(v: Column) -> Column:
@@ -45,19 +46,22 @@ def long_to_lines(
     keys: Sequence[str] = ("date",),
     version: str | None = None,
     outside: str = "error",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Dense raster lines for every row of the grid, NULL where a cell is absent.
 
     Duplicates of a cell are resolved by the highest ``version`` (or the highest value). A line is built
     from its sorted cells by filling the gaps between them, so the work is linear in the line. Cells
-    outside the grid are counted first and raise ``ValueError``; ``outside="drop"`` leaves them out.
+    outside the grid are counted first and raise ``ValueError``; ``outside="drop"`` leaves them out. Cells
+    are shuffled once, by line, in ``tasks`` tasks.
     """
     inside = F.col("row").between(0, grid.nrows - 1) & F.col("col").between(0, grid.ncols - 1)
     if outside == "error":
         lost = cells.where(~F.coalesce(inside, F.lit(False))).count()
         if lost:
             raise ValueError(f"{lost} cells are outside the grid of {grid.nrows} x {grid.ncols}")
-    one = cells.where(inside).groupBy(*keys, "row", "col").agg(F.max_by(value, version or value).alias("_v"))
+    by_line = shuffled(cells.where(inside).select(*keys, "row", "col", *dict.fromkeys([value, version or value])), tasks, *keys, "row")
+    one = by_line.groupBy(*keys, "row", "col").agg(F.max_by(value, version or value).alias("_v"))
     lines = one.groupBy(*keys, "row").agg(
         F.sort_array(F.collect_list(F.struct(F.col("col").cast("int").alias("c"), "_v"))).alias("_m")
     )

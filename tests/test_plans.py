@@ -113,6 +113,6 @@ def test_tasks_follow_the_grid():
     assert small == 2 and 1250 <= large <= 1300
 
 
-@pytest.mark.parametrize("name", ["w04_focal_mean_9"])
+@pytest.mark.parametrize("name", ["w04_focal_mean_9", "s04_dense_raster_to_long"])
 def test_pixels_are_not_shuffled_by_the_sessions_number(spark, name):
     assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF))

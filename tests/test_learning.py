@@ -120,6 +120,28 @@ def test_tree_cv_scores_and_importance(spark, data, areas):
     assert summary.where("rank = 1").first()["feature"] == "a"
 
 
+def test_depths_share_fits_and_score_like_their_own_trees(data, areas, monkeypatch):
+    tree, fits = estimators.decision_tree(), []
+    fit = type(tree).fit
+    monkeypatch.setattr(type(tree), "fit", lambda self, rows, *a: fits.append(a) or fit(self, rows, *a))
+    grid = {"maxDepth": [2, 6], "minInstancesPerNode": [2, 30]}
+    result = cv.spatial_cv(data, FEATURES, tree, "DecisionTree", grid, areas=areas)
+    assert len(fits) <= 66  # 126 with a fit for each grid point, area and chosen model
+    outer, inner, final = areas
+    rows = estimators.assemble(folds.with_areas(data, outer, inner, final), FEATURES)
+    found = {(r["outer"], r["inner"], r["grid_index"]): r["mse"] for r in result.tuning.collect()}
+    assert len(found) == 120
+    for label, column in ((1, F.when(F.col("outer_area") != 1, F.col("inner_area_1"))), (-1, F.col("final_area"))):
+        for i, point in enumerate(cv.spark_grid(tree, grid)):
+            own = fit(tree, rows.where(column != 3), point).transform(rows.where(column == 3))
+            want = RegressionEvaluator(labelCol="opt_value", metricName="mse").evaluate(own)
+            assert found[label, 3, i] == pytest.approx(want, rel=1e-9)
+    best = {r["outer"]: r["grid_index"] for r in cv.best_index(result.tuning).collect()}
+    for k, m in [*enumerate(result.fold_models), (-1, result.final_model)]:
+        want = fit(tree, rows.where(F.col("outer_area") != k), cv.spark_grid(tree, grid)[best[k]])
+        assert m.toDebugString.split("\n")[1:] == want.toDebugString.split("\n")[1:]
+
+
 def test_grid_order_and_feature_guard():
     points = cv.parameter_grid({"b": [1, 2], "a": [3]})
     assert points == [{"a": 3, "b": 1}, {"a": 3, "b": 2}]

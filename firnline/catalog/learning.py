@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from firnline.catalog import prelude as p
 from firnline.catalog.aggregates import ENSEMBLE, QQ_FIT, ordered_cte, predictions
 from firnline.catalog.filters import AREA, SPREAD_CELLS, spread_cells
-from firnline.catalog.joins import extended
 from firnline.catalog.registry import plain, query
 from firnline.catalog.scalars import bin_sql
 from firnline.functions import labels as fl
@@ -18,6 +17,7 @@ from firnline.ml.ensemble import ensemble_statistics
 from firnline.ml.store import load_bundle, load_model, save_bundle, save_model
 from firnline.operators.aggregates import majority
 from firnline.operators.masks import combined_mask
+from firnline.plans.features import build_features, static_layer
 from firnline.plans.residuals import residual_report
 from firnline.plans.training_table import prediction_table, training_table
 from firnline.session import checkpointed, shared_folder
@@ -39,20 +39,39 @@ FEATURES = [
     "aspect_data",
     "distance_to_margin",
 ]
+CELL = ["col", "row"]  # the columns of the history windows' shuffle
+_pixels: dict[tuple[str, str], str] = {}
 _materialised: dict[tuple[str, str], str] = {}
 _areas: dict[tuple[str, str], folds.Areas] = {}
 
 
+def derived_pixels(spark, sf):
+    """The pixel table, derived and written once per application: masks, calendar and features read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _pixels:
+        path = shared_folder(spark)
+        names = ["date", "col", "row", "x", "y", "mw_value", "opt_value"]
+        g.pixels(spark, sf).select(*names).write.parquet(path)
+        _pixels[key] = path
+    return spark.read.parquet(_pixels[key])
+
+
+def all_features(spark, sf):
+    """The extended table of the written pixels."""
+    static = static_layer(g.cells(spark, sf))
+    return build_features(derived_pixels(spark, sf), static, tasks=g.tasks_of(g.grid_of(spark, sf)))
+
+
 def training(spark, sf):
     """The training table, written once per application and read back by every model.
 
-    The aspect of flat cells is undefined; such rows count as facing neither way.
+    Masks are joined by the columns of the last shuffle of the pixels, which do not move again. The aspect of flat cells is undefined; such rows count as facing neither way.
     """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _materialised:
         path = shared_folder(spark)
-        mask = combined_mask(g.pixels(spark, sf))
-        rows = training_table(extended(spark, sf), mask, keep_ids=True)
+        mask = combined_mask(derived_pixels(spark, sf), cell=CELL)
+        rows = training_table(all_features(spark, sf), mask, keep_ids=True, cell=CELL)
         half = 0.5  # scaled value of a cosine of 0
         rows.fillna({"aspect_data": half}).write.parquet(path)
         _materialised[key] = path
@@ -629,7 +648,7 @@ def fold_models_on_all_pixels(spark, sf):
     deviation of the predictions by day."""
     root = shared_folder(spark)
     save_bundle(spark, _ridge(spark, sf), root, "ridge")
-    rows = prediction_table(extended(spark, sf)).fillna({"aspect_data": 0.5})
+    rows = prediction_table(all_features(spark, sf)).fillna({"aspect_data": 0.5})
     scored = cv.score_all(rows, load_bundle(spark, root, "ridge"), ["date", "row", "col"], "opt_value")
     return plain(
         scored.groupBy("date").agg(

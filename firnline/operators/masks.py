@@ -92,13 +92,13 @@ def inverse_set(cells: DataFrame, subset: DataFrame) -> DataFrame:
     return cells.select(*CELL).join(subset, CELL, "left_anti")
 
 
-def combined_mask(pixels: DataFrame, few: Sequence[int] = (2, 3)) -> DataFrame:
+def combined_mask(pixels: DataFrame, few: Sequence[int] = (2, 3), cell: Sequence[str] = CELL) -> DataFrame:
     """Both masks in one aggregation over the ice pixels: melt = 0 for cells that never melt or
     melt on ``few`` days in total, else 1."""
     ice = pixels.where("mw_value <> -1")
     days = F.count_if(F.col("mw_value") == 1)
-    counted = ice.groupBy(*CELL).agg(days.alias("n"))
-    return counted.select(*CELL, F.when(F.col("n").isin(0, *few), 0).otherwise(1).alias("melt"))
+    counted = ice.groupBy(*cell).agg(days.alias("n"))
+    return counted.select(*cell, F.when(F.col("n").isin(0, *few), 0).otherwise(1).alias("melt"))
 
 
 def apply_masks(
@@ -106,20 +106,22 @@ def apply_masks(
     no_melt: DataFrame | None = None,
     little_melt: DataFrame | None = None,
     drop_clouds: bool = True,
+    cell: Sequence[str] = CELL,
 ) -> DataFrame:
     """Keep pixels whose cell has melt = 1 in every given mask.
 
-    One combined mask is joined once on (x, y). Rows keep that partitioning, so the join costs
-    no shuffle of the pixels after the per-cell windows; a mask small enough is broadcast by the
-    engine after it has measured it.
+    One combined mask is joined once on ``cell``. Where the per-cell windows used the same columns, rows
+    keep that partitioning, so the join costs no shuffle of the pixels; a mask small enough is broadcast by
+    the engine after it has measured it.
     """
     if drop_clouds:
         df = df.where(F.col("opt_value").isNotNull())
-    masks = [m.where("melt = 1").select(*CELL) for m in (no_melt, little_melt) if m is not None]
+    on = list(cell)
+    masks = [m.where("melt = 1").select(*on) for m in (no_melt, little_melt) if m is not None]
     if not masks:
         return df
-    keep = masks[0] if len(masks) == 1 else masks[0].join(masks[1], CELL, "left_semi")
-    return df.join(keep, CELL, "left_semi")
+    keep = masks[0] if len(masks) == 1 else masks[0].join(masks[1], on, "left_semi")
+    return df.join(keep, on, "left_semi")
 
 
 def counts_with_never(no_melt: DataFrame, counts: DataFrame, at_most: int | None = 3) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from firnline.functions.scalars import normalise
 from firnline.operators.bounded import dates_of
-from firnline.operators.masks import apply_masks
+from firnline.operators.masks import CELL, apply_masks
 
 
 def training_table(
@@ -16,8 +18,10 @@ def training_table(
     bad_days: DataFrame | None = None,
     scaled: bool = True,
     keep_ids: bool = False,
+    cell: Sequence[str] = CELL,
 ) -> DataFrame:
-    rows = apply_masks(extended, no_melt, little_melt)
+    """``cell`` names the columns that the masks and ``extended`` share."""
+    rows = apply_masks(extended, no_melt, little_melt, cell=cell)
     if bad_days is not None:
         rows = rows.join(dates_of(bad_days), "date", "left_anti")
     if not keep_ids:

@@ -116,3 +116,25 @@ def test_tasks_follow_the_grid():
 @pytest.mark.parametrize("name", ["w04_focal_mean_9", "s04_dense_raster_to_long"])
 def test_pixels_are_not_shuffled_by_the_sessions_number(spark, name):
     assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF))
+
+
+def test_training_table_derives_the_pixels_once(spark, monkeypatch):
+    from firnline.catalog import learning
+    from firnline.operators.masks import combined_mask
+    from firnline.plans.features import build_features, static_layer
+    from firnline.plans.training_table import training_table
+    from firnline.sources import driver_grid as g
+
+    sf, calls, pixels = "/root/testdata/sf0.001", [], g.pixels
+    for kept in (learning._pixels, learning._materialised):
+        monkeypatch.setitem(kept, "none", "")
+        kept.clear()
+    monkeypatch.setattr(g, "pixels", lambda *a: calls.append(a) or pixels(*a))
+    rows = learning.training(spark, sf)
+    learning.all_features(spark, sf)
+    assert len(calls) == 1  # mask and features derived them twice
+    mask = combined_mask(pixels(spark, sf))
+    features = build_features(pixels(spark, sf), static_layer(g.cells(spark, sf)))
+    want = training_table(features, mask, keep_ids=True).fillna({"aspect_data": 0.5}).select(rows.columns)
+    assert rows.count() == want.count() > 0
+    assert rows.exceptAll(want).count() == 0

@@ -19,7 +19,8 @@ def incremental_ingest(spark, sf):
     static_path = f"{root}/static"
     static_layer(g.cells(spark, sf)).write.parquet(static_path)
     static = spark.read.parquet(static_path)
-    scenes = g.pixels(spark, sf).select([f.name for f in SCENE_SCHEMA])
+    g.pixels(spark, sf).select([f.name for f in SCENE_SCHEMA]).write.parquet(f"{root}/scenes")
+    scenes = spark.read.schema(SCENE_SCHEMA).parquet(f"{root}/scenes")
     day = F.dayofmonth("date")
     for part in (day <= 7, day > 12, day.between(8, 12)):
         scenes.where(part).write.mode("append").parquet(f"{root}/incoming")

@@ -127,12 +127,15 @@ def start_ingest(
     static: DataFrame,
     output: str,
     checkpoint: str,
-    files_per_batch: int = 64,
+    bytes_per_batch: int = 1 << 36,
 ) -> StreamingQuery:
-    """Process the scenes that are present (and, on the next start, those that arrived since)."""
+    """Process the scenes that are present (and, on the next start, those that arrived since).
+
+    A batch is cut by bytes: cut by files, scenes of many files would come in several batches, each of which
+    rebuilds all their days, and the number of both grows with the scenes."""
     arrivals = (
         spark.readStream.schema(SCENE_SCHEMA)
-        .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxBytesPerTrigger", bytes_per_batch)
         .parquet(incoming)
     )
     return (

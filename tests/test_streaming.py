@@ -83,3 +83,14 @@ def test_readers_between_two_writes(spark):
     assert max(current_days(spark, out).values()) == 3
     assert remove_superseded(spark, out) > 0
     assert read_output(spark, out).exceptAll(latest).count() == 0
+
+
+def test_scenes_of_many_files_are_built_once(spark):
+    root = shared_folder(spark)
+    static_layer(g.cells(spark, SF)).write.parquet(f"{root}/static")
+    static = spark.read.parquet(f"{root}/static")
+    days = g.pixels(spark, SF).where((F.year("date") == 2019) & (F.dayofmonth("date") <= 3))
+    days.select([f.name for f in SCENE_SCHEMA]).repartition(70).write.parquet(f"{root}/in")
+    start_ingest(spark, f"{root}/in", f"{root}/store", static, f"{root}/out", f"{root}/check").awaitTermination()
+    assert set(current_days(spark, f"{root}/out").values()) == {1}
+    assert read_output(spark, f"{root}/out").count() == build_features(days, static).count()

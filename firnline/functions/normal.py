@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients, highest power first.
@@ -80,3 +80,15 @@ def inverse(p: Column) -> Column:
     r = q * q
     middle = polynomial(r, INV_A) * q / polynomial(r, INV_B)
     return F.when(p < INV_TAIL, tail(p)).when(p > 1 - INV_TAIL, -tail(1 - p)).otherwise(middle)
+
+
+def with_inverse(df: DataFrame, p: str, out: str) -> DataFrame:
+    """``df`` with ``inverse`` of the column ``p`` as ``out``. What is used more than once is a column of its own
+    and computed once; as one expression it makes code that the virtual machine does not compile."""
+    q, r, s = F.col("_q"), F.col("_r"), F.col("_s")
+    steps = df.withColumns({"_q": F.col(p) - 0.5, "_s": F.sqrt(-2 * F.log(F.least(F.col(p), 1 - F.col(p))))})
+    steps = steps.withColumn("_r", q * q)
+    tail = polynomial(s, INV_C) / polynomial(s, INV_D)
+    middle = polynomial(r, INV_A) * q / polynomial(r, INV_B)
+    value = F.when(F.abs(q) <= 0.5 - INV_TAIL, middle).otherwise(F.when(q < 0, tail).otherwise(-tail))
+    return steps.withColumn(out, value).drop("_q", "_r", "_s")

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from firnline.functions import normal
+from firnline.operators.bounded import tasks_for
 from firnline.session import checkpointed
 
 CHUNK = 1 << 16  # rows one value is expanded to at once
@@ -131,33 +132,34 @@ def quantiles_of(placed: DataFrame, fractions: Sequence[float], by: str | None =
     return one.select(*keys, "n", F.array(*q).alias("q"))
 
 
-def ordered_sample(ranked: DataFrame) -> DataFrame:
-    """The order statistics ``(i, v)``. A value that repeats many times is expanded in chunks
-    that are spread over tasks, so a hot value is no hot task."""
+def ordered_sample(ranked: DataFrame, rows: int | None = None) -> DataFrame:
+    """The order statistics ``(i, v)``, ``rows`` of them (counted if not given). A value that repeats many times is expanded in chunks
+    that are spread over tasks, so a hot value is no hot task. The number of tasks is given: the engine would
+    join them into one by the few bytes that the chunks have before they are expanded."""
+    if rows is None:
+        rows = ranked.agg(F.sum("n")).first()[0] or 0
     chunks = ranked.select(
         "v", "lo", "hi", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK))).alias("k")
     )
-    spread = chunks.repartition("v", "k")
+    spread = chunks.repartition(tasks_for(rows), "v", "k")
     start = F.col("lo") + F.col("k") * CHUNK
     return spread.select(
         "v", F.explode(F.sequence(start, F.least(start + (CHUNK - 1), F.col("hi")))).alias("i")
     )
 
 
-def filliben_quantile(i: Column, n: Column) -> Column:
-    """Theoretical normal quantile of the i-th order statistic of n."""
+def filliben_share(i: Column, n: Column) -> Column:
+    """Probability of the i-th order statistic of n."""
     last = F.pow(F.lit(0.5), 1.0 / n)
-    p = F.when(i == n, last).when(i == 1, 1.0 - last).otherwise((i - 0.3175) / (n + 0.365))
-    return normal.inverse(p)
+    return F.when(i == n, last).when(i == 1, 1.0 - last).otherwise((i - 0.3175) / (n + 0.365))
 
 
 def qq_points(df: DataFrame, value: str) -> DataFrame:
     """Normal Q-Q points: rank, theoretical quantile, ordered value."""
     merged = merged_values(df, value)
-    n = F.lit(merged.agg(F.sum("n")).first()[0])
-    return ordered_sample(rank_merged(merged)).select(
-        "i", filliben_quantile(F.col("i"), n).alias("theoretical"), F.col("v").alias("ordered")
-    )
+    n = merged.agg(F.sum("n")).first()[0]
+    placed = ordered_sample(rank_merged(merged), n or 0).withColumn("p", filliben_share(F.col("i"), F.lit(n)))
+    return normal.with_inverse(placed, "p", "theoretical").select("i", "theoretical", F.col("v").alias("ordered"))
 
 
 def qq_fit(df: DataFrame, value: str) -> DataFrame:

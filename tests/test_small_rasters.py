@@ -289,3 +289,17 @@ def test_many_categories_and_a_hot_one(spark):
     inside = pdf[(pdf.v >= pdf.c.map(low)) & (pdf.v <= pdf.c.map(high))].groupby("c")["v"]
     np.testing.assert_allclose(got["whisker_low"], inside.min())
     np.testing.assert_allclose(got["whisker_high"], inside.max())
+
+
+def test_few_values_are_expanded_in_many_tasks(spark):
+    df = spark.range(600_000).select((F.col("id") % 3).cast("double").alias("v"))
+    sample = ranks.ordered_sample(ranks.value_ranks(df, "v"))
+    assert sample.rdd.getNumPartitions() == 1 + 600_000 // 250_000
+    assert sample.agg(F.sum("i")).first()[0] == 600_000 * 600_001 // 2
+
+
+def test_inverse_by_columns_is_the_inverse(spark):
+    p = spark.range(1, 2000).select((F.col("id") / 2000).alias("p"))
+    p = p.unionByName(spark.createDataFrame([(1e-9,), (normal.INV_TAIL,), (1 - 1e-9,)], "p double"))
+    for r in normal.with_inverse(p, "p", "x").select("p", "x", normal.inverse(F.col("p")).alias("want")).collect():
+        assert r["x"] == pytest.approx(r["want"], abs=1e-14)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
@@ -14,6 +14,7 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame
 
+from firnline.ml.logistic import OneVsRestLogistic
 from firnline.operators.filters import check_features
 
 # Hyper-parameter grids.
@@ -111,7 +112,8 @@ def tree_classifier(label: str, max_depth: int = 30, seed: int = 7):
 def logistic(label: str, rows: int, c: float = 1.0, one_vs_rest: bool = False, max_iter: int = 100):
     """Penalty |w|^2 / 2 against ``c`` times the summed loss of ``rows`` training rows; the engine takes
     the mean loss. Intercepts are not penalised, also not those of the one-vs-rest models."""
-    base = LogisticRegression(
+    if one_vs_rest:
+        return OneVsRestLogistic(label, c, max_iter)
+    return LogisticRegression(
         labelCol=label, standardization=False, maxIter=max_iter, regParam=1.0 / (c * max(rows, 1))
     )
-    return OneVsRest(classifier=base, labelCol=label) if one_vs_rest else base

@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import functions as F
 
 from firnline.ml import cv, deep_tree, estimators, folds, importance, linear, metrics, store
+from firnline.ml.logistic import OneVsRestLogistic
 from firnline.operators.filters import check_features
 from firnline.session import shared_folder
 
@@ -190,3 +192,25 @@ def test_deep_tree_trains_on_few_rows_in_a_task(spark):
     found = deep_tree.predictions(rows, ["a", "b"], "label", F.col("own"), ["own"])
     assert found.rdd.getNumPartitions() > 1
     assert found.count() == 200_000
+
+
+def test_one_vs_rest_is_the_engines_in_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.random((4000, 3))
+    score = np.stack([2 * x[:, 0], 3 * x[:, 1], x[:, 0] + 2 * x[:, 2]], axis=1) + rng.gumbel(0, 0.5, (4000, 3))
+    kind = np.array([0.0, 1.0, 3.0])[score.argmax(1)]  # class 2 has no rows
+    df = spark.createDataFrame([(*map(float, a), float(k)) for a, k in zip(x, kind)], "a double, b double, c double, kind double")
+    rows = estimators.assemble(df, ["a", "b", "c"]).persist()
+    passes = []
+    once = OneVsRestLogistic._pass
+    monkeypatch.setattr(OneVsRestLogistic, "_pass", staticmethod(lambda *args: passes.append(1) or once(*args)))
+    model = estimators.logistic("kind", 4000, one_vs_rest=True).fit(rows)
+    assert len(passes) <= 12
+    base = LogisticRegression(labelCol="kind", standardization=False, regParam=1 / 4000, tol=1e-12)
+    want = OneVsRest(classifier=base, labelCol="kind").fit(rows)
+    for k in (0, 1, 3):
+        own = want.models[k]
+        assert model.weights[k] == pytest.approx([*own.coefficients, own.intercept], abs=1e-5)
+    both = list(zip(model.transform(rows).collect(), want.transform(rows).collect()))
+    assert sum(a["prediction"] != b["prediction"] for a, b in both) <= 2
+    rows.unpersist()

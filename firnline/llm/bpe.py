@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from firnline.llm.common import own_name, table
 
 SCAN_LIMIT = 128
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 100_000
 NONE = 1 << 60
 #: Fixed value: the pre-tokenizer's pattern that the file's kind (byte level) implies; L, N, S, V
 #: and O stand for letter, number, white space, any but white space, and other.
@@ -140,7 +140,8 @@ class Words(dict):
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= SCAN_LIMIT:
             if len(self) >= CACHE_WORDS:
-                self.clear()
+                for late in list(self)[CACHE_WORDS // 2 :]:  # frequent words are met early
+                    del self[late]
             self[word] = packed
         return packed
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from firnline.llm.common import components, dropped, small, written
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 #: Members of a largest component from which on buckets that share it become one.
 MERGE = 64
 #: Rounds of settling in which a group hands on a spanning forest.

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from firnline.llm import bpe, fingerprints, quality, toxicity
+from firnline.llm import bpe, fingerprints, near, quality, toxicity
 
 ODD = ["", " ", "a", "<|endoftext|>", "x<|endoftext|> y", "\n\n  b", "it's 1234", "é😀\x85\x1c", "ab" * 400, "the " * 30_000, "\u2088\ud7ff"]
 
@@ -128,3 +128,12 @@ def test_toxicity_exact_ratio_of_a_known_model():
     scorer = toxicity.Scorer({(0, 3): (np.array([5], np.uint64), np.array([2.0], np.float32)), (1, 4): (np.array([0], np.uint64), np.array([0.5], np.float32))})
     asked = np.array([5, 7, 5 + (1 << 24)], np.uint64)
     assert scorer.exact(asked).tolist() == scorer.ratios(asked).tolist() == [2.5, 0.5, 2.0]
+
+
+def test_a_workers_kept_words_stay_few_and_early_ones_stay():
+    model = bpe.Bpe(bpe.default_path())
+    for i in range(250_000):
+        model.words[f" w{i}"]
+    assert len(model.words) <= 100_000
+    assert " w0" in model.words and model.words[" w249999"] == bpe.Bpe(bpe.default_path()).encode(" w249999")
+    assert near.CACHE_WORDS <= 100_000

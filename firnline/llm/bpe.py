@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -252,11 +253,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     column gets a longer name (see ``own_name``).
     """
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = bpe_of(path)
         for texts in batches:
-            yield texts.map(model.encode, na_action=None)
+            yield pa.array([model.encode(t.as_py()) for t in texts], pa.binary())
 
     return docs.withColumn(own_name(docs, out), ids(F.col(text)))
 

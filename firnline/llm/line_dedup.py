@@ -19,7 +19,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,13 +207,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     gone = repeated_lines(docs, text, key).groupBy("doc_id").agg(F.collect_list("pos").alias(gone_name))
     gone = small(written(gone.withColumnRenamed("doc_id", name)), f"size({gone_name})")
 
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, dropped: pa.Array) -> pa.Array:
         out = []
         for t, d in zip(texts, dropped):
-            gone = set(d) if d is not None else ()
-            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t)
-        return pd.Series(out, dtype=object)
+            gone = set(d.as_py() or ())
+            out.append("\n".join(x for i, x in enumerate(t.as_py().split("\n")) if i not in gone) if gone else t)
+        return pa.array(out, pa.string())
 
     joined = docs.join(gone, docs[key] == F.col(name), "left")
     kept = [without(F.col(text), F.col(gone_name)).alias(text) if c == text else F.col(c) for c in docs.columns]

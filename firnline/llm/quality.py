@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def cut(text: str | None, size: int = PIECE) -> list[bytes]:
     return [raw[i : i + size] for i in range(0, len(raw), size)] or [b""]
 
 
-@functools.lru_cache(maxsize=8)
+@functools.lru_cache(maxsize=2)
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     trained = zstandard.ZstdCompressionDict(dictionary)
     trained.precompute_compress(level=LEVEL)
@@ -161,22 +162,23 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> QualityModel:
 def features(text: Column, model: QualityModel) -> Column:
     """The five features as an array column."""
 
-    @F.pandas_udf("array<double>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([features_of(t, model.bad, model.good) for t in texts], dtype=object)
+            yield pa.array([features_of(t.as_py(), model.bad, model.good) for t in texts], pa.list_(pa.float64()))
 
     return found(text)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1; null and empty texts get the score of no text."""
+    """``docs`` with the probability of label 1; null and empty texts get the score of no text. One text of a
+    batch at a time becomes a Python string."""
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            x = [features_of(t, model.bad, model.good) for t in texts]
-            yield pd.Series(model.score(np.array(x, float).reshape(len(x), -1)), dtype=float)
+            x = [features_of(t.as_py(), model.bad, model.good) for t in texts]
+            yield pa.array(model.score(np.array(x, float).reshape(len(x), -1)), pa.float64())
 
     return docs.withColumn(own_name(docs, out), scores(F.col(text)))
 

@@ -137,3 +137,9 @@ def test_a_workers_kept_words_stay_few_and_early_ones_stay():
     assert len(model.words) <= 100_000
     assert " w0" in model.words and model.words[" w249999"] == bpe.Bpe(bpe.default_path()).encode(" w249999")
     assert near.CACHE_WORDS <= 100_000
+
+
+def test_a_worker_keeps_the_compressors_of_one_model():
+    for i in range(5):
+        quality.compressor(b"some text %d " % i * 50).compress(b"text")
+    assert quality.compressor.cache_info().currsize <= 2

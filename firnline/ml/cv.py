@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -10,17 +9,15 @@ from itertools import product
 
 from pyspark.ml import Estimator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from firnline.ml import linear
+from firnline.ml import grove, linear
 from firnline.ml.ensemble import ensemble_statistics
 from firnline.ml.estimators import GRIDS, assemble, spark_parameter
 from firnline.ml.folds import Areas, nested_areas, with_areas
 from firnline.ml.metrics import fold_scores
 from firnline.operators.filters import check_features
-from firnline.session import shared_folder
 
 
 @dataclass
@@ -165,27 +162,50 @@ def spatial_cv(
     parallelism: int = 4,
     areas: Areas | None = None,
 ) -> CvResult:
-    """Nested spatial cross-validation of any Spark ML regressor.
+    """Nested spatial cross-validation of any Spark ML regressor. Without ``tune`` the first grid point is taken.
 
-    One assembled table is kept for the run and every fit reads its rows by a filter on the area
-    columns, so no fit keeps a copy of its training rows; at most ``parallelism`` fits run at a
-    time, whatever the folds and grid points. A fold's grid points are scored on its held-out area in one
-    pass. Without ``tune`` the first grid point is taken.
-
-    Grid points of a decision tree that differ in depth alone are read off the deepest tree (``depth_groups``).
-    Where the areas that tune the final model are the outer ones, its tuning fits are the outer models too.
+    Trees grow in passes that all fits share (``grove``). Other estimators, and ensembles that are tuned, are fitted one by one: one
+    assembled table is kept for the run and every fit reads its rows by a filter on the area columns, so no
+    fit keeps a copy of its training rows; at most ``parallelism`` fits run at a time, whatever the folds and
+    grid points. A fold's grid points are scored on its held-out area in one pass.
     """
     features = check_features(features)
     outer, inner, final_areas = areas or nested_areas(df)
-    rows = assemble(with_areas(df, outer, inner, final_areas), features)
-    kept = [target, "features", "outer_area", "final_area", *[f"inner_area_{i}" for i in range(len(outer))]]
-    rows = rows.select(*kept).persist()
+    placed = with_areas(df, outer, inner, final_areas)
+    rows = assemble(placed, features)
     maps = spark_grid(estimator, grid) if grid else [{}]
     searched = tune and len(maps) > 1
-    families = cv_families(len(outer))
-    labels = {f"inner_{i}": i for i in range(len(outer))} | ({"final": -1} if final else {})
-    groups = depth_groups(estimator, maps)
-    tuned: dict[tuple[int, int], object] = {}  # (outer area left out, grid point): model
+    if grove.grows(estimator, maps, searched):
+        same = list(final_areas) == list(outer)
+        grown = grove.cross_validated(placed, features, target, estimator, maps, searched, len(outer), final, same)
+        models, final_model, log = grown.fold_models, grown.final_model, grown.log
+        scores = _scores(rows, models, name, target, log_target, label_space)
+    else:
+        kept = [target, "features", "outer_area", "final_area", *[f"inner_area_{i}" for i in range(len(outer))]]
+        rows = rows.select(*kept).persist()
+        try:
+            models, final_model, log = _one_by_one(rows, estimator, maps, searched, target, len(outer), final, parallelism)
+            scores = _scores(rows, models, name, target, log_target, label_space)
+        finally:
+            rows.unpersist()
+    tuning = df.sparkSession.createDataFrame(log, "outer int, inner int, grid_index int, mse double") if searched else None
+    return CvResult(name, features, models, final_model, scores, tuning)
+
+
+def _scores(rows: DataFrame, models: Sequence, name: str, target: str, log_target: bool, label_space: str) -> DataFrame:
+    """Train and test scores of the outer models: ten rows, brought in so that nothing is computed twice."""
+    actual, back = _actual_and_back(target, log_target, label_space)
+    predictions = {i: back(F.col(f"prediction_{i}")) for i in range(len(models))}
+    result = fold_scores(predict_all(rows, models), actual, predictions, "outer_area").withColumn("model", F.lit(name))
+    return rows.sparkSession.createDataFrame(result.collect(), result.schema)
+
+
+def _one_by_one(
+    rows: DataFrame, estimator: Estimator, maps: Sequence[dict], searched: bool, target: str, k: int, final: bool, parallelism: int
+) -> tuple[list, object, list[tuple[int, int, int, float]]]:
+    """Outer models, final model and tuning scores, each fit by the engine."""
+    families = cv_families(k)
+    labels = {f"inner_{i}": i for i in range(k)} | ({"final": -1} if final else {})
 
     def one(job: tuple[str, int]) -> list[tuple[int, int, int, float]]:
         """Scores of all grid points on one area of a family."""
@@ -194,104 +214,21 @@ def spatial_cv(
         held, rest = rows.where(area_ == j), rows.where(area_ != j)
         if held.isEmpty() or rest.isEmpty():
             return []
-        deepest = [max(group, key=group.get) for group in groups]
-        models = [estimator.fit(rest, maps[i]) for i in deepest]
-        if family == "final" and list(final_areas) == list(outer):
-            tuned.update({(j, i): m for i, m in zip(deepest, models)})
-        found = {}
-        if isinstance(estimator, DecisionTreeRegressor):
-            for group, scores in zip(groups, depth_scores(held, models, target, [list(g.values()) for g in groups])):
-                found.update(zip(group, scores))
-        else:
-            errors = [F.avg(F.pow(F.col(f"prediction_{i}") - F.col(target), 2)) for i in range(len(models))]
-            found.update(zip(deepest, predict_all(held, models).agg(*errors).first()))
-        return [(labels[family], j, i, float(found[i])) for i in range(len(maps))]
+        models = [estimator.fit(rest, m) for m in maps]
+        errors = [F.avg(F.pow(F.col(f"prediction_{i}") - F.col(target), 2)) for i in range(len(models))]
+        found = predict_all(held, models).agg(*errors).first()
+        return [(labels[family], j, i, float(score)) for i, score in enumerate(found)]
 
     def fit(label: int):
-        point = chosen.get(label, 0)
-        if (label, point) in tuned:
-            return tuned[label, point]
         own = rows.where(families["final"].isNotNull() if label < 0 else F.col("outer_area") != label)
-        return estimator.fit(own, maps[point])
-
-    try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            jobs = [(f, j) for f in labels for j in range(len(outer))] if searched else []
-            log = [x for found in pool.map(one, jobs) for x in found]
-            sums: dict[int, dict[int, float]] = {}
-            for label, _, i, score in log:
-                by = sums.setdefault(label, {})
-                by[i] = by.get(i, 0.0) + score
-            chosen = {label: min(sorted(by), key=by.get) for label, by in sums.items()}
-            models = list(pool.map(fit, [*range(len(outer)), *([-1] if final else [])]))
-            final_model = models.pop() if final else None
-        actual, back = _actual_and_back(target, log_target, label_space)
-        scored = predict_all(rows, models)
-        predictions = {i: back(F.col(f"prediction_{i}")) for i in range(len(models))}
-        result = fold_scores(scored, actual, predictions, "outer_area").withColumn("model", F.lit(name))
-        # the scores are ten rows; bring them in before the kept rows are released
-        scores = df.sparkSession.createDataFrame(result.collect(), result.schema)
-    finally:
-        rows.unpersist()
-    tuning = df.sparkSession.createDataFrame(log, "outer int, inner int, grid_index int, mse double") if searched else None
-    return CvResult(name, features, models, final_model, scores, tuning)
-
-
-def depth_groups(estimator: Estimator, maps: Sequence[dict]) -> list[dict[int, int]]:
-    """Grid points that one fit serves, with their depths. A decision tree grows level by level and draws
-    nothing at random but its candidate splits, so a shallower tree is the top of the deeper one."""
-    if not isinstance(estimator, DecisionTreeRegressor):
-        return [{i: 0} for i in range(len(maps))]
-    groups: dict[tuple, dict[int, int]] = {}
-    for i, m in enumerate(maps):
-        others = tuple(sorted((p.name, v) for p, v in m.items() if p.name != "maxDepth"))
-        groups.setdefault(others, {})[i] = m.get(estimator.maxDepth, estimator.getMaxDepth())
-    return list(groups.values())
-
-
-def predictions_at_depths(model: DecisionTreeRegressionModel, spark: SparkSession, depths: Sequence[int]) -> list[list[float]]:
-    """For each depth, by leaf of the tree, the prediction of the tree that ends at that depth."""
-    path = shared_folder(spark)
-    model.save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("id", "prediction", "leftChild", "rightChild").collect()
-    tree = {r["id"]: r for r in nodes}
-    out: list[list[float]] = [[] for _ in depths]
-    stack = [(0, ())]
-    while stack:  # left before right, as leaves are numbered
-        at, above = stack.pop()
-        way = (*above, tree[at]["prediction"])
-        if tree[at]["leftChild"] < 0:
-            for found, depth in zip(out, depths):
-                found.append(way[min(depth, len(way) - 1)])
-        else:
-            stack += [(tree[at]["rightChild"], way), (tree[at]["leftChild"], way)]
-    return out
-
-
-def depth_scores(
-    held: DataFrame, models: Sequence[DecisionTreeRegressionModel], target: str, depths: Sequence[Sequence[int]]
-) -> list[list[float]]:
-    """Mean squared error of each tree cut at each of its depths. One pass gives count, mean and variance
-    of the target in each leaf: as many rows as the trees have leaves."""
-    leaves = held
-    for i, m in enumerate(models):
-        leaves = m.copy({m.leafCol: f"leaf_{i}", m.predictionCol: f"prediction_{i}"}).transform(leaves)
-    each = F.array(*[F.struct(F.lit(i).alias("model"), F.col(f"leaf_{i}").alias("leaf")) for i in range(len(models))])
-    stats = (
-        leaves.select(target, F.inline(each))
-        .groupBy("model", "leaf")
-        .agg(F.count(target).alias("n"), F.avg(target).alias("mean"), F.var_pop(target).alias("var"))
-        .collect()
-    )
-    out = []
-    for i, m in enumerate(models):
-        own = [r for r in stats if r["model"] == i and r["n"]]
-        n = sum(r["n"] for r in own)
-        out.append([
-            math.fsum(r["n"] * (r["var"] + (r["mean"] - p[int(r["leaf"])]) ** 2) for r in own) / n
-            for p in predictions_at_depths(m, held.sparkSession, depths[i])
-        ])
-    return out
+        return estimator.fit(own, maps[chosen.get(label, 0)])
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        jobs = [(f, j) for f in labels for j in range(k)] if searched else []
+        log = [x for found in pool.map(one, jobs) for x in found]
+        chosen = grove.chosen_points(log)
+        models = list(pool.map(fit, [*range(k), *([-1] if final else [])]))
+    return models[:k], models[k] if final else None, log
 
 
 def predict_all(rows: DataFrame, models: Sequence, prefix: str = "prediction_") -> DataFrame:

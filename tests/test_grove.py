@@ -5,7 +5,8 @@ import pytest
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from firnline.ml import cv, estimators, folds, grove
+from firnline.ml import cv, estimators, folds, grove, store
+from firnline.session import shared_folder
 
 FEATURES = ["x", "y", "a", "b"]
 
@@ -118,3 +119,16 @@ def test_draws_of_a_block_follow_the_poisson_law():
     assert abs(one.mean() - 1) < 0.01 and abs(one.var() - 1) < 0.02 and abs((one == 0).mean() - np.exp(-1)) < 0.005
     assert abs(np.corrcoef(one, two)[0, 1]) < 0.01
     np.testing.assert_array_equal(one, grove.drawn(block, 7, 0))
+
+
+def test_models_of_a_bundle_are_read_in_the_order_of_their_folds(spark, data, areas, monkeypatch):
+    seen = []
+    pool = store.ThreadPoolExecutor
+    monkeypatch.setattr(store, "ThreadPoolExecutor", lambda n: seen.append(n) or pool(n))
+    result = cv.spatial_cv(data, FEATURES, estimators.random_forest(n_trees=3), "RandomForest", areas=areas)
+    root = shared_folder(spark)
+    store.save_bundle(spark, result, root, "forest")
+    back = store.load_bundle(spark, root, "forest")
+    assert seen == [store.PARALLEL] * 2
+    for one, two in zip([*result.fold_models, result.final_model], [*back.fold_models, back.final_model]):
+        assert one.uid == two.uid and one.toDebugString == two.toDebugString
